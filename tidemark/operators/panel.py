@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.constants import COUNTERS, DAY_US, ENGAGEMENT, HORIZON_DAYS, MIN_ITEMS, MIN_PLAY, TEMPORAL_QUANTILES
 from tidemark.operators.joins import asof_join, with_one_row
 from tidemark.operators.scan import exact_quantiles, quantile_table
+from tidemark.session import cut
 
 
 def latest_at(panel: DataFrame, key: str, day: str, horizon: int, cols: Sequence[str] = COUNTERS) -> DataFrame:
@@ -166,6 +167,7 @@ def canonical(items: DataFrame, panel: DataFrame, state: DataFrame, horizon: int
     ``items``: item_id, author_id, t (microseconds); ``panel``: item_id, days_since_post and the
     counters; ``state``: author_id, t, follower_count.
     """
+    items = temporal_split(items, "t")
     counters = F.struct(*COUNTERS)
     day = F.col("days_since_post")
     both = panel.groupBy("item_id").agg(
@@ -202,19 +204,19 @@ def canonical(items: DataFrame, panel: DataFrame, state: DataFrame, horizon: int
             "er_d1": F.coalesce(F.col("_e1") / at_least_one("_p1"), F.lit(0.0)),
         }
     ).drop("_eng", "_p1", "_l1", "_e1", "_tH")
+    df = cut(df)  # three passes follow: own medians, centring, global cuts
     values = ["breakout", "er", "growth", "log_play_d1"]
     df = _centre_many(df, values, "author_id")
     df = df.withColumnsRenamed(
         {"breakout_c": "breakout_wc", "er_c": "er_wc", "growth_c": "follgrow", "log_play_d1_c": "log_play_d1_vs_author"}
     )
     cuts = quantile_table(df, [], {f"_cut_{c}": (c, 0.5) for c in ("breakout_wc", "er_wc", "follgrow")})
-    df = with_one_row(df, cuts).withColumns(
+    return with_one_row(df, cuts).withColumns(
         {
             f"y_{c}": F.coalesce((F.col(c) > F.col(f"_cut_{c}")).cast("int"), F.lit(0))
             for c in ("breakout_wc", "er_wc", "follgrow")
         }
     ).drop("_cut_breakout_wc", "_cut_er_wc", "_cut_follgrow")
-    return temporal_split(df, "t")
 
 
 def _centre_many(df: DataFrame, values: Sequence[str], by: str) -> DataFrame:
