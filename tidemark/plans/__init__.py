@@ -1 +1,6 @@
+"""Registered queries."""
 
+from tidemark.plans import feature_queries, panel_queries  # noqa: F401
+from tidemark.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
