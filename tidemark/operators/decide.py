@@ -28,14 +28,14 @@ def sweep(df: DataFrame, y: str, p: str, candidates: DataFrame | None = None, bl
     )
     run = prefix_scan(
         stream, [], ["p", "_side"], sums={"pos_lt": F.col("pos"), "neg_lt": F.col("neg")},
-        totals={"P": F.col("pos"), "N": F.col("neg")}, blocks=blocks,
+        totals={"all_pos": F.col("pos"), "all_neg": F.col("neg")}, blocks=blocks,
     )
     return run.filter("_side = 0").select(
         F.col("p").alias("t"),
-        (F.col("P") + F.col("N") - F.col("pos_lt") - F.col("neg_lt")).alias("n_ge"),
-        (F.col("P") - F.col("pos_lt")).alias("pos_ge"),
+        (F.col("all_pos") + F.col("all_neg") - F.col("pos_lt") - F.col("neg_lt")).alias("n_ge"),
+        (F.col("all_pos") - F.col("pos_lt")).alias("pos_ge"),
         (F.col("pos_lt") + F.col("neg_lt")).alias("n_lt"),
-        "pos_lt", "P", "N",
+        "pos_lt", "all_pos", "all_neg",
     )
 
 
@@ -50,7 +50,7 @@ def decision_bands(
     """
     cands = df.filter(F.col(p).isNotNull()).select(F.round(p, digits).alias("t"))
     s = sweep(df, y, p, cands, blocks)
-    floor = F.greatest(F.lit(min_cov) * (F.col("P") + F.col("N")), F.lit(20.0))
+    floor = F.greatest(F.lit(min_cov) * (F.col("all_pos") + F.col("all_neg")), F.lit(20.0))
     high = (F.col("n_ge") >= floor) & (F.col("pos_ge") / F.col("n_ge") >= target)
     low = (F.col("n_lt") >= floor) & (1 - F.col("pos_lt") / F.col("n_lt") >= target)
     found = s.agg(F.min(F.when(high, F.col("t"))).alias("_h"), F.max(F.when(low, F.col("t"))).alias("_l"))
@@ -78,7 +78,7 @@ def supported_thresholds(
     s = sweep(scores, y, p, blocks=blocks)
     hit = s.filter(
         (F.col("pos_ge") / F.col("n_ge") >= target)
-        & (F.col("pos_ge") / F.greatest(F.col("P"), F.lit(1.0)) >= min_rec)
+        & (F.col("pos_ge") / F.greatest(F.col("all_pos"), F.lit(1.0)) >= min_rec)
         & (F.col("n_ge") >= min_n)
     ).agg(F.min("t").alias("_h"))
     # Do-not-post side: p <= t is the upper tail of 1 - p.
@@ -86,7 +86,7 @@ def supported_thresholds(
     size = F.col("cpos") + F.col("cneg")
     miss = r.filter(
         (F.col("cneg") / size >= target)
-        & (F.col("cneg") / F.greatest(F.col("N"), F.lit(1.0)) >= min_rec)
+        & (F.col("cneg") / F.greatest(F.col("all_neg"), F.lit(1.0)) >= min_rec)
         & (size >= min_n)
     ).agg(F.max("p").alias("_l"))
     qs = exact_quantiles(scores.select(p), [], p, {"_q35": 0.35, "_q65": 0.65}, blocks)
@@ -156,7 +156,7 @@ def keep_delete(df: DataFrame, y: str, p: str, targets: Sequence[float], blocks:
     best = runs.agg(
         *[F.max(F.when(F.col("cneg") / size >= t, F.struct(size.alias("k"), F.col("cpos").alias("lost"), F.col("p")))).alias(f"_b{i}")
           for i, t in enumerate(targets)],
-        F.max("P").alias("_P"), F.max(F.col("P") + F.col("N")).alias("_n"),
+        F.max("all_pos").alias("_P"), F.max(F.col("all_pos") + F.col("all_neg")).alias("_n"),
     )
     cells = ", ".join(f"CAST({t} AS DOUBLE), _b{i}" for i, t in enumerate(targets))
     tall = best.selectExpr("_P", "_n", f"stack({len(targets)}, {cells}) AS (target, _b)")
@@ -176,7 +176,7 @@ def f1_threshold(df: DataFrame, y: str, p: str, blocks: int | None = None) -> Da
     """The threshold of the grid 0.05 … 0.95 with the best F1 of the positive class; the lowest on ties."""
     grid = df.sparkSession.range(181).select(F.round(F.lit(0.05) + F.col("id") * 0.005, 3).alias("t"))
     s = sweep(df, y, p, grid, blocks)
-    f1 = F.when(F.col("n_ge") + F.col("P") > 0, 2 * F.col("pos_ge") / (F.col("n_ge") + F.col("P"))).otherwise(0.0)
+    f1 = F.when(F.col("n_ge") + F.col("all_pos") > 0, 2 * F.col("pos_ge") / (F.col("n_ge") + F.col("all_pos"))).otherwise(0.0)
     scored = s.withColumn("f1", f1)
     best = scored.agg(F.max(F.struct("f1", (-F.col("t")).alias("nt"))).alias("_b"))
     return best.select((-F.col("_b.nt")).alias("t"), F.col("_b.f1").alias("f1"))

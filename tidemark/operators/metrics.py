@@ -25,23 +25,23 @@ def score_table(df: DataFrame, y: str, p: str, by: Sequence[str] = (), weight: C
 
 
 def ranked_scores(table: DataFrame, by: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
-    """Score table with cumulative counts up to and including each score, and totals ``P``, ``N``."""
+    """Score table with cumulative counts up to and including each score, and totals ``all_pos``, ``all_neg``."""
     return prefix_scan(
         table, by, ["p"], sums={"cpos": F.col("pos"), "cneg": F.col("neg")},
-        totals={"P": F.col("pos"), "N": F.col("neg")}, blocks=blocks,
+        totals={"all_pos": F.col("pos"), "all_neg": F.col("neg")}, blocks=blocks,
     )
 
 
 def _auc() -> Column:
     wins = F.sum(F.col("pos") * (F.col("cneg") - F.col("neg") / 2))
-    area = F.max("P") * F.max("N")
+    area = F.max("all_pos") * F.max("all_neg")
     return F.when(area > 0, wins / area)
 
 
 def _average_precision() -> Column:
-    tp = F.col("P") - F.col("cpos") + F.col("pos")
-    fp = F.col("N") - F.col("cneg") + F.col("neg")
-    return F.when((F.max("P") > 0) & (F.max("N") > 0), F.sum(F.col("pos") / F.col("P") * tp / (tp + fp)))
+    tp = F.col("all_pos") - F.col("cpos") + F.col("pos")
+    fp = F.col("all_neg") - F.col("cneg") + F.col("neg")
+    return F.when((F.max("all_pos") > 0) & (F.max("all_neg") > 0), F.sum(F.col("pos") / F.col("all_pos") * tp / (tp + fp)))
 
 
 def rank_metrics(df: DataFrame, y: str, p: str, by: Sequence[str] = (), blocks: int | None = None) -> DataFrame:

@@ -71,9 +71,9 @@ def eta_squared(df: DataFrame, value: str, by: str) -> DataFrame:
         F.count(value).alias("_n"), F.avg(value).alias("_m"), F.var_pop(value).alias("_v")
     )
     overall = per.agg(
-        F.sum("_n").alias("_N"), (F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")).alias("_M")
+        F.sum("_n").alias("_total"), (F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")).alias("_mean")
     )
-    dev = F.col("_n") * F.pow(F.col("_m") - F.col("_M"), 2)
+    dev = F.col("_n") * F.pow(F.col("_m") - F.col("_mean"), 2)
     inside = F.col("_n") * F.col("_v")
     return with_one_row(per, overall).agg((F.sum(dev) / F.sum(dev + inside)).alias("eta_squared"))
 
@@ -286,8 +286,8 @@ def population_stability(base: DataFrame, now: DataFrame, value: str, parts: int
     counts = marked.groupBy("bucket").agg(
         F.sum(1 - F.col("_now")).alias("_e"), F.sum("_now").alias("_a")
     )
-    totals = counts.agg(F.sum("_e").alias("_E"), F.sum("_a").alias("_A"))
-    e = F.greatest(F.col("_e") / F.col("_E"), F.lit(1e-6))
-    a = F.greatest(F.col("_a") / F.col("_A"), F.lit(1e-6))
+    totals = counts.agg(F.sum("_e").alias("_all_e"), F.sum("_a").alias("_all_a"))
+    e = F.greatest(F.col("_e") / F.col("_all_e"), F.lit(1e-6))
+    a = F.greatest(F.col("_a") / F.col("_all_a"), F.lit(1e-6))
     return with_one_row(counts, totals).agg(F.sum((a - e) * F.log(a / e)).alias("psi"))
 

@@ -102,7 +102,7 @@ def ips_weights(df: DataFrame, size: str, parts: int = 5) -> DataFrame:
     marked = qcut(df, size, parts, "bucket")
     shares = marked.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
     # sum over rows of 1 / share is rows * buckets, so the mean weight is the bucket count
-    total = shares.agg(F.sum("_n").alias("_N"), F.count(F.lit(1)).alias("_B"))
-    weighted = with_one_row(shares, total).select("bucket", (F.col("_N") / F.col("_n") / F.col("_B")).alias("weight"))
+    total = shares.agg(F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_buckets"))
+    weighted = with_one_row(shares, total).select("bucket", (F.col("_total") / F.col("_n") / F.col("_buckets")).alias("weight"))
     return marked.join(F.broadcast(weighted), "bucket", "left")  # one row per bucket
 
