@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from tidemark.plans import feature_queries, metric_queries, panel_queries, profile_queries  # noqa: F401
+from tidemark.plans import feature_queries, metric_queries, model_queries, panel_queries, profile_queries  # noqa: F401
 from tidemark.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
