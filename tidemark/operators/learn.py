@@ -31,6 +31,7 @@ from tidemark.operators.encode import target_encode, train_popularity
 from tidemark.operators.joins import with_one_row
 from tidemark.operators.metrics import metrics
 from tidemark.operators.scan import hash_rank, id_hash
+from tidemark.session import cut
 
 FAMILIES = ("logit", "gbt", "mlp", "forest", "gaussian_nb", "linear_svc", "balanced_logit")
 
@@ -119,14 +120,17 @@ class TextEncoder:
         return kept.drop("_txt", "_w", "_b")
 
     def fit(self, train: DataFrame, text: str) -> TextEncoder:
-        tokens = self._tokens(train, text).select("_t")
+        tokens = cut(self._tokens(train, text).select("_t"))
         counter = CountVectorizer(inputCol="_t", outputCol="_c", vocabSize=self.terms, minDF=self.min_df).fit(tokens)
         counts = counter.transform(tokens).select("_c")
         idf = IDF(inputCol="_c", outputCol="_x").fit(counts).idf.toArray() + 1.0
         weighted = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_c", outputCol="_x").transform(counts)
         unit = Normalizer(inputCol="_x", outputCol="_n").transform(weighted).select("_n")
         k = max(1, min(self.k, len(counter.vocabulary) - 1))
-        v = RowMatrix(MLUtils.convertVectorColumnsFromML(unit, "_n")).computeSVD(k).V.toArray()
+        # the iterative solver passes over the rows many times, so they are written once and kept
+        rows = cut(MLUtils.convertVectorColumnsFromML(unit, "_n")).persist()
+        v = RowMatrix(rows).computeSVD(k).V.toArray()
+        rows.unpersist()
         flip = np.sign(v[np.abs(v).argmax(axis=0), range(v.shape[1])])
         self.k, self.vocabulary, self.idf, self.basis = v.shape[1], counter.vocabulary, idf, v * flip
         return self

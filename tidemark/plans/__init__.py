@@ -1,6 +1,8 @@
 """Registered queries."""
 
-from tidemark.plans import feature_queries, metric_queries, model_queries, panel_queries, profile_queries  # noqa: F401
+from tidemark.plans import (  # noqa: F401
+    feature_queries, io_queries, metric_queries, model_queries, panel_queries, profile_queries, stream_queries,
+)
 from tidemark.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

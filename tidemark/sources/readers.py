@@ -19,15 +19,17 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True)
 
 
-def read_json_scores(spark: SparkSession, path: str, schema: str, key: str = "item_id") -> DataFrame:
-    """Union of many JSON array files: broken files are skipped, numbers coerced, one row kept per key.
+def read_json_scores(
+    spark: SparkSession, path: str, schema: str, key: str = "item_id", multi_line: bool = True
+) -> DataFrame:
+    """Union of many JSON files (arrays, or one object per line): broken ones are skipped, numbers coerced, one row kept per key.
 
     The row from the first file name wins, then the first position in the file.
     """
     declared = T.StructType.fromDDL(f"{schema}, _corrupt_record string")
     rows = (
         spark.read.schema(declared)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .json(path)
