@@ -27,17 +27,30 @@ from tidemark.session import cut
 
 Block = Callable[..., tuple[DataFrame, list[str]]]
 BLOCKS: dict[str, Block] = {}
+FITTED: set[str] = set()
 
 
-def block(name: str) -> Callable[[Block], Block]:
-    """Register a feature block: ``fn(df, train, label, arg) -> (df with new columns, their names)``."""
+def block(name: str, fitted: bool = False) -> Callable[[Block], Block]:
+    """Register a feature block: ``fn(df, train, label, arg) -> (df with new columns, their names)``.
+
+    ``fitted`` marks blocks that learn from train rows; all others are computed once and shared by
+    every fold.
+    """
     def register(fn: Block) -> Block:
         BLOCKS[name] = fn
+        if fitted:
+            FITTED.add(name)
         return fn
 
     return register
 
 
+def split_specs(specs: Sequence[str]) -> tuple[list[str], list[str]]:
+    """Specs that need no fitting, and those refitted per fold."""
+    fitted = [s for s in specs if s.partition(":")[0] in FITTED]
+    return [s for s in specs if s not in fitted], fitted
+
+
 def build_blocks(df: DataFrame, specs: Sequence[str], train: Column, label: str) -> tuple[DataFrame, list[str]]:
     """Apply blocks by name (``name`` or ``name:argument``); encoders see train rows only."""
     names: list[str] = []
@@ -88,24 +101,24 @@ def _missing(df, train, label, arg):
     return X.missing_indicators(df, texts, vectors), [f"has_{m}" for m in [*texts, *vectors]]
 
 
-@block("topic")
+@block("topic", fitted=True)
 def _topic(df, train, label, arg):
     return E.target_encode(df, arg or "topic", label, train, "topic_te"), ["topic_te"]
 
 
-@block("music")
+@block("music", fitted=True)
 def _music(df, train, label, arg):
     key = arg or "music_id"
     df = E.target_encode(df, key, label, train, "music_te")
     return E.train_popularity(df, key, train, "music_pop_log"), ["music_te", "music_pop_log"]
 
 
-@block("hashtags")
+@block("hashtags", fitted=True)
 def _hashtags(df, train, label, arg):
     return E.tag_target_encode(df, "item_id", arg or "tags", label, train, "htag_te"), ["htag_te"]
 
 
-@block("semantic")
+@block("semantic", fitted=True)
 def _semantic(df, train, label, arg):
     k = int(arg or 60)
     vec = L.TextEncoder(k=k).fit(df.filter(train), "text")
@@ -139,7 +152,7 @@ def _trend(df, train, label, arg):
     return multi_token_momentum(df, "item_id", "tags", "t", "trend_hashtag"), ["trend_music", "trend_hashtag"]
 
 
-@block("retrieval")
+@block("retrieval", fitted=True)
 def _retrieval(df, train, label, arg):
     """Mean label and similarity of the nearest train rows; a row never finds itself."""
     k = int(arg or 50)
@@ -180,12 +193,13 @@ def run_experiment(
     The column guard runs before any model is fitted.
     """
     start = time.time()
+    shared, frozen = _frozen(df, specs, label, stage, by, folds, "cross_author" in protocols)
     parts, width = [], 0
     for protocol in protocols:
         if protocol == "cross_author":
-            scored, width = _cross_author(df, specs, model, label, stage, folds, key, by, params)
+            scored, width = _cross_author(shared, frozen, specs, model, label, stage, folds, key, params)
         else:
-            ready, feats = _features(df, specs, F.col("split") == "train", label, stage, key, "split")
+            ready, feats = _features(shared, frozen, specs, F.col("split") == "train", label, stage, key, "split")
             fitted = L.fit(ready.filter("split = 'train'"), model, feats, label, **params)
             scored, width = L.predict(fitted, ready.filter("split = 'test'")), len(feats)
         row = metrics(scored, label, "p").select("n", "roc_auc", "avg_precision", "brier")
@@ -203,22 +217,31 @@ def run_experiment(
     )
 
 
-def _features(df, specs, train: Column, label, stage, key, part) -> tuple[DataFrame, list[str]]:
-    """Guarded feature table, written once: model fitting passes over it many times."""
-    ready, names = build_blocks(df, specs, train, label)
+def _frozen(df, specs, label, stage, by, folds, folded: bool) -> tuple[DataFrame, list[str]]:
+    """Fold numbers and the blocks that need no fitting, computed and written once."""
+    shared, names = build_blocks(df, split_specs(specs)[0], F.lit(True), label)
+    guard_columns(names, stage)
+    return cut(group_kfold(shared, by, folds) if folded else shared), names
+
+
+def _features(shared, frozen, specs, train: Column, label, stage, key, part) -> tuple[DataFrame, list[str]]:
+    """Guarded feature table of one fold; written once when encoders were fitted for it."""
+    fitted = split_specs(specs)[1]
+    ready, new = build_blocks(shared, fitted, train, label)
+    names = [*frozen, *[n for n in new if n not in frozen]]
     guard_columns(names, stage)
-    return cut(ready.select(key, label, part, *names)), names
+    table = ready.select(key, label, part, *names)
+    return (cut(table) if fitted else table), names
 
 
-def _cross_author(df, specs, model, label, stage, folds, key, by, params) -> tuple[DataFrame, int]:
-    folded = cut(group_kfold(df, by, folds))
+def _cross_author(shared, frozen, specs, model, label, stage, folds, key, params) -> tuple[DataFrame, int]:
     parts, width = [], 0
     for k in range(folds):
-        ready, feats = _features(folded, specs, F.col("fold") != k, label, stage, key, "fold")
+        ready, feats = _features(shared, frozen, specs, F.col("fold") != k, label, stage, key, "fold")
         fitted = L.fit(ready.filter(F.col("fold") != k), model, feats, label, **params)
         parts.append(L.predict(fitted, ready.filter(F.col("fold") == k)).select(key, label, "fold", "p"))
         width = len(feats)
-    return reduce(DataFrame.unionByName, parts), width
+    return cut(reduce(DataFrame.unionByName, parts)), width
 
 
 def out_of_fold_scores(
@@ -226,7 +249,8 @@ def out_of_fold_scores(
     key: str = "item_id", by: str = "author_id", **params,
 ) -> DataFrame:
     """Cross-author scores: key, label, fold, p."""
-    return _cross_author(df, specs, model, label, stage, folds, key, by, params)[0]
+    shared, frozen = _frozen(df, specs, label, stage, by, folds, True)
+    return _cross_author(shared, frozen, specs, model, label, stage, folds, key, params)[0]
 
 
 def ablation(df: DataFrame, stages: Sequence[tuple[str, Sequence[str]]], model: str, **kw) -> DataFrame:

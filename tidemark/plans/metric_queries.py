@@ -268,7 +268,7 @@ def boot_sql(reps: int, scores: dict[str, str], seed: str) -> str:
     parts = " UNION ALL ".join(f"SELECT '{n}' AS s, item_id, y, {e} AS p FROM scored" for n, e in scores.items())
     return WITH_SCORED + f""", src AS ({parts}),
     wts AS (SELECT item_id, rep, {POISSON_SQL} AS w FROM (SELECT item_id, rep,
-        ('0x' || substr(md5(item_id || ':' || rep || ':{seed}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+        ('0x' || substr(md5(item_id || ':' || ((rep - 1) // 4) || ':{seed}'), 8 * ((rep - 1) % 4) + 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
         FROM items, (SELECT unnest(range(1, {reps + 1})) AS rep))),
     tab AS (SELECT s, rep, p, sum(w * y)::DOUBLE AS pos, sum(w * (1 - y))::DOUBLE AS neg FROM src JOIN wts USING (item_id) WHERE w > 0 GROUP BY ALL),
     cum AS (SELECT *, sum(pos) OVER b AS tp, sum(neg) OVER b AS fp, sum(pos) OVER a AS cp, sum(neg) OVER a AS cn, sum(pos) OVER (PARTITION BY s, rep) AS allp, sum(neg) OVER (PARTITION BY s, rep) AS alln
@@ -302,7 +302,7 @@ def bootstrap_delta(spark, d):
 @query(
     "group_median_ci",
     "WITH " + fx.ITEMS_SQL + f""", wts AS (SELECT item_id, author_id, rep, value, {POISSON_SQL} AS w FROM (SELECT item_id, author_id, rep, value,
-        ('0x' || substr(md5(item_id || ':' || rep || ':0'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM items, (SELECT unnest(range(1, 21)) AS rep))),
+        ('0x' || substr(md5(item_id || ':' || ((rep - 1) // 4) || ':0'), 8 * ((rep - 1) % 4) + 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM items, (SELECT unnest(range(1, 21)) AS rep))),
     m AS (SELECT author_id, rep, quantile_cont(value, 0.5) AS m FROM wts, range(1, w + 1) GROUP BY ALL),
     wd AS (SELECT author_id, quantile_cont(m, 0.975) - quantile_cont(m, 0.025) AS w FROM m GROUP BY author_id),
     b AS (SELECT author_id, quantile_cont(value, 0.5) AS med, count(*) AS n FROM items GROUP BY author_id)
