@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+import threading
 from collections.abc import Iterator, Mapping, Sequence
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from tidemark.operators.encode import target_encode, train_popularity
 from tidemark.operators.joins import with_one_row
 from tidemark.operators.metrics import metrics
 from tidemark.operators.scan import hash_rank, id_hash
-from tidemark.session import cut
+from tidemark.session import cut, in_parallel
 
 FAMILIES = ("logit", "gbt", "mlp", "forest", "gaussian_nb", "linear_svc", "balanced_logit")
 
@@ -54,7 +55,7 @@ def make_estimator(
     if weight:
         common["weightCol"] = weight
     if name in ("logit", "balanced_logit"):
-        model = LogisticRegression(**common, **({"maxIter": 100, "regParam": 1e-4} | params))
+        model = LogisticRegression(**common, **({"maxIter": 100, "regParam": 1e-4, "tol": 1e-5} | params))
     elif name == "gbt":
         model = GBTClassifier(**common, seed=seed, **({"maxDepth": 4, "stepSize": 0.05, "maxIter": 400} | params))
     elif name == "mlp":
@@ -99,6 +100,9 @@ def predict(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:
 # ---- text and vector encoders
 
 
+_ONE_SVD = threading.Lock()  # the eigensolver behind computeSVD keeps static state
+
+
 class TextEncoder:
     """TF-IDF followed by a truncated SVD, fitted on train text and applied to any text column.
 
@@ -129,7 +133,8 @@ class TextEncoder:
         k = max(1, min(self.k, len(counter.vocabulary) - 1))
         # the iterative solver passes over the rows many times, so they are written once and kept
         rows = cut(MLUtils.convertVectorColumnsFromML(unit, "_n")).persist()
-        v = RowMatrix(rows).computeSVD(k).V.toArray()
+        with _ONE_SVD:
+            v = RowMatrix(rows).computeSVD(k).V.toArray()
         rows.unpersist()
         flip = np.sign(v[np.abs(v).argmax(axis=0), range(v.shape[1])])
         self.k, self.vocabulary, self.idf, self.basis = v.shape[1], counter.vocabulary, idf, v * flip
@@ -211,14 +216,13 @@ def out_of_fold(
     encode=None, out: str = "p", **params,
 ) -> DataFrame:
     """Each fold scored by a model that never saw it; ``encode(df, train)`` refits encoders per fold."""
-    parts = []
-    for k in range(folds):
+    def one(k: int) -> DataFrame:
         train = F.col(fold) != k
         ready = df if encode is None else encode(df, train)
         model = fit(ready.filter(train), name, features, label, **params)
-        test = ready.filter(F.col(fold) == k)
-        parts.append(predict(model, test, out).select(key, label, fold, out))
-    return reduce(DataFrame.unionByName, parts)
+        return predict(model, ready.filter(F.col(fold) == k), out).select(key, label, fold, out)
+
+    return reduce(DataFrame.unionByName, in_parallel(df.sparkSession, [partial(one, k) for k in range(folds)]))
 
 
 def stack_oof(tables: Mapping[str, DataFrame], key: str, label: str, fold: str = "fold", folds: int = 4) -> DataFrame:

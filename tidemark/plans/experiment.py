@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +23,7 @@ from tidemark.operators.resample import bootstrap_ci
 from tidemark.operators.similar import knn_features, knn_join
 from tidemark.operators.splits import group_kfold
 from tidemark.operators.trend import multi_token_momentum, token_momentum
-from tidemark.session import cut
+from tidemark.session import cut, in_parallel
 
 Block = Callable[..., tuple[DataFrame, list[str]]]
 BLOCKS: dict[str, Block] = {}
@@ -235,13 +235,13 @@ def _features(shared, frozen, specs, train: Column, label, stage, key, part) ->
 
 
 def _cross_author(shared, frozen, specs, model, label, stage, folds, key, params) -> tuple[DataFrame, int]:
-    parts, width = [], 0
-    for k in range(folds):
+    def one(k: int) -> tuple[DataFrame, int]:
         ready, feats = _features(shared, frozen, specs, F.col("fold") != k, label, stage, key, "fold")
         fitted = L.fit(ready.filter(F.col("fold") != k), model, feats, label, **params)
-        parts.append(L.predict(fitted, ready.filter(F.col("fold") == k)).select(key, label, "fold", "p"))
-        width = len(feats)
-    return cut(reduce(DataFrame.unionByName, parts)), width
+        return L.predict(fitted, ready.filter(F.col("fold") == k)).select(key, label, "fold", "p"), len(feats)
+
+    done = in_parallel(shared.sparkSession, [partial(one, k) for k in range(folds)])
+    return cut(reduce(DataFrame.unionByName, [scored for scored, _ in done])), done[0][1]
 
 
 def out_of_fold_scores(
@@ -255,10 +255,10 @@ def out_of_fold_scores(
 
 def ablation(df: DataFrame, stages: Sequence[tuple[str, Sequence[str]]], model: str, **kw) -> DataFrame:
     """One experiment per stage, in order, with the change of AUC from the stage before."""
-    parts = [
-        run_experiment(df, specs, model, name=name, **kw).withColumn("position", F.lit(i))
-        for i, (name, specs) in enumerate(stages)
-    ]
+    def one(i: int, name: str, specs: Sequence[str]) -> DataFrame:
+        return run_experiment(df, specs, model, name=name, **kw).withColumn("position", F.lit(i))
+
+    parts = in_parallel(df.sparkSession, [partial(one, i, n, s) for i, (n, s) in enumerate(stages)])
     rows = reduce(DataFrame.unionByName, parts)
     w = Window.partitionBy("protocol").orderBy("position")  # one row per stage
     return rows.withColumn("delta", F.col("roc_auc") - F.lag("roc_auc").over(w))

@@ -5,9 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+R = TypeVar("R")
+
 
 def build_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the benchmark; on a cluster pass your own session instead."""
@@ -62,3 +68,9 @@ def plan_bytes(df: DataFrame) -> int:
     leaves = plan.collectLeaves()
     read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return min(read, int(str(plan.stats().sizeInBytes())))
+
+
+def in_parallel(spark: SparkSession, tasks: Iterable[Callable[[], R]], width: int = 4) -> list[R]:
+    """Run independent Spark programs (folds, trials) side by side; results in order."""
+    with ThreadPoolExecutor(max_workers=width) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(t)) for t in tasks]]
