@@ -182,13 +182,23 @@ def view_floors(df: DataFrame, views: str, er: str, floors: Sequence[int] = (0,
     return one.selectExpr(f"stack({len(floors)}, {cells}) AS (floor, kept, er_above_one)")
 
 
-def compare_tables(tables: Mapping[str, DataFrame], dims: Mapping[str, str]) -> DataFrame:
-    """One row per dimension, one column per table; ``dims`` maps a name to an aggregate expression."""
+def compare_tables(
+    tables: Mapping[str, DataFrame], dims: Mapping[str, str], medians: Mapping[str, str] | None = None
+) -> DataFrame:
+    """One row per dimension, one column per table.
+
+    ``dims`` maps a name to an aggregate expression, ``medians`` a name to a column.
+    """
+    medians = dict(medians or {})
+    names = [*dims, *medians]
     out = None
     for name, df in tables.items():
         one = df.agg(*[F.expr(e).cast("double").alias(f"_{i}") for i, e in enumerate(dims.values())])
-        cells = ", ".join(f"'{d}', _{i}" for i, d in enumerate(dims))
-        tall = one.selectExpr(f"stack({len(dims)}, {cells}) AS (dimension, `{name}`)")
+        if medians:
+            specs = {f"_{len(dims) + i}": (c, 0.5) for i, c in enumerate(medians.values())}
+            one = with_one_row(one, quantile_table(df, [], specs))
+        cells = ", ".join(f"'{d}', _{i}" for i, d in enumerate(names))
+        tall = one.selectExpr(f"stack({len(names)}, {cells}) AS (dimension, `{name}`)")
         out = tall if out is None else out.join(tall, "dimension")
     return out
 

@@ -205,12 +205,12 @@ def hash_rank(
 def size_rank(df: DataFrame, size: str, hash_col: str, out: str, by: Sequence[str] = ()) -> DataFrame:
     """1-based position by descending ``size`` then hash, without a global sort of the rows.
 
-    Only the table of (size, hash bucket) counts is ordered in one place; it has 16 rows per
-    distinct size, and a total of N rows has at most sqrt(2N) distinct group sizes.
+    Only the table of (size, hash bucket) counts is ordered in one place; it has 256 rows per
+    distinct size at most, and a total of N rows has at most sqrt(2N) distinct group sizes.
     """
     by = list(by)
     key = [F.col(c) for c in by] or [F.lit(0)]
-    marked = df.withColumn("_hb", F.substring(hash_col, 1, 1))
+    marked = df.withColumn("_hb", F.substring(hash_col, 1, 2))
     counts = marked.groupBy(*by, size, "_hb").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*key).orderBy(F.col(size).desc(), "_hb")
     offsets = counts.select(*by, size, "_hb", (F.sum("_n").over(before) - F.col("_n")).alias("_off"))

@@ -79,7 +79,7 @@ def stratified_sample(df: DataFrame, key: str, strata: Sequence[str], fraction:
     ranked = hash_rank(df.withColumn("_h", id_hash(key, seed)), strata, "_h", "_rank")
     sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
     return (
-        ranked.join(F.broadcast(sizes), list(strata))  # one row per stratum
+        ranked.join(sizes, list(strata))
         .filter(F.col("_rank") <= F.ceil(F.lit(fraction) * F.col("_n")))
         .drop("_h", "_rank", "_n")
     )

@@ -14,6 +14,7 @@ from tidemark.operators import history as H
 from tidemark.operators import joins as J
 from tidemark.operators import panel as P
 from tidemark.operators import trend as T
+from tidemark.operators.guards import look_ahead_rows
 from tidemark.plans.registry import query
 from tidemark.sources import fixtures as fx
 
@@ -201,29 +202,31 @@ def log_clip_ratio(spark, d):
 
 @query(
     "text_field",
-    """WITH t AS (SELECT d.doc_id, d.text, c.text AS said FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id AND c.turn = 0)
-    SELECT doc_id, length(f) AS n, md5(f) AS digest FROM (SELECT doc_id, trim(coalesce(text, '') || ' ' || coalesce(said, '') || ' ' || '', ' ') AS f FROM t)""",
+    """WITH t AS (SELECT d.doc_id, coalesce(c.turn, -1) AS turn, d.text, c.text AS said FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id)
+    SELECT doc_id, turn, length(f) AS n, md5(f) AS digest FROM (SELECT doc_id, turn, trim(coalesce(text, '') || ' ' || coalesce(said, '') || ' ' || '', ' ') AS f FROM t)""",
 )
 def text_field(spark, d):
-    c = fx.table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("doc_id"), F.col("text").alias("said"))
+    c = fx.table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.col("text").alias("said"))
     t = fx.table(spark, d, "documents").select("doc_id", "text").join(c, "doc_id", "left").withColumn("none", F.lit(None).cast("string"))
     f = X.text_field(["text", "said", "none"])
-    return t.select("doc_id", F.length(f).cast("bigint").alias("n"), F.md5(f).alias("digest"))
+    turn = F.coalesce("turn", F.lit(-1).cast("bigint")).alias("turn")
+    return t.select("doc_id", turn, F.length(f).cast("bigint").alias("n"), F.md5(f).alias("digest"))
 
 
 @query(
     "missing_indicators",
-    """SELECT d.doc_id, CASE WHEN trim(d.text) <> '' THEN 1 ELSE 0 END::BIGINT AS has_caption,
+    """SELECT d.doc_id, coalesce(c.turn, -1) AS turn, CASE WHEN trim(d.text) <> '' THEN 1 ELSE 0 END::BIGINT AS has_caption,
     CASE WHEN trim(coalesce(c.text, '')) <> '' THEN 1 ELSE 0 END::BIGINT AS has_transcript,
     CASE WHEN e.vec_id IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS has_audio
-    FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id AND c.turn = 0 LEFT JOIN embeddings e ON e.vec_id = d.doc_id""",
+    FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id""",
 )
 def missing_indicators(spark, d):
-    c = fx.table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("doc_id"), F.col("text").alias("said"))
+    c = fx.table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.col("text").alias("said"))
     v = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     t = fx.table(spark, d, "documents").select("doc_id", "text").join(c, "doc_id", "left").join(v, "doc_id", "left")
     m = X.missing_indicators(t, {"caption": "text", "transcript": "said"}, {"audio": "embedding"})
-    return m.select("doc_id", "has_caption", "has_transcript", "has_audio")
+    turn = F.coalesce("turn", F.lit(-1).cast("bigint")).alias("turn")
+    return m.select("doc_id", turn, "has_caption", "has_transcript", "has_audio")
 
 
 @query(
@@ -543,8 +546,6 @@ def multi_token_momentum(spark, d):
     SELECT count(*) AS rows, count(seen) AS with_history, coalesce(sum((seen + 1209600000000 > t)::INT), 0)::BIGINT AS look_ahead FROM h""",
 )
 def look_ahead_guard(spark, d):
-    from tidemark.operators.guards import look_ahead_rows
-
     i = fx.items(spark, d)
     seen = J.asof_join(
         i.withColumn("t_open", F.col("t") - 14 * DAY_US), i.select("author_id", F.col("t").alias("t_prior")),

@@ -104,10 +104,10 @@ def reliability_quantile(spark, d):
 @query(
     "ece",
     WITH_SCORED + """, b AS (SELECT split, least(floor(p * 10), 9) AS bin, avg(p) AS mp, avg(y) AS rate, count(*) AS n FROM scored GROUP BY ALL)
-    SELECT split, round(sum(n * abs(rate - mp)) / sum(n), 9) AS ece FROM b GROUP BY split""",
+    SELECT split, round(sum(n * abs(rate - mp)) / sum(n), 12) AS ece FROM b GROUP BY split""",
 )
 def ece(spark, d):
-    return M.ece(fx.scored(spark, d), "y", "p", by=["split"]).select("split", *rounded("ece"))
+    return M.ece(fx.scored(spark, d), "y", "p", by=["split"]).select("split", F.round("ece", 12).alias("ece"))
 
 
 @query(
@@ -121,7 +121,7 @@ def ece(spark, d):
     e AS (SELECT dimension, segment, sum(n * abs(rate - mp)) / sum(n) AS ece FROM (SELECT dimension, segment, least(floor(p * 10), 9) AS bin,
           avg(p) AS mp, avg(y) AS rate, count(*) AS n FROM s GROUP BY ALL) GROUP BY ALL),
     b AS (SELECT dimension, segment, count(*) AS n, avg(y) AS base_rate, avg((p - y) * (p - y)) AS brier FROM s GROUP BY ALL)
-    SELECT dimension, segment, n, round(base_rate, 9) AS base_rate, round(brier, 12) AS brier, round(roc_auc, 9) AS roc_auc, round(ece, 9) AS ece
+    SELECT dimension, segment, n, round(base_rate, 9) AS base_rate, round(brier, 12) AS brier, round(roc_auc, 12) AS roc_auc, round(ece, 12) AS ece
     FROM b JOIN a USING (dimension, segment) JOIN e USING (dimension, segment) WHERE n >= 50 AND roc_auc IS NOT NULL""",
 )
 def segment_metrics(spark, d):
@@ -131,7 +131,7 @@ def segment_metrics(spark, d):
     v = F.col("value")
     band = F.when(v < 7, "<7").when(v < 15, "7-15").when(v < 30, "15-30").when(v < 60, "30-60").otherwise("60+")
     dims = {"topic": F.when(F.col("_top") == 1, F.col("topic")), "duration": band, "author": F.col("author_id")}
-    return M.segment_metrics(s, "y", "p", dims).select("dimension", "segment", "n", F.round("brier", 12).alias("brier"), *rounded("base_rate", "roc_auc", "ece"))
+    return M.segment_metrics(s, "y", "p", dims).select("dimension", "segment", "n", *[F.round(c, 12).alias(c) for c in ("brier", "roc_auc", "ece")], *rounded("base_rate"))
 
 
 @query(

@@ -15,7 +15,7 @@ from tidemark.operators.history import author_history
 from tidemark.operators.joins import left_with_default
 from tidemark.operators.metrics import metrics, rank_metrics
 from tidemark.operators.profile import top_factors as largest_factors
-from tidemark.operators.scan import exact_quantiles
+from tidemark.operators.scan import exact_quantiles, quantile_table
 from tidemark.operators.similar import knn_features, knn_join
 from tidemark.plans import experiment as X
 from tidemark.plans.metric_queries import auc_sql
@@ -118,12 +118,12 @@ def model_families(spark, d):
 def knn_vote(spark, d):
     """Share of positive labels among the nearest train vectors, as a classifier."""
     e = fx.table(spark, d, "embeddings").withColumn("y", (F.col("label") % 2).cast("int"))
-    bank, test = e.filter("vec_id % 5 <> 0"), e.filter("vec_id % 5 = 0")
+    bank = e.filter("vec_id % 5 <> 0")  # the train rows; every row is scored, none finds itself
     near = knn_features(
-        knn_join(test, bank.withColumnRenamed("y", "hit"), "vec_id", "vec_id", "embedding", "embedding", 15, payload=["hit"]),
+        knn_join(e, bank.withColumnRenamed("y", "hit"), "vec_id", "vec_id", "embedding", "embedding", 15, payload=["hit"]),
         "vec_id", "hit",
     )
-    return metrics(test.join(near, "vec_id"), "y", "knn_success").select("n", "roc_auc", "brier", "accuracy")
+    return metrics(e.join(near, "vec_id"), "y", "knn_success").select("n", "roc_auc", "brier", "accuracy")
 
 
 @query("sample_weighted_fit")
@@ -327,7 +327,7 @@ def median_sensitivity(spark, d):
     train = items.filter("split = 'train'")
     model = L.fit(train, "logit", feats, "y")
     some = ["char_len", "duration_s", "has_cta"]
-    one = train.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in some]).first()
+    one = quantile_table(train, [], {c: (c, 0.5) for c in some}).first()
     s = L.median_sensitivity(model, items.filter("split = 'test'"), "item_id", some, one.asDict())
     return s.select("item_id", "feature", F.round("delta", 6).alias("delta"))
 
@@ -410,8 +410,8 @@ def assessment_table(spark, d):
 def transfer_head(spark, d):
     """A head fitted on labelled vectors predicts for documents; documents without a vector get the default."""
     e = fx.table(spark, d, "embeddings")
-    source = e.filter("vec_id % 2 = 0").withColumn("watched", F.col("label") / 10.0)
-    target = e.filter("vec_id % 2 = 1").select(F.col("vec_id").alias("doc_id"), "embedding")
+    source = e.withColumn("watched", F.col("label") / 10.0)
+    target = e.select(F.col("vec_id").alias("doc_id"), "embedding")
     head = L.transfer_head(source, target, "embedding", "watched", "pred_watched")
     docs = fx.table(spark, d, "documents").select("doc_id")
     return left_with_default(docs, head, "doc_id", {"pred_watched": 0.0}).select("doc_id", F.round("pred_watched", 6).alias("pred_watched"))
