@@ -20,7 +20,7 @@ from tidemark.session import fresh_path
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 SIGNS = ".,;:!?|&%$#*()-"
-CACHE = 1_200_000  # pieces whose ids a worker remembers; it starts afresh beyond that
+CACHE = 900_000  # pieces whose ids a worker remembers; it starts afresh beyond that
 LONG = 64  # characters of a piece that is not worth remembering
 ROW = pa.schema([
     ("doc_id", pa.int64()), ("part", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())),
