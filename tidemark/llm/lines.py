@@ -83,15 +83,16 @@ def deduped(docs: DataFrame, run_lines: int = RUN_LINES, run_words: int = RUN_WO
     Only the lines of later repeated runs go; blank lines and everything else stay as they are. A null text
     stays null. Repeated rows are repeated texts. Texts are written once, so that row numbers hold.
     """
-    staged = with_row(docs.select(F.struct("*").alias("doc"), "doc_id", "text"))
-    gone = later_runs(staged.select("_row", "doc_id", "text"), run_lines, run_words)
+    staged = with_row(docs.select(F.struct("*").alias("doc")))
+    text = F.col("doc")["text"]
+    gone = later_runs(staged.select("_row", F.col("doc")["doc_id"].alias("doc_id"), text.alias("text")), run_lines, run_words)
 
     def left(gone: Column) -> Column:
-        lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(~F.array_contains(gone, i), x))
+        lines = F.transform(F.split(text, "\n"), lambda x, i: F.when(~F.array_contains(gone, i), x))
         return F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n")
 
     return staged.join(gone, "_row", "left").select(
-        "doc", "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(F.col("gone"), left)).alias("text"),
+        "doc", F.col("doc")["doc_id"].alias("doc_id"), F.when(F.col("gone").isNull(), text).otherwise(let(F.col("gone"), left)).alias("text"),
         F.coalesce("gone", F.array().cast("array<int>")).alias("gone"),
     )
 
