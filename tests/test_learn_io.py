@@ -80,7 +80,7 @@ def test_text_encoder_separates_topics(spark):
 def test_challenger_needs_enough_rows(table):
     few = table.limit(3).drop("split")
     r = X.challenger_report(table, few, [], "logit").first()
-    assert r.n_new == 3 and "insufficient" in r.verdict
+    assert r.n_new == 3 and r.verdict == "too_few_rows"
 
 
 def test_json_arrays_skip_bad_files_and_keep_the_first(spark, tmp_path):

@@ -30,7 +30,7 @@ def test_label_at_maturity_and_frozen_day1(spark):
     log, got = run(spark, [rows])
     assert (got["hit"].label, got["hit"].day1_views, got["hit"].day1_validity) == (1, 200.0, "ok")
     assert (got["flop"].label, got["flop"].day1_validity) == (0, "unreliable")
-    assert (got["open"].label, got["open"].status, got["open"].note) == (None, "tracking", "matured but no baseline")
+    assert (got["open"].label, got["open"].status, got["open"].note) == (None, "tracking", "no_baseline")
     assert log.filter("event = 'registered'").count() == 3
 
 

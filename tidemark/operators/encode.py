@@ -21,7 +21,7 @@ def target_encode(
     j = with_one_row(df.join(stats, key, "left"), overall)
     s, n = F.col("_s"), F.col("_n")
     if leave_one_out:
-        own = F.when(train, 1).otherwise(0)
+        own = F.when(train & F.col(label).isNotNull(), 1).otherwise(0)  # an unknown label is not in the count
         s, n = s - own * F.coalesce(F.col(label), F.lit(0)), n - own
     return j.withColumn(out, F.coalesce(F.when(n > 0, s / n), F.col("_g"))).drop("_s", "_n", "_g")
 

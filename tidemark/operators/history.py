@@ -15,8 +15,7 @@ from tidemark.constants import DAY_US, HORIZON_DAYS
 from tidemark.functions.vectors import dot, unit
 from tidemark.operators.joins import asof_join
 from tidemark.operators.panel import at_least_one
-from tidemark.operators.scan import BLOCK_BYTES, prefix_scan
-from tidemark.session import plan_bytes
+from tidemark.operators.scan import blocks_for, prefix_scan
 
 GAP_US = HORIZON_DAYS * DAY_US
 CHUNK = 4096
@@ -29,7 +28,8 @@ def closed_window_sums(
 ) -> DataFrame:
     """Add sums over the rows of the same key with ``prior.ts + gap <= ts`` (zero when none)."""
     known = F.col(by).isNotNull() & F.col(ts).isNotNull()
-    if blocks is None and plan_bytes(df) <= BLOCK_BYTES:
+    blocks = blocks_for(df) if blocks is None else blocks
+    if blocks <= 1:
         w = Window.partitionBy(by).orderBy(ts).rangeBetween(Window.unboundedPreceding, -gap)
         return df.withColumns(
             {n: F.coalesce(F.when(known, F.sum(c).over(w)), F.lit(0.0)) for n, c in values.items()}
@@ -72,13 +72,13 @@ def author_recency(
     df: DataFrame, by: str, ts: str, key: str, value: str, gap: int = GAP_US, decay: float = DECAY,
     blocks: int | None = None,
 ) -> DataFrame:
-    """Mean of the last three visible values, decayed mean, momentum, and log days since the last post.
+    """Mean of the last three visible known values, decayed mean, momentum, and log days since the last post.
 
     Posts are numbered per author, then cut into chunks of consecutive numbers with a short
     overlap, so the row frames below never see a whole author at once.
     """
     rows = df.filter(F.col(by).isNotNull() & F.col(ts).isNotNull()).select(by, ts, key, F.col(value).alias("_v"))
-    seq = prefix_scan(rows, [by], [ts, key], sums={"_seq": F.lit(1), "_cum": F.col("_v")}, blocks=blocks)
+    seq = prefix_scan(rows, [by], [ts, key], sums={"_seq": F.lit(1), "_cum": F.col("_v"), "_known": F.when(F.col("_v").isNotNull(), 1).otherwise(0)}, blocks=blocks)
     chunk = F.floor((F.col("_seq") - 1) / CHUNK)
     in_tail = (F.col("_seq") - 1) % CHUNK >= CHUNK - (DECAY_TERMS - 1)
     spread = seq.withColumn("_home", chunk).withColumn(
@@ -91,18 +91,19 @@ def author_recency(
         "_recent",
         F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")),
         lambda a, x: F.struct((a["s"] * decay + x).alias("s"), (a["w"] * decay + 1.0).alias("w")),
-        lambda a: a["s"] / a["w"],
+        lambda a: F.when(a["w"] > 0, a["s"] / a["w"]),
     )
-    last3 = F.slice("_recent", -F.least(F.size("_recent"), F.lit(3)), F.lit(3))
-    mean3 = F.aggregate(last3, F.lit(0.0), lambda a, x: a + x) / F.size(last3)
+    last3 = F.slice("_recent", -F.greatest(F.lit(1), F.least(F.size("_recent"), F.lit(3))), F.lit(3))
+    some = F.size("_recent") > 0  # unknown values are not collected
+    mean3 = F.when(some, F.aggregate(last3, F.lit(0.0), lambda a, x: a + x) / F.size(last3))
     states = local.select(
         by,
         key,
         (F.col(ts) + F.lit(gap)).alias("_at"),
         "_seq",
         mean3.alias("_r3"),
-        weighted.alias("_ew"),
-        (F.col("_cum") / F.col("_seq")).alias("_life"),
+        F.when(some, weighted).alias("_ew"),
+        F.when(F.col("_known") > 0, F.col("_cum") / F.col("_known")).alias("_life"),
     )
     seen = asof_join(
         df, states, by, ts, "_at", {"_seq": "_n", "_r3": "_r3", "_ew": "_ew", "_life": "_life"}, blocks

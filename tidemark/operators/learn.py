@@ -59,7 +59,8 @@ def make_estimator(
     elif name == "gbt":
         model = GBTClassifier(**common, seed=seed, **({"maxDepth": 4, "stepSize": 0.05, "maxIter": 400} | params))
     elif name == "mlp":
-        common.pop("weightCol", None)
+        if weight:
+            raise ValueError("the perceptron takes no row weights")
         layers = [len(features), 128, 64, 2]
         model = MultilayerPerceptronClassifier(**common, seed=seed, **({"layers": layers, "maxIter": 200} | params))
     elif name == "forest":
@@ -201,11 +202,12 @@ def calibrate(valid: DataFrame, score: str, y: str, method: str = "isotonic"):
 
 
 def apply_calibration(df: DataFrame, score: str, model, out: str = "p_cal") -> DataFrame:
-    """Calibrated probability; scores outside the fitted range are clipped to its ends."""
-    rows = VectorAssembler(inputCols=[score], outputCol="_v", handleInvalid="skip").transform(df)
-    scored = model.transform(rows)
+    """Calibrated probability; scores outside the fitted range are clipped to its ends, an unknown score gives null."""
+    known = F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
+    filled = df.withColumn("_score", F.when(known, F.col(score).cast("double")).otherwise(0.0))
+    scored = model.transform(VectorAssembler(inputCols=["_score"], outputCol="_v").transform(filled))
     p = vector_to_array("probability")[1] if "probability" in scored.columns else F.col("prediction")
-    return scored.withColumn(out, p).drop("_v", "prediction", "probability", "rawPrediction")
+    return scored.withColumn(out, F.when(known, p)).drop("_v", "_score", "prediction", "probability", "rawPrediction")
 
 
 # ---- out-of-fold prediction and fusion

@@ -4,8 +4,8 @@ A plain ``Window.partitionBy(key)`` sends every row of a key to one task. Here t
 column is cut at quantile edges into blocks of about equal size, so a (key, block) group holds
 at most one block's share of all rows however skewed the key is. Block totals are
 pre-aggregated, turned into carries over the few blocks of each key, and added to the running
-value inside the block. Frames the optimizer estimates below ``BLOCK_BYTES`` use one block,
-which is the plain window.
+value inside the block. Frames of few rows use one block, which is the plain window; both ways
+give the same rows, null keys included. ``tidemark.blocks`` in the session sets the number of blocks.
 """
 
 from __future__ import annotations
@@ -19,14 +19,34 @@ from pyspark.sql import functions as F
 
 from tidemark.session import plan_bytes
 
-BLOCK_BYTES = 64 << 20
-MAX_BLOCKS = 2000
+BLOCK_ROWS = 2_000_000
+UNCOUNTED_BYTES = 4 << 20  # inputs below this are not counted first
+
+
+def blocks_for(df: DataFrame) -> int:
+    """Blocks that hold about ``BLOCK_ROWS`` rows each; there is no upper limit."""
+    forced = df.sparkSession.conf.get("tidemark.blocks", None)
+    if forced:
+        return int(forced)
+    return 1 if plan_bytes(df) <= UNCOUNTED_BYTES else max(1, math.ceil(df.count() / BLOCK_ROWS))
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", plain: Sequence[str] = ()) -> DataFrame:
+    """Join on equal ``keys``, where null equals null, and on ``plain``, where it does not; columns as in a join by name."""
+    names = {k: f"_right_{i}" for i, k in enumerate([*keys, *plain])}
+    renamed = right.withColumnsRenamed(names)
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(renamed[names[k]])
+    for k in plain:
+        on = on & (left[k] == renamed[names[k]])
+    return left.join(renamed, on, how).drop(*names.values())
 
 
 def block_edges(df: DataFrame, col: str, blocks: int | None = None) -> list[float]:
     """Cut points giving blocks of about equal row count; empty when one block is enough."""
     if blocks is None:
-        blocks = min(MAX_BLOCKS, math.ceil(plan_bytes(df) / BLOCK_BYTES))
+        blocks = blocks_for(df)
     if blocks <= 1:
         return []
     probs = [i / blocks for i in range(1, blocks)]
@@ -50,7 +70,7 @@ def prefix_scan(
 ) -> DataFrame:
     """Add inclusive running sums, running last non-null values and per-key totals.
 
-    ``by`` columns must not be null and ``order[0]`` must be numeric. Rows that tie on the whole
+    ``by`` columns may be null, which is a key of its own; ``order[0]`` must be numeric. Rows that tie on the whole
     of ``order`` get an arbitrary relative order, so pre-aggregate or add a unique column.
     """
     sums, lasts, totals = dict(sums or {}), dict(lasts or {}), dict(totals or {})
@@ -84,7 +104,7 @@ def prefix_scan(
         *[F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_l_{n}") for n in lasts],
         *[F.sum(f"_t_{n}").over(whole).alias(f"_t_{n}") for n in totals],
     )
-    joined = cut.join(carry, [*by, "_blk"], "left")
+    joined = join_keys(cut, carry, [*by, "_blk"], "left")
     w = Window.partitionBy(*key, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     keep = [c for c in df.columns]
     return joined.select(
@@ -117,7 +137,8 @@ def exact_quantiles(
     """Linear-interpolated quantiles per key, one row per key (one row in all when ``by`` is empty)."""
     by = list(by)
     known = df.filter(F.col(value).isNotNull())
-    if blocks is None and plan_bytes(df.select(*by, value)) <= BLOCK_BYTES:
+    blocks = blocks_for(df.select(*by, value)) if blocks is None else blocks
+    if blocks <= 1:
         aggs = [F.percentile(value, F.lit(q)).alias(name) for name, q in quantiles.items()]
         if n_out:
             aggs.append(F.count(F.lit(1)).alias(n_out))
@@ -145,16 +166,19 @@ def quantile_table(
     """Quantiles of several columns at once: output name -> (column, quantile), one pass over ``df``."""
     by = list(by)
     cols = list(dict.fromkeys(c for c, _ in specs.values()))
-    if blocks is None and plan_bytes(df.select(*by, *cols)) <= BLOCK_BYTES:
+    blocks = blocks_for(df.select(*by, *cols)) if blocks is None else blocks
+    if blocks <= 1:
         return df.groupBy(*by).agg(*[F.percentile(c, F.lit(q)).alias(o) for o, (c, q) in specs.items()])
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
     long = df.selectExpr(*by, f"stack({len(cols)}, {pairs}) AS (_col, _value)")
     qs = {f"_q{i}": q for i, q in enumerate(sorted({q for _, q in specs.values()}))}
     name_of = {q: n for n, q in qs.items()}
     tall = exact_quantiles(long, [*by, "_col"], "_value", qs, blocks)
-    return tall.groupBy(*by).agg(
+    wide = tall.groupBy(*by).agg(
         *[F.max(F.when(F.col("_col") == c, F.col(name_of[q]))).alias(o) for o, (c, q) in specs.items()]
     )
+    # groups without any value keep their row
+    return join_keys(df.select(*by).distinct(), wide, by, "left") if by else wide
 
 
 def average_ranks(
@@ -164,7 +188,7 @@ def average_ranks(
     by = list(by)
     runs = prefix_scan(counts_by_value(df, by, value), by, [value], sums={"_cum": F.col("_n")}, blocks=blocks)
     ranks = runs.select(*by, value, (F.col("_cum") - (F.col("_n") - 1) / 2.0).alias(out))
-    return df.join(ranks, [*by, value], "left")
+    return join_keys(df, ranks, by, "left", plain=[value])
 
 
 def id_hash(id_col: str | Column, seed: int | str = 0) -> Column:
@@ -183,11 +207,11 @@ def hash_rank(
 ) -> DataFrame:
     """1-based position by hash inside each key, ranked bucket by bucket.
 
-    Hashes are uniform, so 4096 prefix buckets split any key evenly; only the bucket counts
+    A null key or hash is a value of its own, as in a window. Hashes are uniform, so 4096 prefix buckets split any key evenly; only the bucket counts
     (4096 rows per key at most) are ordered globally.
     """
     by = list(by)
-    if not (plan_bytes(df) > BLOCK_BYTES if split is None else split):
+    if not (blocks_for(df) > 1 if split is None else split):
         w = Window.partitionBy(*([F.col(c) for c in by] or [F.lit(0)])).orderBy(hash_col)
         return df.withColumn(out, F.row_number().over(w).cast("long"))
     bucket = df.withColumn("_hb", F.conv(F.substring(hash_col, 1, 3), 16, 10).cast("int"))
@@ -196,7 +220,7 @@ def hash_rank(
     offsets = counts.select(*by, "_hb", (F.sum("_n").over(before) - F.col("_n")).alias("_off"))
     w = Window.partitionBy(*by, "_hb").orderBy(hash_col)
     return (
-        bucket.join(offsets, [*by, "_hb"])
+        join_keys(bucket, offsets, [*by, "_hb"])
         .withColumn(out, F.col("_off") + F.row_number().over(w))
         .drop("_hb", "_off")
     )
@@ -216,7 +240,7 @@ def size_rank(df: DataFrame, size: str, hash_col: str, out: str, by: Sequence[st
     offsets = counts.select(*by, size, "_hb", (F.sum("_n").over(before) - F.col("_n")).alias("_off"))
     w = Window.partitionBy(*by, size, "_hb").orderBy(hash_col)
     return (
-        marked.join(offsets, [*by, size, "_hb"])
+        join_keys(marked, offsets, [*by, size, "_hb"])
         .withColumn(out, F.col("_off") + F.row_number().over(w))
         .drop("_hb", "_off")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.constants import FOLDS, SEED
 from tidemark.operators.joins import with_one_row
 from tidemark.operators.metrics import qcut
-from tidemark.operators.scan import hash_rank, id_hash, size_rank
+from tidemark.operators.scan import hash_rank, id_hash, join_keys, size_rank
 
 
 def _snake(rank: Column, k: int) -> Column:
@@ -75,11 +75,11 @@ def balanced_sample(df: DataFrame, key: str, label: str, n: int, seed: int | str
 
 
 def stratified_sample(df: DataFrame, key: str, strata: Sequence[str], fraction: float, seed: int | str = SEED) -> DataFrame:
-    """ceil(fraction * size) rows of every stratum."""
+    """ceil(fraction * size) rows of every stratum; null is a stratum of its own."""
     ranked = hash_rank(df.withColumn("_h", id_hash(key, seed)), strata, "_h", "_rank")
     sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
     return (
-        ranked.join(sizes, list(strata))
+        join_keys(ranked, sizes, list(strata))
         .filter(F.col("_rank") <= F.ceil(F.lit(fraction) * F.col("_n")))
         .drop("_h", "_rank", "_n")
     )

@@ -305,17 +305,16 @@ def score_batch(
     candidates: DataFrame, model, calibration, bands: DataFrame, key: str = "item_id", caption: str = "desc",
     duration: str = "duration", extra: str = "transcript",
 ) -> DataFrame:
-    """Calibrated probability, decision, input warnings and a one-line rationale per candidate."""
+    """Calibrated probability, decision, input warnings and where p lies between the band edges, per candidate; none is dropped."""
     scored = L.apply_calibration(L.predict(model, candidates, "p_raw"), "p_raw", calibration, "p")
     d = apply_bands(scored, "p", bands).withColumn("warnings", X.data_warnings(caption, duration, extra))
-    lead = (
-        F.when(F.col("decision") == "Post", "Worth posting")
-        .when(F.col("decision") == "Do not post", "Likely below this author's bar")
-        .otherwise("Too close to call before publication")
-    )
-    return d.select(
-        key, "p", "decision", "warnings", F.format_string("%s (p=%.2f).", lead, F.col("p")).alias("rationale")
+    p, low, high = F.col("p"), F.col("t_low"), F.col("t_high")
+    why = (
+        F.when(p.isNull(), "p unknown").when(F.col("decision") == "Post", F.format_string("p %.3f >= %.3f", p, high))
+        .when(F.col("decision") == "Do not post", F.format_string("p %.3f < %.3f", p, low))
+        .otherwise(F.format_string("%.3f <= p %.3f < %.3f", low, p, high))
     )
+    return with_one_row(d, bands.select("t_low", "t_high")).select(key, "p", "decision", "warnings", why.alias("rationale"))
 
 
 def challenger_report(
@@ -328,8 +327,7 @@ def challenger_report(
     """
     n_new = matured.filter(F.col(label).isNotNull()).count()
     if n_new < min_rows:
-        reason = f"insufficient matured rows: {n_new} < {min_rows}"
-        return base.sparkSession.range(1).select(F.lit(n_new).alias("n_new"), F.lit(reason).alias("verdict"))
+        return base.sparkSession.range(1).select(F.lit(n_new).alias("n_new"), F.lit("too_few_rows").alias("verdict"))
     everything = base.unionByName(matured.withColumn("split", F.lit("new")), allowMissingColumns=True)
     ready, feats = build_blocks(everything, specs, F.col("split") == "train", label)
     ready = cut(ready.select("item_id", label, "split", *feats))
@@ -347,8 +345,6 @@ def challenger_report(
         auc("champion").alias("champion_auc"), auc("challenger").alias("challenger_auc"),
         F.max(F.when(F.col("who") == "challenger", F.col("brier"))).alias("challenger_brier"),
     )
-    verdict = F.when(F.col("challenger_auc") >= F.col("champion_auc"), "challenger is not worse: consider promotion").otherwise(
-        "challenger is worse: keep champion"
-    )
+    verdict = F.when(F.col("challenger_auc") >= F.col("champion_auc"), "not_worse").otherwise("worse")
     return one.select(F.lit(n_new).alias("n_new"), "*", verdict.alias("verdict"))
 

@@ -41,7 +41,7 @@ LOG_SQL = """WITH RECURSIVE ev AS (SELECT user_id AS item, user_id % 10 AS autho
       CASE WHEN s.a IS NULL THEN 'unknown' WHEN s.a <= 2 THEN 'ok' ELSE 'unreliable' END AS day1_validity,
       CASE WHEN lt IS NOT NULL THEN 'labeled' ELSE 'tracking' END AS status,
       CASE WHEN lt IS NOT NULL THEN (sn.views > sn.med)::INT::DOUBLE END AS label,
-      CASE WHEN lt IS NULL AND noted = 1 THEN 'matured but no baseline' END AS note
+      CASE WHEN lt IS NULL AND noted = 1 THEN 'no_baseline' END AS note
       FROM st LEFT JOIN d1 USING (item) LEFT JOIN lab USING (item) LEFT JOIN note USING (item) LEFT JOIN snap sn ON sn.item = st.item AND sn.t = lt)"""
 
 

@@ -123,14 +123,15 @@ def replay(stream: DataFrame, name: str) -> DataFrame:
 def tracked_table(log: DataFrame) -> DataFrame:
     """One row per item from the event log."""
     def of(event: str, value: str):
-        return F.max(F.when(F.col("event") == event, F.col(value)))
+        # the first event counts: an item seen again after its state was dropped changes nothing
+        return F.min_by(F.col(value), F.when(F.col("event") == event, F.col("t")))
 
     return log.groupBy("item_id").agg(
         of("registered", "author").alias("author"), of("registered", "t").alias("added_t"),
         of("day1", "views").alias("day1_views"), of("day1", "likes").alias("day1_likes"),
         of("day1", "age_days").alias("age_at_freeze"), of("label", "label").alias("label"),
         of("label", "t").alias("labeled_t"),
-        F.max(F.when(F.col("event") == "no_baseline", "matured but no baseline")).alias("_note"),
+        F.max(F.when(F.col("event") == "no_baseline", "no_baseline")).alias("_note"),
     ).select(
         "item_id", "author", "added_t", F.when(F.col("label").isNotNull(), "labeled").otherwise("tracking").alias("status"),
         "day1_views", "day1_likes", "age_at_freeze", day1_validity("age_at_freeze").alias("day1_validity"),
