@@ -98,7 +98,7 @@ def rules() -> dict[str, Column]:
         "calls": _vote(100 * c("n_calls") > 10 * n),
         "repeats": _vote(100 * c("n_repeat_words") > 15 * n),
         "lines": _vote(100 * c("n_dup_lines") > 25 * c("n_lines")),
-        "stops": _vote((100 * c("n_stops") < n) & (n >= 30), (100 * c("n_stops") >= 4 * n) & (100 * c("n_stops") <= 25 * n)),
+        "stops": _vote(F.lit(False), (100 * c("n_stops") >= 4 * n) & (100 * c("n_stops") <= 25 * n)),
         "length": _vote(n < LEAST_WORDS, n >= 2 * LEAST_WORDS),
         "word_size": _vote((10 * chars < 20 * n) | (10 * chars > 150 * n), (10 * chars >= 30 * n) & (10 * chars <= 90 * n)),
         "line_size": _vote(n < 3 * c("n_lines")),
