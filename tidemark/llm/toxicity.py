@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_batches
@@ -21,8 +21,8 @@ SAMPLE_ROWS = 8_000  # labelled documents to learn from, those first by md5 of t
 ENTRIES = 400  # lexicon entries
 EXCEPTIONS = 400
 LONGEST = 40  # characters of a word that may be an entry
-LEAST_DOCS = 5  # toxic training documents that an entry must occur in
 LEAST_WEIGHT = 2.0  # log ratio of document shares
+LEAST_EVIDENCE = 24.0  # likelihood-ratio statistic of an entry; chance reaches it about once in a million terms
 STEMS = range(4, 8)  # lengths of word beginnings that may be entries besides whole words
 
 #: Characters that look like a Latin letter, and signs written for one.
@@ -153,10 +153,18 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Dat
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")  # `rows` ids at most
 
 
+def _evidence(share: float) -> Column:
+    """Likelihood-ratio statistic of a term's toxic and clean documents against the toxic share of all."""
+    parts = [(F.col("bad"), share), (F.col("good"), 1 - share)]
+    both = F.col("bad") + F.col("good")
+    return 2 * sum((F.when(n > 0, n * F.log(n / (both * p))).otherwise(0.0) for n, p in parts), F.lit(0.0))
+
+
 def learn(sample: DataFrame, phrases: tuple[str, ...] = ()) -> Lexicon:
     """Lexicon and coefficients from (text, label).
 
-    Words and word beginnings are weighted by the log ratio of the toxic and clean documents that hold them.
+    Words and word beginnings are weighted by the log ratio of the toxic and clean documents that hold them;
+    an entry needs a likelihood-ratio statistic that chance does not reach among so many terms.
     An entry whose beginning already has most of its weight is left out. Words that begin like an entry but
     are as frequent in clean documents become exceptions; `phrases` are exceptions that the caller adds.
     With no toxic or no clean row the lexicon is empty and every score is low.
@@ -170,9 +178,9 @@ def learn(sample: DataFrame, phrases: tuple[str, ...] = ()) -> Lexicon:
         F.sum("bad").alias("bad"), F.sum("good").alias("good")
     )
     weight = F.log((F.col("bad") + 0.5) / (n_bad + 1.0)) - F.log((F.col("good") + 0.5) / (n_good + 1.0))
-    counts = counts.withColumn("weight", weight).persist()
+    counts = counts.withColumn("weight", weight).withColumn("evidence", _evidence(n_bad / (n_bad + n_good))).persist()
     value = F.col("weight") * F.sqrt("bad")
-    top = counts.filter((F.col("bad") >= LEAST_DOCS) & (F.col("weight") >= LEAST_WEIGHT)).orderBy(value.desc(), F.length("term"), "kind", "term")
+    top = counts.filter((F.col("evidence") >= LEAST_EVIDENCE) & (F.col("weight") >= LEAST_WEIGHT)).orderBy(value.desc(), F.length("term"), "kind", "term")
     for r in top.limit(4 * ENTRIES).collect():
         held = [lexicon.stem[r["term"][:k]] for k in STEMS if r["term"][:k] in lexicon.stem]
         if len(lexicon.word) + len(lexicon.stem) < ENTRIES and not (held and max(held) >= r["weight"] - 1.0):
@@ -189,7 +197,10 @@ def learn(sample: DataFrame, phrases: tuple[str, ...] = ()) -> Lexicon:
 
 
 def _fit(sample: DataFrame, lexicon: Lexicon) -> Lexicon:
-    """Coefficients by Newton steps; the sums over the sample are made in the tasks, 4 x 4 numbers come back."""
+    """Coefficients by Newton steps over the features of the sample, three numbers a row.
+
+    The intercept is then moved so that the score REJECT is the limit with the best F1 on the sample.
+    """
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = lexicon.automaton()
@@ -210,10 +221,22 @@ def _fit(sample: DataFrame, lexicon: Lexicon) -> Lexicon:
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         ridge = np.diag([0.0, 1e-1, 1e-1, 1e-1])
         b = b + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(4), x.T @ (y - p) - ridge @ b)
+    b[0] += math.log(REJECT / (1 - REJECT)) - _best_limit(x @ b, y)
     lexicon.coefficients = tuple((b / scale).tolist())
     return lexicon
 
 
+def _best_limit(z: np.ndarray, y: np.ndarray) -> float:
+    """The limit halfway between two different values of z that has the best F1 for labels y; the lowest of equals."""
+    values, at = np.unique(z, return_inverse=True)
+    if len(values) < 2:
+        return float(values[0]) + 1.0
+    bad, every = (np.bincount(at, w, len(values))[::-1].cumsum()[::-1] for w in (y, np.ones(len(y))))
+    f1 = 2 * bad[1:] / (every[1:] + y.sum())
+    best = int(np.argmax(f1))
+    return float(values[best] + values[best + 1]) / 2
+
+
 def scored(docs: DataFrame, lexicon: Lexicon, name: str = "score") -> DataFrame:
     """`docs` with a score from 0 to 1 of their whole text, which is the only input; null text scores as empty."""
     plain = docs.select(F.struct("*").alias("doc"), "text")
