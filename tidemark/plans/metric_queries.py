@@ -280,36 +280,35 @@ def boot_sql(reps: int, scores: dict[str, str], seed: str) -> str:
 
 @query(
     "bootstrap_auc",
-    boot_sql(50, {"a": "p"}, "0") + " SELECT round(quantile_cont(roc_auc, 0.025), 9) AS lo, round(quantile_cont(roc_auc, 0.975), 9) AS hi, count(*) AS replicates FROM reps",
+    boot_sql(1000, {"a": "p"}, "0") + " SELECT round(quantile_cont(roc_auc, 0.025), 9) AS lo, round(quantile_cont(roc_auc, 0.975), 9) AS hi, count(*) AS replicates FROM reps",
 )
 def bootstrap_auc(spark, d):
-    return R.bootstrap_ci(fx.scored(spark, d), "roc_auc", "y", "p", "item_id", n=50).select("replicates", *rounded("lo", "hi"))
+    return R.bootstrap_ci(fx.scored(spark, d), "roc_auc", "y", "p", "item_id").select("replicates", *rounded("lo", "hi"))
 
 
 @query(
     "bootstrap_delta",
-    boot_sql(30, {"a": "floor(p * 100) / 100", "b": "floor(least(p * 0.5 + k / 250.0::DOUBLE, 1) * 100) / 100"}, "0") + """, j AS (SELECT b.roc_auc - a.roc_auc AS roc_auc, b.avg_precision - a.avg_precision AS avg_precision,
+    boot_sql(1000, {"a": "p", "b": "least(p * 0.5 + k / 250.0::DOUBLE, 1)"}, "0") + """, j AS (SELECT b.roc_auc - a.roc_auc AS roc_auc, b.avg_precision - a.avg_precision AS avg_precision,
       b.f1_pos - a.f1_pos AS f1_pos, b.recall_pos - a.recall_pos AS recall_pos FROM reps a JOIN reps b USING (rep) WHERE a.s = 'a' AND b.s = 'b'),
     t AS (UNPIVOT j ON roc_auc, avg_precision, f1_pos, recall_pos INTO NAME metric VALUE delta)
     SELECT metric, round(quantile_cont(delta, 0.025), 9) AS lo, round(quantile_cont(delta, 0.5), 9) AS mid, round(quantile_cont(delta, 0.975), 9) AS hi FROM t GROUP BY metric""",
 )
 def bootstrap_delta(spark, d):
-    s = fx.scored(spark, d).withColumn("p2", F.floor(F.least(F.col("p") * 0.5 + F.col("k") / 250.0, F.lit(1.0)) * 100) / 100)
-    s = s.withColumn("p", F.floor(F.col("p") * 100) / 100)
-    return R.bootstrap_delta(s, "y", "p", "p2", "item_id", n=30).select("metric", *rounded("lo", "mid", "hi"))
+    s = fx.scored(spark, d).withColumn("p2", F.least(F.col("p") * 0.5 + F.col("k") / 250.0, F.lit(1.0)))
+    return R.bootstrap_delta(s, "y", "p", "p2", "item_id").select("metric", *rounded("lo", "mid", "hi"))
 
 
 @query(
     "group_median_ci",
     "WITH " + fx.ITEMS_SQL + f""", wts AS (SELECT item_id, author_id, rep, value, {POISSON_SQL} AS w FROM (SELECT item_id, author_id, rep, value,
-        ('0x' || substr(md5(item_id || ':' || ((rep - 1) // 4) || ':0'), 8 * ((rep - 1) % 4) + 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM items, (SELECT unnest(range(1, 21)) AS rep))),
+        ('0x' || substr(md5(item_id || ':' || ((rep - 1) // 4) || ':0'), 8 * ((rep - 1) % 4) + 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM items, (SELECT unnest(range(1, 151)) AS rep))),
     m AS (SELECT author_id, rep, quantile_cont(value, 0.5) AS m FROM wts, range(1, w + 1) GROUP BY ALL),
     wd AS (SELECT author_id, quantile_cont(m, 0.975) - quantile_cont(m, 0.025) AS w FROM m GROUP BY author_id),
     b AS (SELECT author_id, quantile_cont(value, 0.5) AS med, count(*) AS n FROM items GROUP BY author_id)
     SELECT author_id, n, round(med, 9) AS median, round(w / med, 9) AS rel_width FROM b JOIN wd USING (author_id)""",
 )
 def group_median_ci(spark, d):
-    return R.group_median_ci(fx.items(spark, d), "author_id", "value", "item_id", n=20).select("author_id", "n", *rounded("median", "rel_width"))
+    return R.group_median_ci(fx.items(spark, d), "author_id", "value", "item_id").select("author_id", "n", *rounded("median", "rel_width"))
 
 
 # ---- decisions

@@ -158,7 +158,7 @@ def out_of_fold(spark, d):
 
 @query("experiment_run")
 def experiment_run(spark, d):
-    return X.run_experiment(model_items(spark, d), FULL, "logit", replicates=20).drop("seconds")
+    return X.run_experiment(model_items(spark, d), FULL, "logit", replicates=1000).drop("seconds")
 
 
 @query("staged_ablation")
