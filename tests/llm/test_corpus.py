@@ -326,3 +326,13 @@ def test_pipeline_on_awkward_tables(spark, docs, none, labels, benchmark, tmp_pa
     texts = {r.text for r in got.collect()}
     assert PASSAGE not in texts and got.columns == [*docs.columns, "shard", "slot"]
     assert len(corpus_pipeline.STAGES) == 5 and all(f(spark, none, str(tmp_path)).count() == 0 for _, f in corpus_pipeline.STAGES)
+
+
+def test_toxicity_limit_parts_the_classes_and_chance_terms_stay_out(spark):
+    import numpy as np
+
+    assert toxicity._best_limit(np.array([0.0, 1.0, 3.0, 4.0]), np.array([0.0, 0.0, 1.0, 1.0])) == 2.0
+    assert toxicity._best_limit(np.array([1.0, 1.0]), np.array([0.0, 1.0])) == 2.0
+    seen = [(1, 20, 0), (2, 5, 3), (3, 0, 9)]  # a sure term, one by chance, a clean one
+    df = spark.createDataFrame(seen, "term int, bad long, good long").withColumn("e", toxicity._evidence(0.115))
+    assert [r.e >= toxicity.LEAST_EVIDENCE for r in df.orderBy("term").collect()][:2] == [True, False]
