@@ -139,3 +139,14 @@ def test_poisson_weights_have_mean_one(spark):
 def test_ece_of_a_perfect_score_is_zero(spark):
     df = spark.createDataFrame([(1, 1.0), (0, 0.0)] * 10, "y int, p double")
     assert M.ece(df, "y", "p").first().ece == 0
+
+
+def test_bootstrap_edges_of_the_input(spark):
+    typed = "id long, y int, p double, q double"
+    none = spark.createDataFrame([], typed)
+    assert R.bootstrap_ci(none, "roc_auc", "y", "p", "id", n=8).first().replicates == 0
+    rows = [(i, i % 2, 0.5, 0.1 * (i % 7)) for i in range(60)] + [(None, 1, 0.5, None), (61, None, 0.5, 0.3), (62, 1, None, 0.4)]
+    df = spark.createDataFrame(rows, typed)
+    tied = R.replicate_metrics(df, "y", "p", "id", n=8).collect()
+    assert len(tied) == 8 and all(r.roc_auc == 0.5 for r in tied)
+    assert {r.metric for r in R.bootstrap_delta(df, "y", "p", "q", "id", n=8).collect()} == {"f1_pos", "recall_pos", "avg_precision", "roc_auc"}
