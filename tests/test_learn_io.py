@@ -47,9 +47,21 @@ def test_isotonic_is_monotone_and_clips(table):
 
 def test_contributions_reproduce_the_model(table, spark):
     model = L.fit(table, "logit", ["x0", "x1"], "y")
-    c = L.linear_contributions(table, "item_id", ["x0", "x1"], L.linear_table(model, ["x0", "x1"], spark))
-    j = L.linear_score(c, "item_id", "p2").join(L.predict(model, table), "item_id").toPandas()
+    rows = L.linear_table(model, ["x0", "x1"], spark)
+    scored = L.linear_score(table, ["x0", "x1"], rows, "p2").select("item_id", "p2")
+    j = scored.join(L.predict(model, table), "item_id").toPandas()
     np.testing.assert_allclose(j["p"], j["p2"], atol=1e-9)
+    c = L.linear_contributions(table, "item_id", ["x0", "x1"], rows).toPandas()
+    assert len(c) == 600 and c[c.feature == "x1"]["value"].isna().sum() == 30
+    total = c.groupby("item_id")["contribution"].sum() + c.groupby("item_id")["intercept"].first()
+    np.testing.assert_allclose(j.set_index("item_id")["p"].sort_index(), 1 / (1 + np.exp(-total.sort_index())), atol=1e-9)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(item_id" not in plan
+    top = L.top_factors(table, "item_id", ["x0", "x1"], rows, n=1).toPandas().set_index("item_id")["factor"]
+    size = c.assign(s=c["contribution"].abs()).pivot(index="item_id", columns="feature", values="s")
+    assert (size.idxmax(axis=1).sort_index() == top.sort_index()).all()
+    both = L.top_factors(table, "item_id", ["x0", "x1"], rows, bucket={"x": "all"}).toPandas()
+    assert set(both["factor"]) == {"all"} and len(both) == 300
 
 
 def test_permutation_keeps_the_values(table):
@@ -77,6 +89,23 @@ def test_text_encoder_separates_topics(spark):
     assert abs((a @ b.T)).max() < 1e-6 < (a @ a.T).min()
 
 
+def test_text_vectors_have_k_numbers_whatever_the_vocabulary(spark):
+    rows = [(0, "cats purr"), (1, "cats sleep"), (2, None), (3, ""), (4, "unknown words only")]
+    v = L.tfidf_svd(spark.createDataFrame(rows, "id int, text string"), "text", F.col("id") < 2, k=9, min_df=1).toPandas().set_index("id")["sv"]
+    assert {len(x) for x in v} == {9} and not any(map(any, v[2:5])) and all(map(any, v[:2]))
+
+
+def test_projection_of_sparse_rows_in_chunks(monkeypatch):
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    dense = rng.normal(size=(30, 12)) * (rng.random((30, 12)) < 0.3)
+    basis = rng.normal(size=(12, 4))
+    ids = pd.Series([np.flatnonzero(r) for r in dense])
+    monkeypatch.setattr(L, "TERMS_AT_ONCE", 7)
+    np.testing.assert_allclose(L._project(ids, pd.Series([r[r != 0] for r in dense]), basis), dense @ basis, atol=1e-12)
+
+
 def test_challenger_needs_enough_rows(table):
     few = table.limit(3).drop("split")
     r = X.challenger_report(table, few, [], "logit").first()
@@ -91,6 +120,15 @@ def test_json_arrays_skip_bad_files_and_keep_the_first(spark, tmp_path):
     assert got == {"1": 0.5, "2": None, "3": 1.0}
 
 
+def test_json_lines_of_equal_file_names_keep_the_first_folder(spark, tmp_path):
+    for folder, value in (("b", "0.9"), ("a", "0.5")):
+        (tmp_path / folder).mkdir()
+        lines = [{"item_id": str(i), "hook": value} for i in range(50)] + [{"item_id": "0", "hook": "7"}]
+        (tmp_path / folder / "part.json").write_text("\n".join(map(json.dumps, lines)))
+    got = readers.read_json_scores(spark, f"{tmp_path}/*/part.json", "item_id string, hook string", multi_line=False).collect()
+    assert {r.hook for r in got} == {0.5} and len(got) == 50
+
+
 def test_materialise_once_builds_once(spark):
     calls, path = [], fresh_path(spark, "once")
 

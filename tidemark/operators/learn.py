@@ -108,7 +108,8 @@ class TextEncoder:
     """TF-IDF followed by a truncated SVD, fitted on train text and applied to any text column.
 
     The vocabulary is bounded by ``terms``, so the projection matrix (terms x k) is a bounded
-    broadcast. ``bigrams`` adds two-word terms.
+    broadcast. ``bigrams`` adds two-word terms. Vectors always have ``k`` numbers: a vocabulary
+    that is too small for so many components leaves the last ones 0.
     """
 
     def __init__(self, terms: int = 8000, min_df: float = 5, k: int = 60, bigrams: bool = False):
@@ -129,8 +130,9 @@ class TextEncoder:
         counter = CountVectorizer(inputCol="_t", outputCol="_c", vocabSize=self.terms, minDF=self.min_df).fit(tokens)
         counts = counter.transform(tokens).select("_c")
         idf = IDF(inputCol="_c", outputCol="_x").fit(counts).idf.toArray() + 1.0
-        weighted = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_c", outputCol="_x").transform(counts)
-        unit = Normalizer(inputCol="_x", outputCol="_n").transform(weighted).select("_n")
+        weights = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_c", outputCol="_x")
+        self.stages = [counter, weights, Normalizer(inputCol="_x", outputCol="_n")]
+        unit = self._unit(tokens).select("_n")
         k = max(1, min(self.k, len(counter.vocabulary) - 1))
         # the iterative solver passes over the rows many times, so they are written once and kept
         rows = cut(MLUtils.convertVectorColumnsFromML(unit, "_n")).persist()
@@ -138,28 +140,43 @@ class TextEncoder:
             v = RowMatrix(rows).computeSVD(k).V.toArray()
         rows.unpersist()
         flip = np.sign(v[np.abs(v).argmax(axis=0), range(v.shape[1])])
-        self.k, self.vocabulary, self.idf, self.basis = v.shape[1], counter.vocabulary, idf, v * flip
+        self.basis = np.zeros((v.shape[0], self.k))
+        self.basis[:, : v.shape[1]] = v * flip
         return self
 
+    def _unit(self, tokens: DataFrame) -> DataFrame:
+        """Unit TF-IDF vectors ``_n`` of the tokens."""
+        for stage in self.stages:
+            tokens = stage.transform(tokens)
+        return tokens.drop("_t", "_c", "_x")
+
     def transform(self, df: DataFrame, text: str, out: str) -> DataFrame:
-        table = {t: i for i, t in enumerate(self.vocabulary)}
-        shared = df.sparkSession.sparkContext.broadcast((table, self.idf, self.basis))
+        shared = df.sparkSession.sparkContext.broadcast(self.basis)
 
         @F.pandas_udf("array<double>")
-        def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            index, idf, basis = shared.value
-            for tokens in batches:
-                rows = []
-                for terms in tokens:
-                    ids, n = np.unique([index[t] for t in terms if t in index], return_counts=True)
-                    if len(ids) == 0:
-                        rows.append(np.zeros(basis.shape[1]))
-                        continue
-                    w = n * idf[ids.astype(int)]
-                    rows.append((w / np.linalg.norm(w)) @ basis[ids.astype(int)])
-                yield pd.Series(rows)
-
-        return self._tokens(df, text).withColumn(out, encode("_t")).drop("_t")
+        def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+            for sparse in batches:
+                yield pd.Series(list(_project(sparse["indices"], sparse["values"], shared.value)))
+
+        unit = self._unit(self._tokens(df, text))
+        return unit.withColumn(out, project(F.unwrap_udt("_n"))).drop("_n")
+
+
+TERMS_AT_ONCE = 200_000  # terms whose basis rows are held together
+
+
+def _project(ids: pd.Series, values: pd.Series, basis: np.ndarray) -> np.ndarray:
+    """Sparse rows times a dense basis, some hundred thousand terms at a time."""
+    sizes = np.array([len(i) for i in ids], dtype=np.int64)
+    out = np.zeros((len(sizes), basis.shape[1]))
+    chunk = np.cumsum(sizes) // TERMS_AT_ONCE
+    for c in np.unique(chunk):
+        rows = np.flatnonzero((chunk == c) & (sizes > 0))
+        if len(rows):
+            terms, weight = np.concatenate(ids.to_numpy()[rows]), np.concatenate(values.to_numpy()[rows])
+            starts = np.concatenate([[0], np.cumsum(sizes[rows])[:-1]])
+            out[rows] = np.add.reduceat(basis[terms] * weight[:, None], starts, axis=0)
+    return out
 
 
 def tfidf_svd(df: DataFrame, text: str, train: Column, out: str = "sv", k: int = 60, **kw) -> DataFrame:
@@ -330,19 +347,59 @@ def linear_table(model: PipelineModel, features: Sequence[str], spark) -> DataFr
     return spark.createDataFrame(rows, "feature string, median double, mean double, std double, coef double, intercept double")
 
 
+def _contributed(df: DataFrame, features: Sequence[str], table: DataFrame) -> DataFrame:
+    """``df`` with ``_c``, the array of (feature, value, contribution) in the order of ``features``, and the intercept.
+
+    ``table`` has one row per feature; it becomes one row of arrays, so rows are scored where they lie.
+    A feature that the table lacks contributes nothing.
+    """
+    cell = F.struct("feature", F.struct("median", "mean", "std", "coef"))
+    held = table.agg(F.map_from_entries(F.collect_list(cell)).alias("_map"), F.first("intercept").alias("_intercept"))
+    names = F.array(*[F.lit(f) for f in features])
+    one = held.select(
+        F.transform(names, lambda f: F.struct(f.alias("feature"), F.try_element_at("_map", f).alias("m"))).alias("_model"), "_intercept"
+    )
+    values = F.array(*[F.col(f).cast("double") for f in features])
+
+    def term(m: Column, v: Column) -> Column:
+        z = (F.coalesce(v, m["m"]["median"]) - m["m"]["mean"]) / m["m"]["std"]
+        return F.struct(m["feature"].alias("feature"), v.alias("value"), (m["m"]["coef"] * z).alias("contribution"), m["m"].isNotNull().alias("known"))
+
+    terms = F.filter(F.zip_with("_model", values, term), lambda t: t["known"])
+    return with_one_row(df, one).withColumn("_c", terms).drop("_model")
+
+
 def linear_contributions(df: DataFrame, key: str, features: Sequence[str], table: DataFrame) -> DataFrame:
     """Signed contribution coef * z per row and feature; ``table`` has one row per feature."""
-    pairs = ", ".join(f"'{f}', CAST(`{f}` AS DOUBLE)" for f in features)
-    tall = df.selectExpr(key, f"stack({len(features)}, {pairs}) AS (feature, value)")
-    j = tall.join(F.broadcast(table), "feature")  # as many rows as features
-    z = (F.coalesce("value", "median") - F.col("mean")) / F.col("std")
-    return j.select(key, "feature", "value", (F.col("coef") * z).alias("contribution"), "intercept")
+    tall = _contributed(df, features, table).select(key, F.explode("_c").alias("_e"), F.col("_intercept").alias("intercept"))
+    return tall.select(key, "_e.feature", "_e.value", "_e.contribution", "intercept")
+
 
+def linear_score(df: DataFrame, features: Sequence[str], table: DataFrame, out: str = "p") -> DataFrame:
+    """Add the probability of a linear model given as rows; no row moves."""
+    total = F.aggregate("_c", F.col("_intercept"), lambda s, t: s + t["contribution"])
+    return _contributed(df, features, table).withColumn(out, sigmoid(total)).drop("_c", "_intercept")
 
-def linear_score(contributions: DataFrame, key: str, out: str = "p") -> DataFrame:
-    """Probability from contributions."""
-    return contributions.groupBy(key).agg(
-        sigmoid(F.sum("contribution") + F.first("intercept")).alias(out)
+
+def top_factors(
+    df: DataFrame, key: str, features: Sequence[str], table: DataFrame, n: int = 6, bucket: Mapping[str, str] | None = None
+) -> DataFrame:
+    """The ``n`` largest contributions per row by size; features with a bucket's prefix are summed first."""
+    def label(feature: str) -> str:
+        return next((group for prefix, group in reversed(list((bucket or {}).items())) if feature.startswith(prefix)), feature)
+
+    groups: dict[str, list[str]] = {}
+    for f in features:
+        groups.setdefault(label(f), []).append(f)
+    by_name = F.map_from_entries(F.transform("_c", lambda t: F.struct(t["feature"], t["contribution"])))
+    sums = [
+        F.struct(F.lit(g).alias("factor"), reduce(lambda a, b: a + b, [F.coalesce(F.col("_by")[f], F.lit(0.0)) for f in fs]).alias("contribution"))
+        for g, fs in groups.items()
+    ]
+    ordered = F.array_sort(F.transform(F.array(*sums), lambda t: F.struct((-F.abs(t["contribution"])).alias("o"), t["factor"], t["contribution"])))
+    rows = _contributed(df, features, table).select(key, by_name.alias("_by")).select(key, F.posexplode(F.slice(ordered, 1, n)).alias("_p", "_f"))
+    return rows.select(
+        key, (F.col("_p") + 1).alias("rank"), F.col("_f.factor").alias("factor"), F.col("_f.contribution").alias("contribution")
     )
 
 

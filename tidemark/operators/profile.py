@@ -216,22 +216,6 @@ def distinct_per_group(df: DataFrame, by: str, value: str) -> DataFrame:
     )
 
 
-def top_factors(contrib: DataFrame, key: str, name: str, value: str, n: int = 6, bucket: Mapping[str, str] | None = None) -> DataFrame:
-    """The ``n`` largest contributions per row by size; names with a bucket prefix are summed first."""
-    label = F.col(name)
-    for prefix, group in (bucket or {}).items():
-        label = F.when(F.col(name).startswith(prefix), group).otherwise(label)
-    summed = contrib.groupBy(key, label.alias("factor")).agg(F.sum(value).alias("contribution"))
-    best = F.slice(
-        F.sort_array(F.collect_list(F.struct((-F.abs("contribution")).alias("o"), "factor", "contribution"))), 1, n
-    )
-    return (
-        summed.groupBy(key).agg(best.alias("_b"))
-        .select(key, F.posexplode("_b").alias("_p", "_f"))
-        .select(key, (F.col("_p") + 1).alias("rank"), F.col("_f.factor").alias("factor"), F.col("_f.contribution").alias("contribution"))
-    )
-
-
 def growth_grid(
     panel: DataFrame, key: str, day: str, value: str, target_day: int, max_day: int,
     t0_grid: Sequence[float], b_grid: Sequence[float],

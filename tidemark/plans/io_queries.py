@@ -33,13 +33,15 @@ def csv_manifest(spark, d):
     "SELECT doc_id::VARCHAR AS item_id, quality::DOUBLE AS hook, CASE WHEN doc_id % 5 <> 0 THEN toxic::DOUBLE END AS clarity FROM labels",
 )
 def json_scores_union(spark, d):
-    """Two batches of score files; the second repeats ids with other values, and some lines are broken."""
+    """Two batches of score files; the second repeats every id with other values, between broken lines."""
     path = fresh_path(spark, "scores")
     lab = fx.table(spark, d, "labels")
     item = F.col("doc_id").cast("string").alias("item_id")
     bad = F.when(F.col("doc_id") % 5 == 0, "n/a").otherwise(F.col("toxic").cast("string"))
     lab.select(item, F.col("quality").cast("string").alias("hook"), bad.alias("clarity")).write.json(f"{path}/batch=1")
-    lab.select(F.concat(F.lit('{"item_id": "'), F.col("doc_id").cast("string"), F.lit('", "hook": '))).write.text(f"{path}/batch=2")
+    start = F.concat(F.lit('{"item_id": "'), F.col("doc_id").cast("string"), F.lit('", "hook": '))
+    again = F.concat(start, (F.col("quality") + 5).cast("string"), F.lit(', "clarity": 9}'))
+    lab.select(F.explode(F.array(start, again))).write.text(f"{path}/batch=2")
     scores = readers.read_json_scores(
         spark, f"{path}/*", "item_id string, hook string, clarity string", multi_line=False
     )

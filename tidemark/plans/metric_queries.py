@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import decide as D
 from tidemark.operators import metrics as M
 from tidemark.operators import resample as R
-from tidemark.operators.panel import absolute_label, latest_at_many, within_group_label
+from tidemark.operators.joins import with_one_row
+from tidemark.operators.panel import absolute_label, latest_at_many
 from tidemark.operators.scan import exact_quantiles, prefix_scan
 from tidemark.operators.splits import ips_weights
 from tidemark.plans.registry import query
@@ -227,7 +228,8 @@ def fame_leak(spark, d):
 )
 def early_window(spark, d):
     wide = latest_at_many(fx.panel(spark, d), "item_id", "days_since_post", "play_count", [0, 3, 7, 14]).fillna(0.0)
-    labelled = within_group_label(wide.withColumn("all", F.lit(1)), "play_count_14", "all", "c", "y")
+    median = exact_quantiles(wide, [], "play_count_14", {"_median": 0.5})
+    labelled = with_one_row(wide, median).withColumn("y", (F.col("play_count_14") > F.col("_median")).cast("int"))
     return M.early_window(labelled, "y", {h: f"play_count_{h}" for h in (0, 3, 7, 14)}, 14).select("day", *rounded("roc_auc", "share_of_final"))
 
 

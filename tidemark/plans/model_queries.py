@@ -14,7 +14,6 @@ from tidemark.operators import splits as Z
 from tidemark.operators.history import author_history
 from tidemark.operators.joins import left_with_default
 from tidemark.operators.metrics import metrics, rank_metrics
-from tidemark.operators.profile import top_factors as largest_factors
 from tidemark.operators.scan import exact_quantiles, quantile_table
 from tidemark.operators.similar import knn_features, knn_join
 from tidemark.plans import experiment as X
@@ -59,28 +58,28 @@ def labelled_docs(spark, d) -> DataFrame:
 @query("tfidf_svd")
 def tfidf_svd(spark, d):
     docs = fx.table(spark, d, "documents").select("doc_id", "text")
-    v = L.tfidf_svd(docs, "text", F.col("doc_id") % 4 != 0, k=20)
+    v = L.tfidf_svd(docs, "text", F.col("doc_id") % 4 != 0)
     return v.select("doc_id", F.size("sv").alias("dim"), *[F.round(F.col("sv")[i], 6).alias(f"sv{i}") for i in range(3)])
 
 
 @query("tfidf_bigrams")
 def tfidf_bigrams(spark, d):
     docs = fx.table(spark, d, "documents").select("doc_id", "text")
-    v = L.tfidf_svd(docs, "text", F.col("doc_id") % 4 != 0, k=10, terms=4000, bigrams=True)
+    v = L.tfidf_svd(docs, "text", F.col("doc_id") % 4 != 0, terms=4000, bigrams=True)
     return v.select("doc_id", F.size("sv").alias("dim"), F.round(F.col("sv")[0], 6).alias("sv0"))
 
 
 @query("pca_vectors")
 def pca_vectors(spark, d):
     e = fx.table(spark, d, "embeddings")
-    p = L.pca(e, "embedding", F.col("vec_id") % 5 != 0, "pc", k=16)
+    p = L.pca(e, "embedding", F.col("vec_id") % 5 != 0, "pc")
     return p.select("vec_id", F.round(F.abs(F.col("pc")[0]), 6).alias("pc0"), F.size("pc").alias("dim"))
 
 
 @query("cluster_prior")
 def cluster_prior(spark, d):
     e = fx.table(spark, d, "embeddings").withColumn("y", F.col("label") % 2)
-    c = L.cluster_prior(e, "embedding", "y", F.col("vec_id") % 5 != 0, k=10)
+    c = L.cluster_prior(e, "embedding", "y", F.col("vec_id") % 5 != 0)
     return c.select("vec_id", "cluster", F.round("cluster_rate", 6).alias("cluster_rate"), F.round("cluster_size_log", 6).alias("cluster_size_log"))
 
 
@@ -110,20 +109,30 @@ def gbt_temporal(spark, d):
 def model_families(spark, d):
     return _temporal(
         spark, d, ["mlp", "forest", "gaussian_nb", "linear_svc", "balanced_logit"],
-        mlp={"maxIter": 30}, forest={"numTrees": 20},
+        mlp={"maxIter": 120}, forest={"numTrees": 300},
     )
 
 
-@query("knn_vote")
+@query(
+    "knn_vote",
+    f"""WITH n AS (SELECT q.vec_id, (q.label % 2)::INT AS y, (b.label % 2)::INT AS hit,
+      row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rk
+      FROM embeddings q JOIN embeddings b ON b.vec_id % 5 <> 0 AND b.vec_id <> q.vec_id),
+    v AS (SELECT vec_id, any_value(y) AS y, sum(hit) / count(*)::DOUBLE AS p FROM n WHERE rk <= 50 GROUP BY vec_id), a AS ({auc_sql('v')})
+    SELECT (SELECT count(*) FROM v) AS n, round(roc_auc, 9) AS roc_auc, (SELECT round(avg((p - y) * (p - y)), 9) FROM v) AS brier,
+      (SELECT round(avg((y = (p >= 0.5)::INT)::INT::DOUBLE), 9) FROM v) AS accuracy FROM a""",
+)
 def knn_vote(spark, d):
     """Share of positive labels among the nearest train vectors, as a classifier."""
     e = fx.table(spark, d, "embeddings").withColumn("y", (F.col("label") % 2).cast("int"))
     bank = e.filter("vec_id % 5 <> 0")  # the train rows; every row is scored, none finds itself
     near = knn_features(
-        knn_join(e, bank.withColumnRenamed("y", "hit"), "vec_id", "vec_id", "embedding", "embedding", 15, payload=["hit"]),
+        knn_join(e, bank.withColumnRenamed("y", "hit"), "vec_id", "vec_id", "embedding", "embedding", 50, payload=["hit"]),
         "vec_id", "hit",
     )
-    return metrics(e.join(near, "vec_id"), "y", "knn_success").select("n", "roc_auc", "brier", "accuracy")
+    return metrics(e.join(near, "vec_id"), "y", "knn_success").select(
+        "n", *[F.round(c, 9).alias(c) for c in ("roc_auc", "brier", "accuracy")]
+    )
 
 
 @query("sample_weighted_fit")
@@ -164,36 +173,36 @@ def experiment_run(spark, d):
 @query("staged_ablation")
 def staged_ablation(spark, d):
     stages = [("caption", ["caption"]), ("+timing", ["caption", "timing"]), ("+history", ["caption", "timing", "author_history"])]
-    return X.ablation(model_items(spark, d), stages, "logit", protocols=["temporal"]).drop("seconds")
+    return X.ablation(model_items(spark, d), stages, "logit").drop("seconds")
 
 
 @query("add_one_ablation")
 def add_one_ablation(spark, d):
-    return X.ablation(model_items(spark, d), X.add_one(["caption"], ["topic", "music"]), "logit", protocols=["temporal"]).drop("seconds")
+    return X.ablation(model_items(spark, d), X.add_one(["caption"], ["topic", "music"]), "logit").drop("seconds")
 
 
 @query("drop_group_ablation")
 def drop_group_ablation(spark, d):
-    return X.ablation(model_items(spark, d), X.drop_group(["caption", "timing"]), "logit", protocols=["temporal"]).drop("seconds")
+    return X.ablation(model_items(spark, d), X.drop_group(["caption", "timing"]), "logit").drop("seconds")
 
 
 @query("theory_table")
 def theory_table(spark, d):
     families = [("caption", ["caption"]), ("timing", ["timing"]), ("recency", ["author_recency"]), ("trend", ["trend"])]
-    return X.ablation(model_items(spark, d), families, "logit", protocols=["cross_author"], folds=2).drop("seconds", "delta")
+    return X.ablation(model_items(spark, d), families, "logit", protocols=["cross_author"]).drop("seconds", "delta")
 
 
 @query("target_contrast")
 def target_contrast(spark, d):
     items = P.absolute_label(model_items(spark, d), "value", 0.7, "y_absolute")
     configs = {"content": ["caption"], "history": ["author_history"]}
-    return X.target_contrast(items, configs, ["y", "y_absolute"], "logit", protocols=["temporal"]).drop("seconds")
+    return X.target_contrast(items, configs, ["y", "y_absolute"], "logit").drop("seconds")
 
 
 @query("semantic_block")
 def semantic_block(spark, d):
     return X.run_experiment(
-        model_items(spark, d), ["caption", "semantic:10"], "logit", protocols=["temporal"]
+        model_items(spark, d), ["caption", "semantic"], "logit"
     ).drop("seconds")
 
 
@@ -292,8 +301,7 @@ def _linear_table(s: DataFrame) -> DataFrame:
 )
 def linear_scorer(spark, d):
     s = fx.scored(spark, d)
-    c = L.linear_contributions(s, "item_id", [f for f, _ in LINEAR], _linear_table(s))
-    return L.linear_score(c, "item_id", "p_linear").select("item_id", F.round("p_linear", 6).alias("p_linear"))
+    return L.linear_score(s, [f for f, _ in LINEAR], _linear_table(s), "p_linear").select("item_id", F.round("p_linear", 6).alias("p_linear"))
 
 
 @query(
@@ -306,8 +314,7 @@ def linear_scorer(spark, d):
 )
 def top_factors(spark, d):
     s = fx.scored(spark, d)
-    c = L.linear_contributions(s, "item_id", [f for f, _ in LINEAR], _linear_table(s))
-    t = largest_factors(c, "item_id", "feature", "contribution", n=2, bucket={"k": "text"})
+    t = L.top_factors(s, "item_id", [f for f, _ in LINEAR], _linear_table(s), n=2, bucket={"k": "text"})
     return t.select("item_id", F.col("rank").cast("bigint").alias("rank"), "factor", (F.round("contribution", 6) + 0.0).alias("contribution"))
 
 
@@ -423,10 +430,10 @@ def text_quality_model(spark, d):
     docs = labelled_docs(spark, d)
 
     def encode(df, train):
-        vec = L.TextEncoder(k=10).fit(df.filter(train), "text")
-        return L.spread_vector(vec.transform(df, "text", "_sv"), "_sv", "sv", 10)[0]
+        vec = L.TextEncoder().fit(df.filter(train), "text")
+        return L.spread_vector(vec.transform(df, "text", "_sv"), "_sv", "sv", vec.k)[0]
 
-    oof = L.out_of_fold(docs, "logit", [f"sv{i}" for i in range(10)], "y", "doc_id", encode=encode)
+    oof = L.out_of_fold(docs, "logit", [f"sv{i}" for i in range(60)], "y", "doc_id", encode=encode)
     return metrics(oof, "y", "p").select("n", F.round("roc_auc", 6).alias("roc_auc"), F.round("brier", 6).alias("brier"))
 
 

@@ -372,11 +372,11 @@ KNN_SQL = """u AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embedding
 
 @query(
     "knn_label",
-    f"WITH {KNN_SQL} SELECT vec_id, round(avg((label % 2)::DOUBLE), 6) AS knn_success, round(avg(sim), 5) AS knn_sim FROM r WHERE rk <= 10 GROUP BY vec_id",
+    f"WITH {KNN_SQL} SELECT vec_id, round(avg((label % 2)::DOUBLE), 6) AS knn_success, round(avg(sim), 5) AS knn_sim FROM r WHERE rk <= 50 GROUP BY vec_id",
 )
 def knn_label(spark, d):
     e = fx.table(spark, d, "embeddings").withColumn("hit", (F.col("label") % 2).cast("int"))
-    n = S.knn_join(e, e, "vec_id", "vec_id", "embedding", "embedding", 10, payload=["hit"])
+    n = S.knn_join(e, e, "vec_id", "vec_id", "embedding", "embedding", 50, payload=["hit"])
     f = S.knn_features(n, "vec_id", "hit")
     return f.select("vec_id", F.round("knn_success", 6).alias("knn_success"), F.round("knn_sim", 5).alias("knn_sim"))
 

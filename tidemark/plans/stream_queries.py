@@ -126,4 +126,4 @@ def baseline_upsert(spark, d):
 def tumbling_counts(spark, d):
     schema = fx.table(spark, d, "events").schema
     counts = T.tumbling_counts(T.snapshot_stream(spark, d, schema, "events.parquet"), "ts", "7 days")
-    return T.run_complete(counts, "weekly").select(F.col("start").cast("date").cast("string").alias("week"), "n")
+    return T.run_updates(counts, "weekly", ["start"]).select(F.col("start").cast("date").cast("string").alias("week"), "n")

@@ -24,7 +24,8 @@ def read_json_scores(
 ) -> DataFrame:
     """Union of many JSON files (arrays, or one object per line): broken ones are skipped, numbers coerced, one row kept per key.
 
-    The row from the first file name wins, then the first position in the file.
+    The row from the first path wins, then the first position in the file: a file's pieces by their start,
+    the rows of a piece in reading order.
     """
     declared = T.StructType.fromDDL(f"{schema}, _corrupt_record string")
     rows = (
@@ -33,11 +34,14 @@ def read_json_scores(
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .json(path)
-        .select("*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_pos"))
+        .select(
+            "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_pos"),
+        )
         .filter(F.col("_corrupt_record").isNull() & F.col(key).isNotNull())
     )
     values = [f.name for f in declared.fields if f.name not in (key, "_corrupt_record")]
-    best = rows.groupBy(key).agg(F.min_by(F.struct(*values), F.struct("_file", "_pos")).alias("_row"))
+    best = rows.groupBy(key).agg(F.min_by(F.struct(*values), F.struct("_file", "_start", "_pos")).alias("_row"))
     return best.select(key, *[F.expr(f"try_cast(_row.`{c}` AS double)").alias(c) for c in values])
 
 

@@ -210,17 +210,25 @@ def tumbling_counts(stream: DataFrame, ts: str, width: str, late: str = "1 day")
     )
 
 
-def run_complete(stream: DataFrame, name: str) -> DataFrame:
-    """Run a windowed aggregate to its end and return its last full result."""
+def run_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Run a windowed aggregate to its end and return the last row of every key.
+
+    Update mode: a batch writes the windows that it changed, and state of windows behind the watermark goes.
+    A batch that is run again writes the same folder again.
+    """
     spark = stream.sparkSession
     out, checkpoint = fresh_path(spark, f"{name}-result"), fresh_path(spark, f"{name}-checkpoint")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     q = (
-        stream.writeStream.outputMode("complete").foreachBatch(write)
+        stream.writeStream.outputMode("update").foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    schema = stream.schema.add("batch", "long")
+    rest = [c for c in stream.columns if c not in keys]
+    log = spark.read.schema(schema).option("basePath", out).parquet(out)
+    newest = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
+    return newest.select(*keys, *[F.col("_r")[c].alias(c) for c in rest])
