@@ -281,6 +281,45 @@ def test_line_dedup(docs, none, rows):
     assert lines.line_table(none).count() == 0 and sum(w[2] for w in want) > 50
 
 
+def test_line_runs_are_extended_both_ways(spark, docs, rows):
+    """Against every earlier place, line by line: a stretch of equal lines that holds a whole window goes."""
+    def whole(run):
+        return len(run) >= lines.RUN_LINES or sum(len(WORDS.findall(x)) for x in run) >= lines.RUN_WORDS
+
+    def brute(table):
+        solid = []
+        for r in sorted(table, key=lambda r: (r[0] is None, r[0] or 0)):
+            text = (r[1] or "").split("\n")
+            solid.append((r, text, [i for i, x in enumerate(text) if WORDS.search(x)]))
+        want = []
+        for d, (r, text, own) in enumerate(solid):
+            gone = set()
+            mine = [text[i] for i in own]
+            for e in range(d + 1):
+                other = [solid[e][1][i] for i in solid[e][2]]
+                for shift in range(1 - len(other), len(mine)):
+                    if e == d and shift <= 0:
+                        continue
+                    k = max(0, shift)
+                    while k < min(len(mine), len(other) + shift):
+                        n = 0
+                        while k + n < min(len(mine), len(other) + shift) and mine[k + n] == other[k + n - shift]:
+                            n += 1
+                        if n and whole(mine[k : k + n]):
+                            gone.update(own[k : k + n])
+                        k += n + 1
+            want.append((r[0], None if r[1] is None else "\n".join(x for i, x in enumerate(text) if i not in gone), len(gone)))
+        return sorted(want, key=repr)
+
+    assert by_row(lines.line_table(docs, both_ways=True), "doc_id", "text", "n_deleted") == brute(rows)
+    rnd = random.Random(4)
+    kinds = ["a b", "c d e", "", "f " * 19, "g " * 21, "h " * 10, "i " * 10]
+    small = [(i, "\n".join(rnd.choice(kinds) for _ in range(rnd.randint(1, 7)))) for i in range(60)]
+    small += [(100, "long " * 25 + "\nshort end"), (101, "long " * 25 + "\nother end"), (102, "long " * 25 + "\nother end")]
+    got = by_row(lines.line_table(spark.createDataFrame(small, "doc_id long, text string"), both_ways=True), "doc_id", "text", "n_deleted")
+    assert got == brute(small) and (102, "", 2) in got and (101, "other end", 1) in got
+
+
 def test_ngram_join(docs, none, rows):
     texts = {r[1] for r in rows if r[1] is not None}
 

@@ -1,4 +1,4 @@
-"""Line dedup by winnowing: window minima are fingerprints, repeated ones are extended to runs, later runs go.
+"""Line dedup by winnowing: window minima are fingerprints, repeated windows make up runs, later runs go.
 
 DataFrame functions only.
 """
@@ -18,9 +18,11 @@ _LINE = "struct<i:int,a:bigint,b:bigint,w:bigint>"
 _WINDOW = "struct<i:int,last:int,f:bigint,p:int,a:bigint,b:bigint>"
 
 
-def windows(text: Column, run_lines: int = RUN_LINES, run_words: int = RUN_WORDS) -> Column:
+def windows(text: Column, run_lines: int = RUN_LINES, run_words: int = RUN_WORDS, both_ways: bool = False) -> Column:
     """The windows of a text: at each line with a word, the fewest lines from there that have `run_words` words, or `run_lines` lines.
 
+    With `both_ways` also the fewest lines that end there, where these are not one of the former windows.
+
     Lines without words are passed over; a window that the end of the text cuts short is left out. Each has
     the places of its first and last line, its fingerprint (the least of its lines' hashes and the last place
     that has it) and two 64-bit hashes of its lines. Equal windows have their fingerprint at the same place,
@@ -49,21 +51,40 @@ def windows(text: Column, run_lines: int = RUN_LINES, run_words: int = RUN_WORDS
                 size = F.when(here & (enough if n < run_lines else F.lit(True)), F.lit(n)).otherwise(size)
             return let(size, lambda n: F.when(n.isNotNull(), window(F.slice(lines, k + 1, n))))
 
-        return F.filter(F.transform(F.sequence(F.lit(0), F.size(lines) - 1), take), lambda x: x.isNotNull())
+        def words(start: Column, n: Column) -> Column:
+            return F.aggregate(F.slice(lines, start + 1, n), F.lit(0).cast("long"), lambda s, x: s + x["w"])
+
+        def take_back(k: Column) -> Column:
+            """Null also where these lines are the window from the first of them on."""
+            size = F.lit(None).cast("int")
+            for n in range(run_lines, 1, -1):
+                enough = F.lit(True) if n == run_lines else words(k - n + 1, F.lit(n)) >= run_words
+                size = F.when(k + 1 >= n, F.when(enough, F.lit(n)).otherwise(size)).otherwise(size)
+            size = F.when(lines[k]["w"] >= run_words, F.lit(None).cast("int")).otherwise(size)
+            return let(size, lambda n: F.when(n.isNotNull() & (words(k - n + 1, n - 1) >= run_words), window(F.slice(lines, k - n + 2, n))))
+
+        at = F.sequence(F.lit(0), F.size(lines) - 1)
+        held = F.concat(F.transform(at, take), F.transform(at, take_back)) if both_ways else F.transform(at, take)
+        return F.filter(held, lambda x: x.isNotNull())
 
     lines = F.filter(F.transform(F.split(text, "\n"), line), lambda x: x["w"] > 0)
     none = F.array().cast(f"array<{_WINDOW}>")
     return let(lines, lambda x: F.when(F.size(x) > 0, grown(x)).otherwise(none))
 
 
-def later_runs(staged: DataFrame, run_lines: int = RUN_LINES, run_words: int = RUN_WORDS) -> DataFrame:
-    """(_row, gone): places of the lines of (_row, doc_id, text) that lie in a window met before.
+def later_runs(staged: DataFrame, run_lines: int = RUN_LINES, run_words: int = RUN_WORDS, both_ways: bool = False) -> DataFrame:
+    """(_row, gone): places of the lines of (_row, doc_id, text) that lie in a window met before, blank ones between them too.
 
     Before means a lower doc_id (null ids last), then a lower row number, then an earlier place. Only windows
-    whose fingerprint occurs at two places are compared; those that overlap or touch make up a run, which
-    is the match extended both ways. A window's first place is an aggregate, so no pairs are formed.
+    whose fingerprint occurs at two places are compared; those that overlap or touch make up a run. A
+    window's first place is an aggregate, so no pairs are formed.
+
+    Windows from a line on reach the start of a repeat, but not short lines at its end. With `both_ways` the
+    windows up to a line are compared too, and the runs are the matches extended both ways, whichever earlier
+    place they are with: a line of a repeated stretch that holds a whole window lies in a window from it on
+    or, behind the last of these, in the window up to it; both lie inside the stretch.
     """
-    found = staged.select("_row", "doc_id", F.explode(windows(F.coalesce("text", F.lit("")), run_lines, run_words)).alias("w"))
+    found = staged.select("_row", "doc_id", F.explode(windows(F.coalesce("text", F.lit("")), run_lines, run_words, both_ways)).alias("w"))
     found = cut(found.select("_row", "doc_id", "w.*"))
     prints = found.groupBy("f").agg(
         F.min("_row").alias("r0"), F.max("_row").alias("r1"), F.min("p").alias("p0"), F.max("p").alias("p1")
@@ -77,7 +98,7 @@ def later_runs(staged: DataFrame, run_lines: int = RUN_LINES, run_words: int = R
     return spans.select("_row", F.array_sort(F.array_distinct(places)).alias("gone"))
 
 
-def deduped(docs: DataFrame, run_lines: int = RUN_LINES, run_words: int = RUN_WORDS) -> DataFrame:
+def deduped(docs: DataFrame, run_lines: int = RUN_LINES, run_words: int = RUN_WORDS, both_ways: bool = False) -> DataFrame:
     """`docs` as a struct `doc`, with the text left, and the line places deleted from it (`gone`).
 
     Only the lines of later repeated runs go; blank lines and everything else stay as they are. A null text
@@ -85,21 +106,22 @@ def deduped(docs: DataFrame, run_lines: int = RUN_LINES, run_words: int = RUN_WO
     """
     staged = with_row(docs.select(F.struct("*").alias("doc")))
     text = F.col("doc")["text"]
-    gone = later_runs(staged.select("_row", F.col("doc")["doc_id"].alias("doc_id"), text.alias("text")), run_lines, run_words)
+    gone = later_runs(staged.select("_row", F.col("doc")["doc_id"].alias("doc_id"), text.alias("text")), run_lines, run_words, both_ways)
 
     def left(gone: Column) -> Column:
         lines = F.transform(F.split(text, "\n"), lambda x, i: F.when(~F.array_contains(gone, i), x))
         return F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n")
 
-    return staged.join(gone, "_row", "left").select(
+    solid = let(F.split(text, "\n"), lambda held: F.filter("gone", lambda i: word_count(F.get(held, i)) > 0))
+    return staged.join(gone, "_row", "left").withColumn("gone", solid).select(
         "doc", F.col("doc")["doc_id"].alias("doc_id"), F.when(F.col("gone").isNull(), text).otherwise(let(F.col("gone"), left)).alias("text"),
         F.coalesce("gone", F.array().cast("array<int>")).alias("gone"),
     )
 
 
-def line_table(docs: DataFrame) -> DataFrame:
+def line_table(docs: DataFrame, both_ways: bool = False) -> DataFrame:
     """doc_id, text left, n_words left, n_deleted lines and deleted line places of every document of (doc_id, text)."""
-    return deduped(docs.select("doc_id", "text")).select(
+    return deduped(docs.select("doc_id", "text"), both_ways=both_ways).select(
         "doc_id", "text", word_count(F.col("text")).alias("n_words"), F.size("gone").cast("long").alias("n_deleted"),
         F.array_join(F.col("gone").cast("array<string>"), ",").alias("deleted"),
     )

@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat": lambda s, d: chat.chat_table(table(s, d, "conversations")),
     "op8_mixing": lambda s, d: mix_table(table(s, d, "documents")),
     "op9_line_dedup": lambda s, d: lines.line_table(table(s, d, "documents")),
+    "op9_line_runs": lambda s, d: lines.line_table(table(s, d, "documents"), both_ways=True),
     "op10_ngram_join": lambda s, d: near.near_table(table(s, d, "documents")),
     "pipeline": corpus_pipeline.run,
 }
