@@ -123,6 +123,21 @@ def test_sharding(docs, none, rows):
     assert sharding.shard_table(none).count() == 0 and set(docs.columns) < set(sharding.sharded(docs, 3).columns)
 
 
+@pytest.mark.parametrize("groups, single", [([90] * 4 + [2] * 20, 200), ([50] * 12, 100), ([220, 90, 90, 40, 40], 120)])
+def test_sharding_keeps_groups_that_fit(spark, groups, single):
+    texts = [f"group {g}" for g, n in enumerate(groups) for _ in range(n)] + [f"single {i}" for i in range(single)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sharding.shard_table(df, 6).collect()
+    sizes = Counter(r.shard for r in got)
+    assert len(got) == len(texts) and max(sizes.values()) - min(sizes.values()) <= 1
+    parts = {}
+    for r in got:
+        parts.setdefault(texts[r.doc_id], Counter())[r.shard] += 1
+    room = len(texts) // 6
+    assert all(len(parts[f"group {g}"]) == 1 for g, n in enumerate(groups) if n <= room)
+    assert all(len(parts[f"group {g}"]) <= 4 for g, n in enumerate(groups))
+
+
 def test_flows_stay_even():
     rnd = random.Random(3)
     for _ in range(200):

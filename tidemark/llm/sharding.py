@@ -9,7 +9,7 @@ from tidemark.llm.common import running, text_key, with_row
 from tidemark.session import cut
 
 N_SHARDS = 24
-ROUNDS = 8
+LARGE = 32  # a hub is large above this part of a shard
 FREE = -1  # target of documents without links: any shard
 
 
@@ -43,37 +43,115 @@ def flows(wish: dict[tuple[int, int], int], free: dict[int, int], n: int) -> tup
     return allowed, out
 
 
-def propagate(nodes: DataFrame, links: DataFrame, n_shards: int = N_SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def pack(hubs: list[tuple[int, dict[int, int]]], left: list[int]) -> list[list[tuple[int, int]]]:
+    """Shards of hubs (size, members by shard), the largest first: pieces (shard, size) of each hub. Takes the room from `left`.
+
+    A hub goes whole to the shard that holds most of it among those with room for it. If none has, it is cut
+    into as few pieces as the largest rooms allow, a tenth smaller than these since pieces are drawn by hash.
+    """
+    out: list[list[tuple[int, int]]] = [[] for _ in hubs]
+    for h in sorted(range(len(hubs)), key=lambda h: (-hubs[h][0], h)):
+        size, held = hubs[h]
+        while size:
+            fits = [t for t, room in enumerate(left) if room >= size]
+            if fits:
+                to, part = max(fits, key=lambda t: (held.get(t, 0), -left[t], -t)), size
+            else:
+                to = max(range(len(left)), key=lambda t: (left[t], held.get(t, 0), -t))
+                part = min(size, max(1, int(left[to] / 1.1))) if left[to] > 0 else size
+            out[h].append((to, part))
+            left[to] -= part
+            size -= part
+    return out
+
+
+def targets(counts: DataFrame, rows: int, n_shards: int) -> tuple[DataFrame, DataFrame]:
+    """Where hubs go, from counts (hub, shard, n): (hub, n, held, lo, hi, target) of large or cut hubs, (hub, n, held, target) of the others.
+
+    Large hubs, at most LARGE x n_shards if a document has one hub, are packed first. The others go round by
+    round to the shard that holds most of them among those with room; where more wish than fit, the largest
+    go first and the rest try the next best shard. What fits nowhere is packed in pieces; that is less than
+    n_shards hubs if a document has one hub, and the largest LARGE x n_shards are packed anyway.
+    """
+    spark = counts.sparkSession
+    left = [rows // n_shards + (k < rows % n_shards) for k in range(n_shards)]
+    held = F.map_from_entries(F.collect_list(F.struct("shard", "n")))  # n_shards entries at most
+    hubs = cut(counts.groupBy("hub").agg(F.sum("n").alias("n"), held.alias("held")))
+    cap, order = LARGE * n_shards, [F.desc("n"), F.xxhash64("hub"), "hub"]
+    pieces: list[tuple] = []
+
+    def packed(chosen: DataFrame) -> None:
+        got = chosen.orderBy(*order).limit(cap).collect()
+        for r, parts in zip(got, pack([(r["n"], r["held"]) for r in got], left), strict=True):
+            lo = 0
+            for shard, n in parts:
+                pieces.append((r["hub"], r["n"], r["held"], lo, lo + n, shard))
+                lo += n
+
+    big = max(1, rows // n_shards // LARGE)
+    packed(hubs.filter(F.col("n") > big))
+    pending = hubs.filter(F.col("n") <= big)
+    placed = None
+    while True:
+        room = F.array(*[F.struct(F.lit(k).alias("shard"), F.lit(v).cast("long").alias("left")) for k, v in enumerate(left)])
+        fits = F.filter(room, lambda s: s["left"] >= F.col("n"))
+        best = F.array_max(F.transform(fits, lambda s: F.struct(
+            F.coalesce(F.try_element_at("held", s["shard"]), F.lit(0)).alias("n"), F.xxhash64("hub", s["shard"]).alias("tie"), s["shard"].alias("shard"))))
+        wishes = pending.withColumn("target", best["shard"]).filter(F.col("target").isNotNull())
+        ranked = running(wishes.withColumn("less", -F.col("n")).withColumn("tie", F.xxhash64("hub")), ["less", "tie", "hub"], group=["target"], value="n")
+        limit = F.element_at(F.array(*[F.lit(v).cast("long") for v in left]), F.col("target") + 1)
+        accepted = cut(ranked.filter(F.col("_before") + F.col("n") <= limit).select("hub", "n", "held", "target"))
+        took = accepted.groupBy("target").agg(F.sum("n").alias("n")).collect()
+        if not took:
+            break
+        for r in took:
+            left[r["target"]] -= r["n"]
+        placed = accepted if placed is None else placed.unionByName(accepted)
+        pending = cut(pending.join(accepted.select("hub"), "hub", "left_anti"))
+    packed(pending)
+    whole = accepted if placed is None else placed
+    schema = hubs.select("hub", "n", "held", F.col("n").alias("lo"), F.col("n").alias("hi"), F.lit(0).alias("target")).schema
+    return spark.createDataFrame(pieces, schema), whole
+
+
+def propagate(nodes: DataFrame, links: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     """Shards (_row, shard) for nodes (_row, order) so that counts differ by one at most and few links are cut.
 
     `links` (_row, hub): documents with a hub in common are neighbours; a document may have several hubs.
-    Pairs are never formed: a round counts documents per (hub, shard), and each document wishes to go to
-    the shard that holds most of its hub. A hub larger than a shard is split by hash into parts that fit.
+    Pairs are never formed: a round counts documents per (hub, shard), finds each hub a shard with room for
+    it (`targets`), and each document wishes to go to the target of the hub that gains it most neighbours.
+    A hub that fits nowhere whole is split by hash.
     Quotas per (from, to) pair come from the counts of wishes (n_shards squared rows at most); every
     document that moves is matched by one that moves away, a wisher or one without links, so counts never
-    change. Where a quota is short, documents with the largest gain go first, hub by hub.
+    change. Where a quota is short, documents with the largest gain go first, hub by hub. Rounds go on until
+    no document moves or the number of documents in their hub's main shard no longer grows.
     `order` breaks ties; repeated links count once; null hubs are no links; empty nodes give no rows.
     """
     spark = nodes.sparkSession
     state = running(nodes, ["order", "_row"])
     state = cut(state.select("_row", "order", (F.col("_no") % n_shards).cast("int").alias("shard")))
-    room = max(1, state.count() // n_shards)
+    rows = state.count()
     links = links.filter(F.col("hub").isNotNull()).distinct()
-    sized = links.groupBy("hub").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = F.ceil(F.col("n") * 1.1 / room)
-    parts = F.when(F.col("n") > room, F.pmod(F.xxhash64("_row"), parts)).otherwise(F.lit(0))
-    links = cut(links.join(sized, "hub").select("_row", F.struct("hub", parts.alias("part")).alias("hub")))
+    sized = links.groupBy("hub").agg(F.count("*").alias("n")).filter("n > 1").select("hub")
+    links = cut(links.join(sized, "hub").select("_row", "hub"))
     alone = cut(state.select("_row").join(links.select("_row").distinct(), "_row", "left_anti"))
-    for _ in range(rounds):
-        placed = links.join(state, "_row")
-        counts = placed.groupBy("hub", "shard").agg(F.count("*").alias("n"))
-        best = counts.groupBy("hub").agg(
-            F.max(F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard")).alias("to"),
-            F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("held"),  # n_shards entries at most
-        )
-        wishes = placed.join(best, "hub").withColumn("gain", F.col("to.n") - F.col("held")[F.col("shard")])
-        wishes = wishes.groupBy("_row").agg(
-            F.max(F.struct("gain", F.col("to.tie").alias("tie"), F.col("to.shard").alias("target"), "hub")).alias("w"),
+    together = -1
+    while True:
+        placed = cut(links.join(state, "_row"))
+        counts = cut(placed.groupBy("hub", "shard").agg(F.count("*").alias("n")))
+        now = counts.groupBy("hub").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] or 0
+        if now <= together or not now:
+            break
+        together = now
+        pieces, whole = targets(counts, rows, n_shards)
+        at = F.pmod(F.xxhash64("_row"), F.col("n"))
+        # at most LARGE n_shards hubs and n_shards pieces each, few of them cut
+        cols = [*placed.columns, "held", "target"]
+        large = placed.join(F.broadcast(pieces), "hub").filter((at >= F.col("lo")) & (at < F.col("hi"))).select(*cols)
+        aims = large.unionByName(placed.join(whole, "hub").select(*cols))
+        aims = aims.withColumn("gain", F.coalesce(F.try_element_at("held", F.col("target")), F.lit(0)) - F.col("held")[F.col("shard")])
+        wishes = aims.groupBy("_row").agg(
+            F.max(F.struct("gain", F.xxhash64("hub", "target").alias("tie"), "target", "hub")).alias("w"),
             F.first("shard").alias("shard"), F.first("order").alias("order"),
         )
         wishes = wishes.filter(F.col("w.target") != F.col("shard")).select(
