@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidemark.llm import archives, chat, decontam, lines, mixing, near, quality, sharding, token_files, toxicity
+from tidemark.llm import archives, chat, decontam, lines, mixing, near, periodic, quality, ranked, sharding, token_counts, token_files, toxicity
 from tidemark.llm.common import WORD, table, with_row, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": lambda s, d: lines.line_table(table(s, d, "documents")),
     "op9_line_runs": lambda s, d: lines.line_table(table(s, d, "documents"), both_ways=True),
     "op10_ngram_join": lambda s, d: near.near_table(table(s, d, "documents")),
+    "op11_periodic_runs": lambda s, d: periodic.run_table(table(s, d, "documents")),
+    "op12_token_counts": lambda s, d: token_counts.count_table(table(s, d, "documents")),
+    "op13_ranked_search": lambda s, d: ranked.search_table(table(s, d, "documents"), table(s, d, "benchmark")),
     "pipeline": corpus_pipeline.run,
 }
 
@@ -71,6 +74,7 @@ FROM folded f LEFT JOIN marked m ON f.doc_id = m.doc_id LEFT JOIN named n ON f.d
 
 SQL: dict[str, str] = {
     "op5_decontamination": _CONTAMINATION, "op6_archives": archives.SQL, "op7_chat": chat.SQL, "op8_mixing": _MIX, "op9_line_dedup": lines.SQL,
+    "op11_periodic_runs": periodic.SQL, "op13_ranked_search": ranked.SQL,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
