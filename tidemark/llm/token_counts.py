@@ -26,7 +26,7 @@ from tidemark.session import cut
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
 TABLE = 65_536  # pre-tokens of the table that goes to all workers, about 1 MB
-CACHE = 200_000  # pre-tokens that a worker remembers besides; it starts afresh beyond that
+CACHE = 800_000  # pre-tokens that a worker remembers besides, about 120 MB; it starts afresh beyond that
 MERGED = 16  # summaries that one task merges
 LONG = 64  # characters of a pre-token that is not remembered
 SLICE = 1 << 20
@@ -47,14 +47,22 @@ class Encoder:
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.own = Tokenizer.from_file(public_tokenizers.path(name))
         special = [re.escape(t.content) for t in self.own.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special)) if special else re.compile(r"(?!)")
 
-    def lengths(self, parts: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.own.encode_batch_fast(parts, add_special_tokens=False)]
+        # A plain pre-token is in normal form already, so its bytes go straight to the merges.
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        signs = [c for c in map(chr, range(0x21, 0x180)) if not _ODD.search(c)]
+        self.bytes = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in signs})
+
+    def length(self, part: str) -> int:
+        """Tokens of one part as :meth:`pre_tokens` gives it."""
+        if _ODD.search(part) or self.special.search(part):
+            return len(self.own.encode(part, add_special_tokens=False).ids)
+        return len(self.own.model.tokenize(part.translate(self.bytes)))
 
     def pre_tokens(self, text: str) -> list[str]:
         """Parts of a text that are encoded independently; a part with unusual characters or special strings stays whole."""
@@ -138,29 +146,26 @@ class Lengths(dict):
         words, sizes = packed.split(b"\xff", 1)
         first = dict(zip(words.decode().split("\n"), np.frombuffer(sizes, "<u2").tolist(), strict=True)) if sizes else {}
         super().__init__(first)
-        self.table, self.room, self.own = first, room, encoder(name)
+        self.table, self.limit, self.own = first, len(first) + room, encoder(name)
 
-    def total(self, parts: list[str]) -> int:
-        """Tokens of the parts; those that neither tier holds are encoded in one call."""
-        missing = set(parts).difference(self)
-        if missing:
-            if len(self) + len(missing) > len(self.table) + self.room:
+    def __missing__(self, part: str) -> int:
+        n = self.own.length(part)
+        if len(part) <= LONG:
+            if len(self) >= self.limit:
                 self.clear()
                 self.update(self.table)
-                missing = set(parts).difference(self)
-            listed = list(missing)
-            self.update(zip(listed, self.own.lengths(listed), strict=True))
-        n = sum(map(self.__getitem__, parts))
-        for w in missing:
-            if len(w) > LONG:
-                del self[w]
+            self[part] = n
         return n
 
+    def total(self, parts: list[str]) -> int:
+        """Tokens of the parts; one that neither tier holds is encoded."""
+        return sum(map(self.__getitem__, parts))
+
 
 def pack(words: list[str], name: str) -> bytes:
     """The table in compact form: words by line, a byte that no text has, and 16 bits per length."""
     words = [w for w in words if len(w) <= LONG]
-    return "\n".join(words).encode() + b"\xff" + np.asarray(encoder(name).lengths(words), "<u2").tobytes()
+    return "\n".join(words).encode() + b"\xff" + np.asarray([encoder(name).length(w) for w in words], "<u2").tobytes()
 
 
 def _known(mark: str, packed: Broadcast, name: str) -> Lengths:
