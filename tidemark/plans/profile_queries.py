@@ -8,9 +8,12 @@ from tidemark.functions import text as X
 from tidemark.operators import profile as Q
 from tidemark.operators import similar as S
 from tidemark.operators import splits as Z
+from tidemark.operators.guards import guard_report as report
 from tidemark.operators.guards import imbalance
+from tidemark.operators.joins import with_one_row
 from tidemark.operators.panel import latest_at, latest_at_many, null_skipping_sum, temporal_split
 from tidemark.plans.registry import query
+from tidemark.session import cut
 from tidemark.sources import fixtures as fx
 
 WITH_ITEMS = "WITH " + fx.ITEMS_SQL
@@ -261,6 +264,52 @@ def growth_grid(spark, d):
     return g.select("item_id", "points", "last_value", "curve", *rounded("predicted"))
 
 
+def _growth_sql(rounds: int = 3) -> str:
+    """The fit round by round: (t0, b) candidates, their A, and the best by squared error."""
+    shape = lambda p="x": f"(1 / (1 + pow(c.t0 / {p}.t, c.b)))"
+    out = """ pts AS (SELECT item_id, list(struct_pack(t := (days_since_post + 1)::DOUBLE, v := play_count::DOUBLE) ORDER BY days_since_post) FILTER (days_since_post <= 9) AS p,
+      list(struct_pack(t := (days_since_post + 1)::DOUBLE, v := play_count::DOUBLE) ORDER BY days_since_post) FILTER (days_since_post > 9) AS later
+      FROM panel WHERE days_since_post <= 14 GROUP BY item_id HAVING count(*) FILTER (days_since_post <= 9) > 0),
+    base AS (SELECT *, p[len(p)].v AS last FROM pts),
+    c0 AS (SELECT item_id, i, t0, b FROM base, (VALUES """ + ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE)" for i, (a, b) in enumerate(CURVES)) + ") g(i, t0, b))"
+    for r in range(rounds + 1):
+        out += f""",
+    a{r} AS (SELECT c.*, p, greatest(last, least(list_sum(list_transform(p, lambda x: x.v * {shape()})) / list_sum(list_transform(p, lambda x: {shape()} * {shape()})), last * 50 + 10)) AS a
+      FROM c{r} c JOIN base USING (item_id)),
+    f{r} AS (SELECT item_id, t0, b, a FROM a{r} c QUALIFY row_number() OVER (PARTITION BY item_id
+      ORDER BY round(list_sum(list_transform(p, lambda x: pow(x.v - c.a * {shape()}, 2))), 6), i) = 1)"""
+        if r < rounds:
+            ratio, step = 2.0 ** (0.5**r), 0.5 ** (r + 1)
+            out += f""",
+    c{r + 1} AS (SELECT item_id, i * 3 + j AS i, t0 * m AS t0, greatest(b + s, 0.05::DOUBLE) AS b FROM f{r},
+      (VALUES (0, {1 / ratio!r}::DOUBLE), (1, 1::DOUBLE), (2, {ratio!r}::DOUBLE)) x(i, m), (VALUES (0, {-step}::DOUBLE), (1, 0::DOUBLE), (2, {step}::DOUBLE)) y(j, s))"""
+    at = lambda t: f"(c.a / (1 + pow(c.t0 / {t}, c.b)))"
+    return out + f""",
+    r AS (SELECT base.*, c.t0, c.b, c.a, len(p) >= 3 AND list_max(list_transform(p, lambda x: x.v)) > 0 AS ok FROM base JOIN f{rounds} c USING (item_id))
+    SELECT item_id, len(p) AS points, last AS last_value, round(CASE WHEN ok THEN t0 END, 6) AS t0, round(CASE WHEN ok THEN b END, 6) AS b,
+      round(CASE WHEN ok THEN {at("15.0::DOUBLE")} ELSE last END, 6) AS predicted,
+      round(list_sum(list_transform(later, lambda x: abs(CASE WHEN ok THEN {at("x.t")} ELSE last END - x.v))) / len(later), 6) AS error,
+      round(list_sum(list_transform(later, lambda x: abs(last - x.v))) / len(later), 6) AS last_error FROM r c"""
+
+
+@query("growth_curves", WITH_PANEL + "," + _growth_sql())
+def growth_curves(spark, d):
+    g = Q.growth_curves(fx.panel(spark, d), "item_id", "days_since_post", "play_count", 14, 9, T0, B)
+    return g.select("item_id", F.col("points").cast("bigint").alias("points"), "last_value", *rounded("t0", "b", "predicted", "error", "last_error"))
+
+
+@query("balanced_folds", "SELECT count(*) AS rows, 0 AS split_keys, 5 AS folds, 1 AS shares_ok FROM events")
+def balanced_folds(spark, d):
+    """Five folds of whole authors, one of whom holds a third of the rows: label shares within 0.03 of the whole."""
+    s = fx.scored(spark, d).withColumn("author_id", F.when(F.col("author_id") % 3 == 0, -1).otherwise(F.col("author_id")))
+    folded = cut(Z.grouped_folds(s, "author_id", "item_id", "y").select("author_id", "y", "fold"))
+    split = folded.groupBy("author_id").agg(F.countDistinct("fold").alias("k")).agg(F.sum((F.col("k") > 1).cast("int")).cast("int").alias("split_keys"))
+    whole = folded.agg(F.count("*").alias("rows"), F.avg("y").alias("_share"))
+    shares = with_one_row(folded.groupBy("fold").agg(F.avg("y").alias("_y")), whole)
+    one = shares.agg(F.max("rows").alias("rows"), F.count("*").cast("int").alias("folds"), (F.max(F.abs(F.col("_y") - F.col("_share"))) <= 0.03).cast("int").alias("shares_ok"))
+    return with_one_row(one, split)
+
+
 @query(
     "baseline_last15",
     """WITH r AS (SELECT user_id AS author, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events)
@@ -284,7 +333,29 @@ def population_stability(spark, d):
     return Q.population_stability(s.filter("split = 'train'"), s.filter("split = 'test'"), "value").select(*rounded("psi"))
 
 
-@query("imbalance_warning", "SELECT sum((quality = 1)::INT)::BIGINT AS hit, sum((quality = 0)::INT)::BIGINT AS flop, CASE WHEN count(quality) >= 10 AND greatest(sum((quality = 1)::INT), sum((quality = 0)::INT)) / count(quality)::DOUBLE > 0.8 THEN 'selection bias: one class dominates' END AS warning FROM labels")
+GUARDED = ["play_count", "like_count", "log_play_d1", "er_d1", "y_follgrow", "days_since_post"]
+
+
+@query(
+    "guard_report",
+    WITH_PANEL + """, f AS (SELECT play_count, like_count, ln(1 + play_count) AS log_play_d1, like_count / greatest(play_count, 1) AS er_d1,
+      CASE WHEN days_since_post > 3 THEN 1 END AS y_follgrow, days_since_post FROM panel WHERE days_since_post <= 3),
+    n AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS known FROM f" for c in GUARDED) + """)
+    SELECT feature, known, (feature IN ('y_follgrow') OR regexp_matches(feature, 'play_count|like_count|_d1|day1'))::INT AS refused_pre,
+      (feature IN ('y_follgrow') OR feature NOT IN ('log_play_d1', 'er_d1') AND regexp_matches(feature, 'play_count|like_count'))::INT AS refused_day1 FROM n""",
+)
+def guard_report(spark, d):
+    """Which columns of a first-day frame may be features before publication, and which on the first day."""
+    f = fx.panel(spark, d).filter("days_since_post <= 3").withColumns(
+        {
+            "log_play_d1": F.log1p("play_count"), "er_d1": F.col("like_count") / F.greatest("play_count", F.lit(1.0)),
+            "y_follgrow": F.when(F.col("days_since_post") > 3, 1),
+        }
+    )
+    return report(f, GUARDED)
+
+
+@query("imbalance_warning", "SELECT sum((quality = 1)::INT)::BIGINT AS hit, sum((quality = 0)::INT)::BIGINT AS flop, CASE WHEN count(quality) >= 10 AND greatest(sum((quality = 1)::INT), sum((quality = 0)::INT)) / count(quality)::DOUBLE > 0.8 THEN 'one_class' END AS warning FROM labels")
 def imbalance_warning(spark, d):
     return imbalance(fx.table(spark, d, "labels"), "quality")
 
@@ -408,6 +479,23 @@ def nearest_same_author(spark, d):
     return n.select("vec_id", F.col("rank").cast("bigint").alias("rank"), "neighbour", "same_group", F.round("score", 5).alias("score"))
 
 
+@query("knn_cost", "SELECT count(*) * count(*) AS all_pairs, 1 AS within_all FROM embeddings")
+def knn_cost(spark, d):
+    """Row pairs the two passes of ``knn_label`` compare; how few they are depends on how the vectors cluster."""
+    e = fx.table(spark, d, "embeddings")
+    cost = S.knn_search(e, e, "vec_id", "vec_id", "embedding", "embedding", 50)[1]
+    return cost.select("all_pairs", (F.col("compared") <= F.col("all_pairs")).cast("int").alias("within_all"))
+
+
+@query("knn_lsh_recall", "SELECT 50 * count(*) AS neighbours, 1 AS reached FROM embeddings")
+def knn_lsh_recall(spark, d):
+    """Whether hashed neighbours hold at least 0.9 of the exact 50 of every row."""
+    e = fx.table(spark, d, "embeddings")
+    exact = S.knn_join(e, e, "vec_id", "vec_id", "embedding", "embedding", 50)
+    got = S.knn_lsh(e, e, "vec_id", "vec_id", "embedding", "embedding", 50, similarity=0.2, recall=0.95, bits=3)
+    return S.knn_recall(exact, got, "vec_id").select("neighbours", (F.col("recall") >= 0.9).cast("int").alias("reached"))
+
+
 @query(
     "jaccard_pairs",
     """WITH j AS (SELECT c.conv_id, c.turn, list_distinct(regexp_extract_all(lower(c.text), '[a-z0-9'']+')) AS a, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9'']+')) AS b
