@@ -15,7 +15,7 @@ from tidemark.constants import DAY_US, HORIZON_DAYS
 from tidemark.functions.vectors import dot, unit
 from tidemark.operators.joins import asof_join
 from tidemark.operators.panel import at_least_one
-from tidemark.operators.scan import blocks_for, prefix_scan
+from tidemark.operators.scan import blocks_for, prefix_scan, running_vectors
 
 GAP_US = HORIZON_DAYS * DAY_US
 CHUNK = 4096
@@ -131,14 +131,22 @@ def author_fit(
     ``gap=1`` gives the strictly-earlier variant, which looks ahead of the label and is for audits only.
     """
     unit_v = df.withColumn("_u", unit(F.transform(vec, lambda x: x.cast("double"))))
-    win = F.when(F.col(label) == 1, 1.0).otherwise(0.0)
-    sums = {"_wins": win} | {f"_d{i}": win * F.coalesce(F.col("_u")[i], F.lit(0.0)) for i in range(dim)}
-    s = closed_window_sums(unit_v, by, ts, sums, gap, blocks)
+    filled = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.get("_u", i), F.lit(0.0)))
+    known = unit_v.filter(F.col(by).isNotNull() & F.col(ts).isNotNull())
+    wins = known.filter(F.col(label) == 1).select(
+        by, (F.col(ts) + F.lit(gap)).alias("_t"), F.lit(0).alias("_side"), F.concat(filled, F.array(F.lit(1.0))).alias("_s")
+    )
+    asked = known.select(by, F.col(ts).alias("_t")).distinct()
+    asked = asked.select("*", F.lit(1).alias("_side"), F.array_repeat(F.lit(0.0), dim + 1).alias("_s"))
+    # The sum of the winners' vectors and, as its last element, their number: one column however wide the vectors are.
+    run = running_vectors(wins.unionByName(asked), [by], ["_t", "_side"], "_s", "_sum", blocks)
+    seen = run.filter("_side = 1").select(by, F.col("_t").alias(ts), "_sum")
+    s = unit_v.join(seen, [by, ts], "left").withColumn("_wins", F.coalesce(F.element_at("_sum", -1), F.lit(0.0)))
     n = F.col("_wins")
-    centroid = unit(F.array(*[F.col(f"_d{i}") / n for i in range(dim)]))
+    centroid = unit(F.transform(F.slice("_sum", 1, dim), lambda x: x / n))
     return s.withColumns(
         {
             "author_fit": F.when(n > 0, dot(F.col("_u"), centroid)).otherwise(0.0),
             "n_prior_wins_log": F.log1p(n),
         }
-    ).drop("_u", *sums)
+    ).select(*df.columns, "author_fit", "n_prior_wins_log")

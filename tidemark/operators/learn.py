@@ -31,7 +31,7 @@ from tidemark.functions.numeric import sigmoid
 from tidemark.operators.encode import target_encode, train_popularity
 from tidemark.operators.joins import with_one_row
 from tidemark.operators.metrics import metrics
-from tidemark.operators.scan import hash_rank, id_hash
+from tidemark.operators.scan import hash_rank, hash_unit, id_hash
 from tidemark.session import cut, in_parallel
 
 FAMILIES = ("logit", "gbt", "mlp", "forest", "gaussian_nb", "linear_svc", "balanced_logit")
@@ -308,6 +308,49 @@ def search(
     )
 
 
+def halving_search(
+    df: DataFrame, name: str, features: Sequence[str], label: str, key: str, space: Mapping[str, Sequence], trials: int = 30,
+    fold: str = "fold", folds: int = 4, rungs: int = 3, eta: int = 3, seed: int = SEED, width: int = 8,
+) -> DataFrame:
+    """Random search by successive halving: one row per trial and rung that it reached, the best of the last rung flagged.
+
+    Rung r of R scores its trials on a hashed share eta ** (r - R + 1) of the rows in all folds, and the best 1 / eta
+    of them go on; the last rung uses all rows. A fold's features are filled and scaled once, from its own
+    train rows, and written; trials then fit side by side and differ in nothing but the classifier.
+    """
+    unit = hash_unit(id_hash(key, f"rung{seed}"))
+
+    def prepared(k: int) -> DataFrame:
+        train = F.col(fold) != k
+        steps = Pipeline(stages=make_estimator(name, features, label).getStages()[:-1]).fit(df.filter(train))
+        return cut(steps.transform(df).select(label, F.lit(k).alias("_fold"), train.alias("_train"), unit.alias("_u"), "_scaled"))
+
+    spark = df.sparkSession
+    ready = in_parallel(spark, [partial(prepared, k) for k in range(folds)])
+
+    def mean_auc(params: dict, share: float) -> float:
+        scored = []
+        for rows in ready:
+            some = rows.filter(F.col("_u") < share)
+            model = make_estimator(name, features, label, **params).getStages()[-1].fit(some.filter("_train"))
+            scored.append(predict(model, some.filter("NOT _train")).select(label, "_fold", "p"))
+        by_fold = metrics(reduce(DataFrame.unionByName, scored), label, "p", by=["_fold"])
+        return by_fold.agg(F.avg("roc_auc")).first()[0]
+
+    alive = list(enumerate(random_grid(space, trials, seed)))
+    table = []
+    for rung in range(rungs):
+        share = float(eta) ** (rung - rungs + 1)
+        scores = in_parallel(spark, [partial(mean_auc, params, share) for _, params in alive], width)
+        # A share too small for both classes has no AUC; such a trial is not dropped for it.
+        order = sorted(zip(alive, scores, strict=True), key=lambda x: (x[1] is not None, -(x[1] or 0.0), x[0][0]))
+        table += [(i, rung, share, str(params), auc) for (i, params), auc in order]
+        alive = [trial for trial, _ in order][: max(1, math.ceil(len(order) / eta))] if any(s is not None for s in scores) else alive
+    best = min((r for r in table if r[1] == rungs - 1), key=lambda r: (-(r[4] or 0.0), r[0]))[0]
+    rows = [(*r, int(r[0] == best and r[1] == rungs - 1)) for r in table]
+    return spark.createDataFrame(rows, "trial int, rung int, share double, params string, mean_auc double, chosen int")
+
+
 # ---- explanations
 
 
@@ -322,17 +365,24 @@ def permute_column(df: DataFrame, key: str, col: str, seed: int | str) -> DataFr
 def permutation_importance(
     model: PipelineModel, held_out: DataFrame, features: Sequence[str], label: str, key: str, repeats: int = 5
 ) -> DataFrame:
-    """Mean AUC lost when one column is shuffled, per feature."""
-    base = metrics(predict(model, held_out), label, "p").select(F.col("roc_auc").alias("_base"))
-    parts = []
-    for f in features:
-        for r in range(repeats):
-            scored = predict(model, permute_column(held_out, key, f, r))
-            parts.append(scored.select(label, "p", F.lit(f).alias("feature"), F.lit(r).alias("repeat")))
-    tall = reduce(DataFrame.unionByName, parts)
-    shuffled = metrics(tall, label, "p", by=["feature", "repeat"])
+    """Mean AUC lost when one column is shuffled, per feature.
+
+    A repeat deals whole rows of features to other rows once; every feature then takes its column from that deal,
+    and all (feature, repeat) variants are scored in one batch. The held-out rows are read once.
+    """
+    cells = F.array(*[F.col(f).cast("double") for f in features])
+    held = held_out.select("*", cells.alias("_cells")).withColumn("_h", id_hash(key, "rows"))
+    held = cut(hash_rank(held, [], "_h", "_rk").drop("_h"))
+    deals = held.select(key, "_cells", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_repeat"))
+    deals = deals.withColumn("_h", id_hash(F.concat_ws(":", F.col(key).cast("string"), F.col("_repeat").cast("string")), "values"))
+    deals = hash_rank(deals, ["_repeat"], "_h", "_rk").select("_rk", "_repeat", F.col("_cells").alias("_new"))
+    variants = held.join(deals, "_rk").withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
+    swapped = variants.withColumns({f: F.when(F.col("_at") == i, F.col("_new")[i]).otherwise(F.col("_cells")[i]) for i, f in enumerate(features)})
+    shuffled = metrics(predict(model, swapped), label, "p", by=["_at", "_repeat"])
+    base = metrics(predict(model, held), label, "p").select(F.col("roc_auc").alias("_base"))
     lost = with_one_row(shuffled, base).withColumn("_d", F.col("_base") - F.col("roc_auc"))
-    return lost.groupBy("feature").agg(F.avg("_d").alias("importance"), F.stddev_pop("_d").alias("spread"))
+    names = F.array(*[F.lit(f) for f in features])
+    return lost.groupBy(names[F.col("_at")].alias("feature")).agg(F.avg("_d").alias("importance"), F.stddev_pop("_d").alias("spread"))
 
 
 def linear_table(model: PipelineModel, features: Sequence[str], spark) -> DataFrame:

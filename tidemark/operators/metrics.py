@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import as_double, cosine
 from tidemark.operators.joins import with_one_row
-from tidemark.operators.scan import average_ranks, prefix_scan, quantile_table
+from tidemark.operators.scan import exact_quantiles, join_keys, prefix_scan, quantile_table
+from tidemark.session import cut
 
 
 def score_table(df: DataFrame, y: str, p: str, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
@@ -185,12 +186,12 @@ def feature_auc(df: DataFrame, y: str, features: Sequence[str], blocks: int | No
 
 
 def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
-    """Tie-averaged rank correlation per key, reduced to distinct pairs first."""
+    """Tie-averaged rank correlation per key, null being a key, reduced to distinct pairs first."""
     by = list(by)
     pairs = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, a, b).agg(F.count(F.lit(1)).alias("_w"))
     ra = _ranks(pairs, by, a, "_ra", blocks)
     rb = _ranks(pairs, by, b, "_rb", blocks)
-    j = pairs.join(ra, [*by, a]).join(rb, [*by, b])
+    j = join_keys(join_keys(pairs, ra, by, plain=[a]), rb, by, plain=[b])
     return j.groupBy(*by).agg(weighted_corr("_ra", "_rb", "_w").alias("spearman"))
 
 
@@ -210,19 +211,40 @@ def weighted_corr(a: str, b: str, w: str) -> Column:
 
 
 def spearman_matrix(df: DataFrame, cols: Sequence[str], blocks: int | None = None) -> DataFrame:
-    """Rank correlation of every pair of columns in long form, gaps filled with the median."""
-    meds = quantile_table(df.select(*cols), [], {f"_m_{c}": (c, 0.5) for c in cols})
-    filled = with_one_row(df.select(*cols), meds).select(
-        *[F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")).alias(c) for c in cols]
-    )
-    ranked = filled
-    for c in cols:
-        ranked = average_ranks(ranked, [], c, f"_r_{c}", blocks)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    one = ranked.agg(*[F.corr(f"_r_{a}", f"_r_{b}").alias(f"_c{i}") for i, (a, b) in enumerate(pairs)])
-    cells = ", ".join(f"'{a}', '{b}', _c{i}" for i, (a, b) in enumerate(pairs))
-    return one.selectExpr(f"stack({len(pairs)}, {cells}) AS (a, b, spearman)")
+    """Rank correlation of every pair of columns in long form, gaps filled with the median.
 
+    The rows are read twice however many columns there are: once into counts per (column, value), from which
+    medians and ranks of all columns come in one scan, and once to put the ranks beside each other.
+    """
+    pairs = ", ".join(f"{i}, CAST(`{c}` AS DOUBLE)" for i, c in enumerate(cols))
+    tall = f"stack({len(cols)}, {pairs}) AS (_col, _value)"
+    counts = cut(df.selectExpr(tall).groupBy("_col", "_value").agg(F.count(F.lit(1)).alias("_n")))
+    known = counts.filter("_value IS NOT NULL")
+    runs = cut(prefix_scan(known, ["_col"], ["_value"], sums={"_cum": F.col("_n")}, totals={"_all": F.col("_n")}, blocks=blocks))
+    at = lambda rank: F.max(F.when((F.col("_cum") - F.col("_n") <= rank) & (rank < F.col("_cum")), F.col("_value")))
+    middle = (F.col("_all") - 1) / 2
+    gaps = counts.filter("_value IS NULL").select(F.col("_col").alias("_gap"), F.col("_n").alias("_gaps"))
+    meds = runs.groupBy("_col").agg(((at(F.floor(middle)) + at(F.ceil(middle))) / 2).alias("_median"))
+    meds = cut(meds.join(gaps, F.col("_col") == F.col("_gap"), "left").drop("_gap"))  # one row per column
+    # Gaps add their number to the median; a median that no row has is a value of its own.
+    moved = runs.select("_col", "_value", "_cum", "_n").join(F.broadcast(meds), "_col")
+    extra = F.coalesce("_gaps", F.lit(0))
+    moved = moved.select("_col", "_value", F.when(F.col("_value") == F.col("_median"), F.col("_n") + extra).otherwise(F.col("_n")).alias("_n"),
+                         (F.col("_cum") + F.when(F.col("_value") >= F.col("_median"), extra).otherwise(0)).alias("_cum"))
+    own = runs.select(F.col("_col").alias("_c"), F.col("_value").alias("_v"))
+    alone = meds.filter("_gaps IS NOT NULL").join(own, (F.col("_col") == F.col("_c")) & (F.col("_median") == F.col("_v")), "left_anti")
+    below = F.coalesce(F.max(F.when(F.col("_v") < F.col("_median"), F.col("_cum"))), F.lit(0))
+    upto = runs.select(F.col("_col").alias("_c"), F.col("_value").alias("_v"), "_cum")
+    alone = alone.join(upto, F.col("_col") == F.col("_c"), "left").groupBy("_col", F.col("_median").alias("_value"), F.col("_gaps").alias("_n")).agg(below.alias("_below"))
+    alone = alone.select("_col", "_value", "_n", (F.col("_below") + F.col("_n")).alias("_cum"))
+    ranks = cut(moved.unionByName(alone).select("_col", "_value", (F.col("_cum") - (F.col("_n") - 1) / 2.0).alias("_rank")))
+    rows = df.withColumn("_row", F.monotonically_increasing_id()).selectExpr("_row", tall)
+    rows = rows.join(F.broadcast(meds.select("_col", "_median")), "_col").select("_row", "_col", F.coalesce("_value", "_median").alias("_value"))
+    wide = rows.join(ranks, ["_col", "_value"]).groupBy("_row").agg(*[F.max(F.when(F.col("_col") == i, F.col("_rank"))).alias(f"_r{i}") for i in range(len(cols))])
+    both = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    one = wide.agg(*[F.corr(f"_r{i}", f"_r{j}").alias(f"_c{n}") for n, (i, j) in enumerate(both)])
+    cells = ", ".join(f"'{cols[i]}', '{cols[j]}', _c{n}" for n, (i, j) in enumerate(both))
+    return one.selectExpr(f"stack({len(both)}, {cells}) AS (a, b, spearman)")
 
 
 def _discount(rank: Column, k: int) -> Column:
@@ -244,7 +266,7 @@ def rank_quality(
     size = df.groupBy(by).agg(
         F.count(F.lit(1)).alias("n"), F.min(target).alias("_lo"), F.max(target).alias("_hi")
     ).filter((F.col("n") >= min_n) & (F.col("_lo") < F.col("_hi")))
-    rows = df.join(size, by).withColumn("_gain", (F.col(target) - F.col("_lo")).cast("double"))
+    rows = join_keys(df, size, key).withColumn("_gain", (F.col(target) - F.col("_lo")).cast("double"))
 
     by_score = rows.groupBy(by, (-F.col(score)).alias("_s")).agg(
         F.count(F.lit(1)).alias("_n"), F.avg("_gain").alias("_g")
@@ -257,9 +279,9 @@ def rank_quality(
         span = _discount(F.col("_end"), k) - _discount(F.col("_end") - F.col("_n"), k)
         return t.groupBy(by).agg(F.sum(F.col("_g") * span).alias(out))
 
-    ndcg = dcg(got, "_dcg").join(dcg(ideal, "_idcg"), by)
+    ndcg = join_keys(dcg(got, "_dcg"), dcg(ideal, "_idcg"), key)
     rho = spearman(rows, score, target, key, blocks)
-    return size.select(by, "n").join(ndcg, by).join(rho, by, "left").select(
+    return join_keys(join_keys(size.select(by, "n"), ndcg, key), rho, key, "left").select(
         by, "n", "spearman", (F.col("_dcg") / F.col("_idcg")).alias(f"ndcg_{k}")
     )
 
@@ -293,6 +315,12 @@ def paired_cosine(df: DataFrame, a: str, b: str, out: str = "cosine") -> DataFra
     return df.withColumn(out, cosine(as_double(a), as_double(b)))
 
 
+def paired_difference(df: DataFrame, a: str, b: str, by: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
+    """Median and 90 % quantile of the absolute difference of two scores, over the rows that have both."""
+    gap = df.withColumn("_dp", F.abs(F.col(a) - F.col(b)))
+    return exact_quantiles(gap, by, "_dp", {"abs_dp_median": 0.5, "abs_dp_p90": 0.9}, blocks, n_out="n")
+
+
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     """Share of equal labels, and how many rows have both, one or none of the two."""
     x, y = F.col(a), F.col(b)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,37 @@ from pyspark.sql import functions as F
 from tidemark.constants import COUNTERS, DAY_US, ENGAGEMENT, HORIZON_DAYS, MIN_ITEMS, MIN_PLAY, TEMPORAL_QUANTILES
 from tidemark.operators.joins import asof_join, with_one_row
 from tidemark.operators.scan import exact_quantiles, quantile_table
-from tidemark.session import cut
+from tidemark.session import cut, fresh_path
+
+
+def ordered_panel(panel: DataFrame, key: str, day: str, buckets: int = 64) -> DataFrame:
+    """The panel written once as a table that is bucketed by item and sorted by (item, day) inside each bucket.
+
+    Aggregations and joins by item read it without a shuffle. The files lie in the shared folder; the table's
+    name lives as long as the session.
+    """
+    spark, name = panel.sparkSession, f"panel_{uuid.uuid4().hex}"
+    # Rows of a bucket come together first, so that a bucket is few files and not one per task.
+    placed = panel.repartition(buckets, key)
+    placed.write.bucketBy(buckets, key).sortBy(key, day).option("path", fresh_path(spark, "panel")).saveAsTable(name)
+    return spark.table(name)
+
+
+def dead_columns(df: DataFrame) -> list[str]:
+    """Columns that hold no value, or one and the same in every row, from one aggregate over the rows."""
+    plain = [f.name for f in df.schema if f.dataType.typeName() not in ("array", "map", "struct", "variant")]
+    one = df.agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(f"_n{i}") for i, c in enumerate(plain)],
+        *[(F.min(c).eqNullSafe(F.max(c))).alias(f"_s{i}") for i, c in enumerate(plain)],
+    ).first()
+    return [c for i, c in enumerate(plain) if one["_rows"] and (one[f"_n{i}"] == 0 or one[f"_s{i}"] and one[f"_n{i}"] == one["_rows"])]
+
+
+def clean_rows(df: DataFrame, views: str, author: str, dead: Sequence[str] | None = None) -> DataFrame:
+    """Rows with positive views and a known author, without the dead columns (those named, or those that are found dead)."""
+    kept = df.filter((F.col(views) > 0) & F.col(author).isNotNull())
+    gone = dead_columns(kept) if dead is None else dead
+    return kept.drop(*[c for c in gone if c not in (views, author)])
 
 
 def latest_at(panel: DataFrame, key: str, day: str, horizon: int, cols: Sequence[str] = COUNTERS) -> DataFrame:

@@ -250,6 +250,60 @@ def growth_grid(
     )
 
 
+def _curve(t: Column, t0: Column, b: Column) -> Column:
+    return 1.0 / (1.0 + F.pow(t0 / t, b))
+
+
+def growth_curves(
+    panel: DataFrame, key: str, day: str, value: str, target_day: int, max_day: int, t0_grid: Sequence[float], b_grid: Sequence[float], rounds: int = 3
+) -> DataFrame:
+    """Log-logistic growth A / (1 + (t0 / t)^b) fitted per item from coarse to fine, and how well it predicts later days.
+
+    An item's points up to ``max_day`` are one short array (a panel has at most a month of days). The best pair of the
+    coarse grid is refined ``rounds`` times: nine pairs around it, each round half as far apart. For a pair the
+    least-squares A is a ratio of two sums, clipped to [last, 50 * last + 10]. Items with fewer than three points,
+    or no positive value, keep the last value. ``error`` and ``last_error`` are the mean absolute errors of the
+    curve and of the last value on the days after ``max_day``, null where there are none.
+    """
+    point = F.struct((F.col(day) + 1.0).alias("t"), F.col(value).cast("double").alias("v"))
+    per = panel.filter(F.col(value).isNotNull() & (F.col(day) <= target_day)).groupBy(key).agg(
+        F.sort_array(F.collect_list(F.when(F.col(day) <= max_day, point))).alias("_p"),
+        F.sort_array(F.collect_list(F.when(F.col(day) > max_day, point))).alias("_later"),
+    )
+    per = per.filter(F.size("_p") > 0).withColumn("_last", F.element_at("_p", -1)["v"])
+
+    def total(points: Column, of) -> Column:
+        return F.aggregate(points, F.lit(0.0), lambda s, p: s + of(p))
+
+    def best(t0s: list[Column], bs: list[Column]) -> Column:
+        """The pair of least squared error, the first of equal ones, with its A."""
+        pairs = F.array(*[F.struct(F.lit(i).alias("i"), a.alias("t0"), b.alias("b")) for i, (a, b) in enumerate((a, b) for a in t0s for b in bs)])
+
+        def fitted(c: Column) -> Column:
+            shape = lambda p: _curve(p["t"], c["t0"], c["b"])
+            a = total(F.col("_p"), lambda p: p["v"] * shape(p)) / total(F.col("_p"), lambda p: shape(p) * shape(p))
+            return F.struct(c["i"].alias("i"), c["t0"].alias("t0"), c["b"].alias("b"), F.greatest("_last", F.least(a, F.col("_last") * 50 + 10)).alias("a"))
+
+        def scored(c: Column) -> Column:
+            sse = total(F.col("_p"), lambda p: F.pow(p["v"] - c["a"] * _curve(p["t"], c["t0"], c["b"]), F.lit(2.0)))
+            return F.struct(F.round(sse, 6).alias("sse"), c["i"].alias("i"), c["t0"].alias("t0"), c["b"].alias("b"), c["a"].alias("a"))
+
+        return F.array_min(F.transform(F.transform(pairs, fitted), scored))
+
+    per = per.withColumn("_f", best([F.lit(float(x)) for x in t0_grid], [F.lit(float(x)) for x in b_grid]))
+    for r in range(rounds):
+        ratio, step = 2.0 ** (0.5**r), 0.5 ** (r + 1)
+        t0s = [F.col("_f.t0") * (1 / ratio), F.col("_f.t0"), F.col("_f.t0") * ratio]
+        per = per.withColumn("_f", best(t0s, [F.greatest(F.col("_f.b") + s, F.lit(0.05)) for s in (-step, 0.0, step)]))
+    ok = (F.size("_p") >= 3) & (F.array_max(F.transform("_p", lambda p: p["v"])) > 0)
+    at = lambda t: F.when(ok, F.col("_f.a") * _curve(t, F.col("_f.t0"), F.col("_f.b"))).otherwise(F.col("_last"))
+    off = lambda of: F.when(F.size("_later") > 0, total(F.col("_later"), lambda p: F.abs(of(p["t"]) - p["v"])) / F.size("_later"))
+    return per.select(
+        key, F.size("_p").alias("points"), F.col("_last").alias("last_value"), F.when(ok, F.col("_f.t0")).alias("t0"), F.when(ok, F.col("_f.b")).alias("b"),
+        at(F.lit(target_day + 1.0)).alias("predicted"), off(at).alias("error"), off(lambda t: F.col("_last")).alias("last_error"),
+    )
+
+
 def baseline_median(items: DataFrame, by: str, ts: str, value: str, last: int = 15, need: int = 5) -> DataFrame:
     """Median of the non-null values among each key's newest ``last`` items; too few gives no row.
 

@@ -1,11 +1,12 @@
 """Running totals, ranks and quantiles that never put one whole key into one task.
 
-A plain ``Window.partitionBy(key)`` sends every row of a key to one task. Here the ordering
-column is cut at quantile edges into blocks of about equal size, so a (key, block) group holds
-at most one block's share of all rows however skewed the key is. Block totals are
-pre-aggregated, turned into carries over the few blocks of each key, and added to the running
-value inside the block. Frames of few rows use one block, which is the plain window; both ways
-give the same rows, null keys included. ``tidemark.blocks`` in the session sets the number of blocks.
+A plain ``Window.partitionBy(key)`` sends every row of a key to one task. Here the rows are
+range-partitioned by (key, order) into blocks of about equal size and written, so a (key, block)
+group holds at most one block's rows however skewed the key is. Block totals are pre-aggregated,
+turned into carries over the blocks of each key, and added to the running value inside the block.
+No block edge passes through the driver. Frames of few rows use one block, which is the plain
+window; both ways give the same rows, null keys included. ``tidemark.blocks`` in the session sets
+the number of blocks.
 """
 
 from __future__ import annotations
@@ -14,11 +15,14 @@ import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import plan_bytes
+from tidemark.session import cut, plan_bytes
 
+_ROWS_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 BLOCK_ROWS = 2_000_000
 UNCOUNTED_BYTES = 4 << 20  # inputs below this are not counted first
 
@@ -31,6 +35,21 @@ def blocks_for(df: DataFrame) -> int:
     return 1 if plan_bytes(df) <= UNCOUNTED_BYTES else max(1, math.ceil(df.count() / BLOCK_ROWS))
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Rows to scan and their number of blocks; what is not small is written first, so it is computed once."""
+    forced = df.sparkSession.conf.get("tidemark.blocks", None)
+    if forced == "1" or not forced and plan_bytes(df) <= UNCOUNTED_BYTES:
+        return df, 1
+    held = cut(df)
+    return held, int(forced) if forced else max(1, math.ceil(held.count() / BLOCK_ROWS))
+
+
+def in_blocks(df: DataFrame, keys: Sequence[str], blocks: int) -> DataFrame:
+    """Rows in range partitions of ``keys``, written, with their partition ``_blk`` and their place ``_at`` in the whole order."""
+    placed = df.repartitionByRange(blocks, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    return cut(placed).withColumn("_blk", F.shiftright("_at", _ROWS_BITS))
+
+
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", plain: Sequence[str] = ()) -> DataFrame:
     """Join on equal ``keys``, where null equals null, and on ``plain``, where it does not; columns as in a join by name."""
     names = {k: f"_right_{i}" for i, k in enumerate([*keys, *plain])}
@@ -70,14 +89,15 @@ def prefix_scan(
 ) -> DataFrame:
     """Add inclusive running sums, running last non-null values and per-key totals.
 
-    ``by`` columns may be null, which is a key of its own; ``order[0]`` must be numeric. Rows that tie on the whole
+    ``by`` columns may be null, which is a key of its own, and so may ``order``, nulls first. Rows that tie on the whole
     of ``order`` get an arbitrary relative order, so pre-aggregate or add a unique column.
     """
     sums, lasts, totals = dict(sums or {}), dict(lasts or {}), dict(totals or {})
     by, order = list(by), list(order)
     key = [F.col(c) for c in by] or [F.lit(0)]
-    edges = block_edges(df, order[0], blocks)
-    if not edges:
+    if blocks is None:
+        df, blocks = counted(df)
+    if blocks <= 1:
         w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         whole = Window.partitionBy(*key)
         return df.select(
@@ -87,11 +107,10 @@ def prefix_scan(
             *[F.sum(c).over(whole).alias(n) for n, c in totals.items()],
         )
 
-    cut = with_block(df, order[0], edges)
-    at = F.struct(*order)
-    part = cut.groupBy(*by, "_blk").agg(
+    placed = in_blocks(df, [*by, *order], blocks)
+    part = placed.groupBy(*by, "_blk").agg(
         *[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()],
-        *[F.max_by(c, F.when(c.isNotNull(), at)).alias(f"_l_{n}") for n, c in lasts.items()],
+        *[F.max_by(c, F.when(c.isNotNull(), F.col("_at"))).alias(f"_l_{n}") for n, c in lasts.items()],
         *[F.sum(c).alias(f"_t_{n}") for n, c in totals.items()],
         F.count(F.lit(1)).alias("_rows"),
     )
@@ -104,8 +123,8 @@ def prefix_scan(
         *[F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_l_{n}") for n in lasts],
         *[F.sum(f"_t_{n}").over(whole).alias(f"_t_{n}") for n in totals],
     )
-    joined = join_keys(cut, carry, [*by, "_blk"], "left")
-    w = Window.partitionBy(*key, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = join_keys(placed, carry, [*by, "_blk"], "left")
+    w = Window.partitionBy(*key, "_blk").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     keep = [c for c in df.columns]
     return joined.select(
         *keep,
@@ -115,6 +134,36 @@ def prefix_scan(
     )
 
 
+def running_vectors(df: DataFrame, by: Sequence[str], order: Sequence[str], vec: str, out: str, blocks: int | None = None) -> DataFrame:
+    """Add the inclusive running sum of an array column, element by element, as one array however long it is.
+
+    ``vec`` holds arrays of one length, none of them null. Blocks and carries are those of :func:`prefix_scan`.
+    """
+    by, order = list(by), list(order)
+    key = [F.col(c) for c in by] or [F.lit(0)]
+    if blocks is None:
+        df, blocks = counted(df)
+
+    def total(c: str):
+        return Summarizer.metrics("sum").summary(F.col(c))
+
+    def summed(frame: DataFrame, name: str) -> DataFrame:
+        return frame.withColumn(name, vector_to_array(F.col(name)["sum"]))
+
+    if blocks <= 1:
+        w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        held = df.withColumn("_vector", array_to_vector(vec))
+        return summed(held.withColumn(out, total("_vector").over(w)).drop("_vector"), out)
+    placed = in_blocks(df, [*by, *order], blocks).withColumn("_vector", array_to_vector(vec))
+    part = summed(placed.groupBy(*by, "_blk").agg(total("_vector").alias("_own")), "_own").withColumn("_vector", array_to_vector("_own"))
+    before = Window.partitionBy(*key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)
+    upto = summed(part.withColumn("_upto", total("_vector").over(before)), "_upto")
+    carry = upto.select(*by, "_blk", F.zip_with("_upto", "_own", lambda a, b: a - b).alias("_carry"))
+    w = Window.partitionBy(*key, "_blk").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    joined = join_keys(placed, carry, [*by, "_blk"], "left").withColumn(out, total("_vector").over(w))
+    return summed(joined, out).withColumn(out, F.zip_with(out, "_carry", lambda a, b: a + b)).select(*df.columns, out)
+
+
 def _plus(local: Column, carried: Column) -> Column:
     """Sum of two nullable parts; null only when both are."""
     return F.coalesce(local + carried, local, carried)
@@ -137,8 +186,9 @@ def exact_quantiles(
     """Linear-interpolated quantiles per key, one row per key (one row in all when ``by`` is empty)."""
     by = list(by)
     known = df.filter(F.col(value).isNotNull())
-    blocks = blocks_for(df.select(*by, value)) if blocks is None else blocks
-    if blocks <= 1:
+    if blocks is None and not df.sparkSession.conf.get("tidemark.blocks", None) and plan_bytes(df) <= UNCOUNTED_BYTES:
+        blocks = 1
+    if blocks is not None and blocks <= 1:
         aggs = [F.percentile(value, F.lit(q)).alias(name) for name, q in quantiles.items()]
         if n_out:
             aggs.append(F.count(F.lit(1)).alias(n_out))
@@ -166,8 +216,9 @@ def quantile_table(
     """Quantiles of several columns at once: output name -> (column, quantile), one pass over ``df``."""
     by = list(by)
     cols = list(dict.fromkeys(c for c, _ in specs.values()))
-    blocks = blocks_for(df.select(*by, *cols)) if blocks is None else blocks
-    if blocks <= 1:
+    if blocks is None and not df.sparkSession.conf.get("tidemark.blocks", None) and plan_bytes(df.select(*by, *cols)) <= UNCOUNTED_BYTES:
+        blocks = 1
+    if blocks is not None and blocks <= 1:
         return df.groupBy(*by).agg(*[F.percentile(c, F.lit(q)).alias(o) for o, (c, q) in specs.items()])
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
     long = df.selectExpr(*by, f"stack({len(cols)}, {pairs}) AS (_col, _value)")
