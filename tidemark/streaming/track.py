@@ -4,6 +4,9 @@ Snapshots of an item arrive over weeks. Per item the stream keeps a few numbers
 append-only log of what became final: ``registered``, ``day1`` and ``label`` (or ``no_baseline``).
 The clock is the snapshot's own time, so a replay gives the same log as the live run. A snapshot
 that is not newer than the last accepted one is late and changes nothing.
+
+State of an item goes some time after its last snapshot. :func:`track_run` then keeps what was
+decided in a durable ledger, so an item that returns goes on where it ended.
 """
 
 from __future__ import annotations
@@ -11,19 +14,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.constants import (
-    BIAS_MAX_SHARE, BIAS_MIN_LABELS, DAY_US, HORIZON_DAYS, MIN_GAP_HOURS, RETRAIN_MIN_ROWS,
+    BASELINE_ITEMS, BASELINE_MIN, BIAS_MAX_SHARE, BIAS_MIN_LABELS, DAY_US, HORIZON_DAYS, MIN_GAP_HOURS, RETRAIN_MIN_ROWS,
 )
 from tidemark.functions.calendar import day1_validity
 from tidemark.session import fresh_path
+from tidemark.streaming.ledger import Ledger
 
 HOUR_US = 3_600_000_000
 LOG = "item_id string, author string, event string, t bigint, views double, likes double, age_days double, label int"
-STATE = "start bigint, last bigint, day1 boolean, labelled boolean, noted boolean"
+RAW = LOG + ", began bigint, known boolean, median_views double, day1 boolean, labelled boolean, noted boolean"
+STATE = "start bigint, last bigint, day1 boolean, labelled boolean, noted boolean, valued boolean"
+RETIRED = "item_id string, began bigint, day1 boolean, labelled boolean, noted boolean"
 RETENTION_DAYS = 120
 
 
@@ -41,15 +47,24 @@ def snapshot_stream(
 
 def track_stream(
     snapshots: DataFrame, baselines: DataFrame, gap_hours: float = MIN_GAP_HOURS, maturity_days: float = HORIZON_DAYS,
-    late: str = "30 days", retention_days: int = RETENTION_DAYS,
+    late: str = "30 days", retention_days: float = RETENTION_DAYS,
 ) -> DataFrame:
     """The event log of a snapshot stream.
 
     ``snapshots``: item_id, author, ts, upload_date, added_at, views, likes; ``baselines``:
     author, median_views. Age counts from the upload date, else from ``added_at``, else from the
     first snapshot. An item's state goes once event time is ``retention_days`` past its last
-    snapshot.
+    snapshot; seen again after that it is a new item here, and only :func:`track_run` knows better.
     """
+    raw = raw_events(snapshots, baselines, gap_hours, maturity_days, late, retention_days)
+    return raw.filter("event NOT IN ('valued', 'retired')").select(*[c.split()[0] for c in LOG.split(", ")])
+
+
+def raw_events(
+    snapshots: DataFrame, baselines: DataFrame, gap_hours: float, maturity_days: float, late: str, retention_days: float
+) -> DataFrame:
+    """Events of :func:`track_stream`, and two more that each appear once per life of a state: ``valued``, the first
+    accepted snapshot that could be labelled whatever its age, and ``retired``, what was decided when the state goes."""
     start = F.coalesce(F.try_to_timestamp("upload_date", F.lit("yyyyMMdd")), F.col("added_at"))
     rows = (
         snapshots.join(baselines.select("author", "median_views"), "author", "left")
@@ -61,46 +76,130 @@ def track_stream(
         .filter("item_id IS NOT NULL AND ts IS NOT NULL")
         .withWatermark("ts", late)
     )
-    gap, mature, keep_ms = int(gap_hours * HOUR_US), int(maturity_days * DAY_US), retention_days * 86_400_000
+    gap, mature, keep_ms = int(gap_hours * HOUR_US), int(maturity_days * DAY_US), int(retention_days * 86_400_000)
+    names = [c.split()[0] for c in RAW.split(", ")]
+
+    def frame(log: list[dict]) -> pd.DataFrame:
+        out = pd.DataFrame(log).reindex(columns=names)
+        kinds = {"t": "Int64", "began": "Int64", "views": "float64", "likes": "float64", "age_days": "float64", "median_views": "float64", "label": "Int32"}
+        return out.astype(kinds | dict.fromkeys(("known", "day1", "labelled", "noted"), "boolean"))
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        began, last, day1, labelled, noted, valued = state.get if state.exists else (None, None, False, False, False, False)
         if state.hasTimedOut:
             state.remove()
+            yield frame([{"item_id": key[0], "event": "retired", "t": last, "began": began, "day1": day1, "labelled": labelled, "noted": noted}])
             return
-        began, last, day1, labelled, noted = state.get if state.exists else (None, None, False, False, False)
         log = []
         rows = pd.concat(list(batches), ignore_index=True).sort_values("t", kind="stable", ignore_index=True)
         times = rows["t"].to_numpy()
         i = 0 if last is None else int(times.searchsorted(max(last + gap, last + 1)))
         while i < len(times) and not labelled:  # jumps from one accepted snapshot to the next
             r, t = rows.iloc[i], int(times[i])
-            if began is None:
+            new = began is None
+            if new:
                 began = int(r["start"]) if pd.notna(r["start"]) else t
-                log.append((key[0], r["author"], "registered", t, r["views"], r["likes"], (t - began) / DAY_US, None))
-            else:
-                age = t - began
-                known = pd.notna(r["median_views"]) and pd.notna(r["views"])
-                event = (key[0], r["author"], t, r["views"], r["likes"], age / DAY_US)
+            age = t - began
+            known = bool(pd.notna(r["median_views"]) and pd.notna(r["views"]))
+            event = {"item_id": key[0], "author": r["author"], "t": t, "views": r["views"], "likes": r["likes"], "age_days": age / DAY_US}
+            event |= {"began": began, "known": known, "median_views": r["median_views"]}
+            if new:
+                log.append(event | {"event": "registered"})
+            if known and not valued:
+                valued = True
+                log.append(event | {"event": "valued"})
+            if not new:
                 if not day1 and age >= DAY_US:
                     day1 = True
-                    log.append((*event[:2], "day1", *event[2:], None))
+                    log.append(event | {"event": "day1"})
                 if age >= mature and known:
                     labelled = True
-                    log.append((*event[:2], "label", *event[2:], int(r["views"] > r["median_views"])))
+                    log.append(event | {"event": "label", "label": int(r["views"] > r["median_views"])})
                 elif age >= mature and not noted:
                     noted = True
-                    log.append((*event[:2], "no_baseline", *event[2:], None))
+                    log.append(event | {"event": "no_baseline"})
             last = t
             i = int(times.searchsorted(max(t + gap, t + 1)))
-        state.update((began, last, day1, labelled, noted))
+        state.update((began, last, day1, labelled, noted, valued))
         state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + keep_ms)
         if log:
-            out = pd.DataFrame(log, columns=["item_id", "author", "event", "t", "views", "likes", "age_days", "label"])
-            yield out.astype({"views": "float64", "likes": "float64", "label": "Int32"})
+            yield frame(log)
+
+    return rows.groupBy("item_id").applyInPandasWithState(advance, RAW, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def retired_items(spark: SparkSession, out: str) -> Ledger:
+    """What was decided about items whose state is gone: their start and three flags, which never go back."""
+    def merge(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("item_id").agg(F.min("began").alias("began"), *[F.max(c).alias(c) for c in ("day1", "labelled", "noted")])
+
+    return Ledger(spark, f"{out}/retired", RETIRED, "item_id", merge)
 
-    return rows.groupBy("item_id").applyInPandasWithState(
-        advance, LOG, STATE, "append", GroupStateTimeout.EventTimeTimeout
+
+def _resumed(events: DataFrame, mature: int) -> DataFrame:
+    """Events of items that return: their snapshots are judged by the age and the decisions of their earlier life.
+
+    Retention is no shorter than maturity, so a returning item is old enough for both decisions: the day-1 values
+    come from its first snapshot and the label from its first one with known values. ``events`` has the ledger's
+    columns with ``was_`` before them.
+    """
+    age = F.col("t") - F.col("was_began")
+    new = F.when((F.col("event") == "registered") & ~F.col("was_day1") & (age >= DAY_US), F.lit("day1"))
+    new = F.array_compact(
+        F.array(
+            new,
+            F.when((F.col("event") == "valued") & ~F.col("was_labelled") & (age >= mature), F.lit("label")),
+            F.when((F.col("event") == "registered") & ~F.col("known") & ~F.col("was_noted") & ~F.col("was_labelled") & (age >= mature), F.lit("no_baseline")),
+        )
     )
+    rows = events.withColumn("_new", F.explode(new)).withColumn("age_days", age / F.lit(float(DAY_US)))
+    label = F.when(F.col("_new") == "label", (F.col("views") > F.col("median_views")).cast("int"))
+    return rows.withColumn("label", label).withColumn("event", F.col("_new")).drop("_new")
+
+
+def track_run(
+    snapshots: DataFrame, baselines: DataFrame, out: str, checkpoint: str, gap_hours: float = MIN_GAP_HOURS, maturity_days: float = HORIZON_DAYS,
+    late: str = "30 days", retention_days: float = RETENTION_DAYS,
+) -> None:
+    """Process what there is of a snapshot stream and append one log to ``out``: each event at most once per item, for ever.
+
+    State is bounded by retention; what it held goes to a ledger, and every batch looks its items up there. A batch
+    that is run again writes the same folders again. A rerun goes on where the last one ended.
+    """
+    if retention_days < max(maturity_days, 1):
+        raise ValueError("retention is shorter than maturity: a returning item could be too young to decide")
+    spark, mature = snapshots.sparkSession, int(maturity_days * DAY_US)
+    retired, columns = retired_items(spark, out), [c.split()[0] for c in LOG.split(", ")]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/raw/batch={batch_id}")  # the stateful plan runs once
+        rows = spark.read.schema(RAW).parquet(f"{out}/raw/batch={batch_id}")
+        was = retired.read(batch_id, rows.select("item_id"))
+        was = was.select("item_id", *[F.col(c).alias(f"was_{c}") for c in ("began", "day1", "labelled", "noted")])
+        joined = rows.join(was, "item_id", "left")
+        fresh = joined.filter("was_began IS NULL AND event NOT IN ('valued', 'retired')")
+        back = _resumed(joined.filter("was_began IS NOT NULL AND event IN ('registered', 'valued')"), mature)
+        fresh.select(*columns).unionByName(back.select(*columns)).write.mode("overwrite").parquet(f"{out}/log/batch={batch_id}")
+        gone = rows.filter("event = 'retired'").select("item_id", "began", "day1", "labelled", "noted")
+        flags = [(F.col("event") == e).alias(c) for e, c in (("day1", "day1"), ("label", "labelled"), ("no_baseline", "noted"))]
+        retired.put(gone.unionByName(back.select("item_id", F.col("was_began").alias("began"), *flags)), batch_id)
+
+    stream = raw_events(snapshots, baselines, gap_hours, maturity_days, late, retention_days)
+    run_batches(stream, write, checkpoint)
+
+
+def tracked_log(spark: SparkSession, out: str, stream: bool = False) -> DataFrame:
+    """The log of :func:`track_run`, whole or as a stream of its batches."""
+    return (spark.readStream if stream else spark.read).schema(LOG).option("basePath", f"{out}/log").parquet(f"{out}/log/batch=*")
+
+
+def run_batches(stream: DataFrame, write, checkpoint: str, mode: str = "append") -> None:
+    """Give every micro-batch there is to ``write`` and stop."""
+    q = (
+        stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
@@ -140,17 +239,41 @@ def tracked_table(log: DataFrame) -> DataFrame:
 
 
 def pool_status(tracked: DataFrame, min_rows: int = RETRAIN_MIN_ROWS) -> DataFrame:
-    """One row: counts by status and label, readiness to retrain, and the imbalance warning."""
+    """One row: counts by status and label, readiness to retrain, and whether one class dominates."""
     n = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
     one = tracked.agg(
         n(F.col("status") == "tracking").alias("tracking"), n(F.col("status") == "labeled").alias("labeled"),
         n(F.col("label") == 1).alias("hit"), n(F.col("label") == 0).alias("flop"),
     )
+    return _readiness(one, min_rows)
+
+
+def _readiness(one: DataFrame, min_rows: int) -> DataFrame:
     total = F.col("hit") + F.col("flop")
     biased = (total >= BIAS_MIN_LABELS) & (F.greatest("hit", "flop") / total > BIAS_MAX_SHARE)
-    return one.withColumns(
-        {"ready": (total >= min_rows).cast("int"), "warning": F.when(biased, "selection bias: one class dominates")}
-    )
+    return one.withColumns({"ready": (total >= min_rows).cast("int"), "warning": F.when(biased, "one_class")})
+
+
+def status_changes(log: DataFrame) -> DataFrame:
+    """Every event as the counters it moves: an item that is labelled leaves ``tracking`` and enters two others."""
+    def move(counter, by: int):
+        return F.struct(counter.alias("counter") if not isinstance(counter, str) else F.lit(counter).alias("counter"), F.lit(by).cast("bigint").alias("delta"))
+
+    outcome = F.when(F.col("label") == 1, "hit").otherwise("flop")
+    moves = F.when(F.col("event") == "registered", F.array(move("tracking", 1)))
+    moves = moves.when(F.col("event") == "label", F.array(move("tracking", -1), move("labeled", 1), move(outcome, 1)))
+    return log.select(F.explode(moves).alias("m")).select("m.*")
+
+
+def pool_status_stream(log_stream: DataFrame, name: str = "pool", min_rows: int = RETRAIN_MIN_ROWS) -> DataFrame:
+    """:func:`pool_status` from running counters: each batch adds its changes, and no batch reads the log again.
+
+    Update mode: a batch writes the counters that it moved, at most four rows.
+    """
+    counts = status_changes(log_stream).groupBy("counter").agg(F.sum("delta").alias("n"))
+    last = run_updates(counts, name, ["counter"])
+    wide = [F.coalesce(F.max(F.when(F.col("counter") == c, F.col("n"))), F.lit(0)).alias(c) for c in ("tracking", "labeled", "hit", "flop")]
+    return _readiness(last.agg(*wide), min_rows)
 
 
 def day1_lookup(keys: DataFrame, tracked: DataFrame) -> DataFrame:
@@ -170,15 +293,14 @@ def training_rows(log: DataFrame, content: DataFrame) -> DataFrame:
 
 
 def feed_training(log_stream: DataFrame, content: DataFrame, out: str, checkpoint: str) -> None:
-    """Append newly labelled items to the training table; a repeated batch replaces its own folder."""
+    """Append newly labelled items to the training table; a repeated batch replaces its own folder.
+
+    Give it the log of :func:`track_run`, where an item is labelled once however often it returns.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         training_rows(batch, content).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    q = (
-        log_stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
+    run_batches(log_stream, write, checkpoint)
 
 
 def upsert_baselines(updates: DataFrame, out: str, checkpoint: str) -> None:
@@ -187,11 +309,43 @@ def upsert_baselines(updates: DataFrame, out: str, checkpoint: str) -> None:
         newest = batch.groupBy("author").agg(F.max_by(F.struct("median_views", "n", "updated_at"), "updated_at").alias("b"))
         newest.select("author", "b.*").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    q = (
-        updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
+    run_batches(updates, write, checkpoint)
+
+
+def newest_items(spark: SparkSession, out: str, last: int = BASELINE_ITEMS, every: int = 20) -> Ledger:
+    """The newest ``last`` items of every author as a ring: (ts, v) in descending time.
+
+    Rings merge in any order, so batches may bring items late, and a batch reads nothing of what is stored.
+    """
+    def merge(rows: DataFrame) -> DataFrame:
+        all_rings = F.flatten(F.collect_list("ring"))  # an author has at most `every` + 1 rings
+        return rows.groupBy("author").agg(F.slice(F.sort_array(all_rings, asc=False), 1, last).alias("ring"))
+
+    return Ledger(spark, out, "author string, ring array<struct<ts: timestamp, v: double>>", "author", merge, every=every)
+
+
+def feed_baselines(items: DataFrame, out: str, checkpoint: str, last: int = BASELINE_ITEMS, every: int = 20) -> None:
+    """Keep every author's newest items from a stream of (author, ts, v); :func:`fed_baselines` has their medians.
+
+    A batch is reduced to a ring per (author, salt) and then per author, so a hot author is no single task's work.
+    """
+    ledger = newest_items(items.sparkSession, out, last, every)
+    newest = lambda c: F.slice(F.sort_array(c, asc=False), 1, last)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.filter("author IS NOT NULL AND ts IS NOT NULL").select(
+            "author", F.col("ts").cast("timestamp").alias("ts"), F.col("v").cast("double").alias("v"), F.pmod(F.xxhash64("ts", "v"), F.lit(64)).alias("_salt")
+        )
+        local = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("author", "_salt").orderBy(F.col("ts").desc()))).filter(F.col("_rn") <= last)
+        ledger.put(local.groupBy("author").agg(newest(F.collect_list(F.struct("ts", "v"))).alias("ring")), batch_id)
+
+    run_batches(items, write, checkpoint)
+
+
+def fed_baselines(spark: SparkSession, out: str, last: int = BASELINE_ITEMS, need: int = BASELINE_MIN, every: int = 20) -> DataFrame:
+    """author, median_views and n: the median of the known values among each author's newest items; too few give no row."""
+    tall = newest_items(spark, out, last, every).read().select("author", F.explode("ring.v").alias("v")).filter("v IS NOT NULL")
+    return tall.groupBy("author").agg(F.percentile("v", F.lit(0.5)).alias("median_views"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= need)
 
 
 def current_baselines(spark: SparkSession, out: str) -> DataFrame:
@@ -222,11 +376,7 @@ def run_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    q = (
-        stream.writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
+    run_batches(stream, write, checkpoint, "update")
     schema = stream.schema.add("batch", "long")
     rest = [c for c in stream.columns if c not in keys]
     log = spark.read.schema(schema).option("basePath", out).parquet(out)
