@@ -24,6 +24,7 @@ from tidemark.operators.similar import knn_features, knn_join
 from tidemark.operators.splits import group_kfold
 from tidemark.operators.trend import multi_token_momentum, token_momentum
 from tidemark.session import cut, in_parallel
+from tidemark.sources.sinks import append_log
 
 Block = Callable[..., tuple[DataFrame, list[str]]]
 BLOCKS: dict[str, Block] = {}
@@ -185,12 +186,12 @@ def median_filled_block(name: str, table: DataFrame, cols: Sequence[str]) -> Non
 def run_experiment(
     df: DataFrame, specs: Sequence[str], model: str, label: str = "y", stage: str = "pre", folds: int = FOLDS,
     key: str = "item_id", by: str = "author_id", protocols: Sequence[str] = ("cross_author", "temporal"),
-    replicates: int = 0, name: str | None = None, **params,
+    replicates: int = 0, name: str | None = None, log: str | None = None, **params,
 ) -> DataFrame:
-    """One row per protocol in the shape of the run log.
+    """One row per protocol in the shape of the run log; with ``log`` the rows are appended to it.
 
     ``cross_author``: out-of-fold over author folds; ``temporal``: train split to test split.
-    The column guard runs before any model is fitted.
+    The column guard runs before any model is fitted, so a refused feature leaves no log row.
     """
     start = time.time()
     shared, frozen = _frozen(df, specs, label, stage, by, folds, "cross_author" in protocols)
@@ -210,11 +211,16 @@ def run_experiment(
             row = row.withColumns({"auc_lo": F.lit(None).cast("double"), "auc_hi": F.lit(None).cast("double")})
         parts.append(row.withColumn("protocol", F.lit(protocol)))
     out = reduce(DataFrame.unionByName, parts)
-    return out.select(
+    rows = out.select(
         F.lit(name or "+".join(specs)).alias("label"), F.lit(model).alias("model"), F.lit(label).alias("target"),
         F.lit(stage).alias("stage"), F.lit(width).cast("bigint").alias("n_features"), "protocol", "n", "roc_auc",
         "auc_lo", "auc_hi", "avg_precision", "brier", F.lit(round(time.time() - start, 3)).alias("seconds"),
     )
+    if log is None:
+        return rows
+    rows = cut(rows)
+    append_log(rows, log)
+    return rows
 
 
 def _frozen(df, specs, label, stage, by, folds, folded: bool) -> tuple[DataFrame, list[str]]:
@@ -280,13 +286,16 @@ def target_contrast(df: DataFrame, configs: Mapping[str, Sequence[str]], targets
     )
 
 
-def baselines(df: DataFrame, label: str = "y", by: str = "author_id") -> DataFrame:
-    """Majority class, author prior and rule score on the temporal test split."""
+def baselines(df: DataFrame, label: str = "y", by: str = "author_id", caption: str | None = None) -> DataFrame:
+    """Majority class, author prior, rule score and, given the caption's column, a logistic model of the caption alone, on the temporal test split."""
+    if caption is not None:
+        df, feats = build_blocks(df, [f"caption:{caption}"], F.lit(True), label)
+        df = L.predict(L.fit(df.filter("split = 'train'"), "logit", feats, label), df, "p_caption")
     train = F.col("split") == "train"
     prior = E.target_encode(df, by, label, train, "p_author").filter("split = 'test'")
     share = df.filter(train).agg(F.avg(label).alias("p_majority"))
     scored = with_one_row(prior, share)
-    names = ["p_majority", "p_author"] + (["rule_score"] if "rule_score" in df.columns else [])
+    names = ["p_majority", "p_author"] + [c for c in ("rule_score", "p_caption") if c in df.columns]
     pairs = ", ".join(f"'{n}', CAST(`{n}` AS DOUBLE)" for n in names)
     tall = scored.selectExpr(label, f"stack({len(names)}, {pairs}) AS (baseline, p)")
     return metrics(tall, label, "p", by=["baseline"]).select("baseline", "n", "roc_auc", "avg_precision", "brier")

@@ -380,15 +380,15 @@ def text_lengths(spark, d):
 
 @query(
     "target_encode_topic",
-    WITH_SCORED + """, te AS (SELECT topic, avg(y) AS m FROM scored WHERE split = 'train' AND k < 50 GROUP BY topic),
-    g AS (SELECT avg(y) AS g FROM scored WHERE split = 'train' AND k < 50),
-    tk AS (SELECT k, avg(y) AS m FROM scored WHERE split = 'train' AND k < 50 GROUP BY k)
+    WITH_SCORED + """, te AS (SELECT topic, avg(y) AS m FROM scored WHERE split = 'train' GROUP BY topic),
+    g AS (SELECT avg(y) AS g FROM scored WHERE split = 'train'),
+    tk AS (SELECT k, avg(y) AS m FROM scored WHERE split = 'train' GROUP BY k)
     SELECT item_id, round(te.m, 6) AS topic_te, round(coalesce(tk.m, g), 6) AS k_te FROM scored s LEFT JOIN te USING (topic)
     LEFT JOIN tk ON s.k = tk.k, g""",
 )
 def target_encode_topic(spark, d):
     s = fx.scored(spark, d)
-    train = (F.col("split") == "train") & (F.col("k") < 50)
+    train = F.col("split") == "train"
     e = E.target_encode(E.target_encode(s, "topic", "y", train, "topic_te"), "k", "y", train, "k_te")
     return e.select("item_id", F.round("topic_te", 6).alias("topic_te"), F.round("k_te", 6).alias("k_te"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.constants import HORIZON_DAYS
 from tidemark.operators import decide as D
 from tidemark.operators import metrics as M
 from tidemark.operators import resample as R
@@ -113,11 +114,12 @@ def ece(spark, d):
 
 @query(
     "segment_metrics",
-    WITH_SCORED + f""", top AS (SELECT topic FROM scored GROUP BY topic ORDER BY count(*) DESC, topic LIMIT 3),
+    WITH_SCORED + f""", top AS (SELECT topic FROM scored GROUP BY topic ORDER BY count(*) DESC, topic LIMIT 8),
+    sz AS (SELECT item_id, count(*) OVER (PARTITION BY author_id) AS size FROM scored), se AS (SELECT list_distinct(quantile_cont(size, [0.25, 0.5, 0.75])) AS es FROM sz),
     s AS (SELECT 'all' AS dimension, 'all' AS segment, y, p FROM scored
       UNION ALL SELECT 'topic', topic, y, p FROM scored WHERE topic IN (FROM top)
       UNION ALL SELECT 'duration', CASE WHEN value < 7 THEN '<7' WHEN value < 15 THEN '7-15' WHEN value < 30 THEN '15-30' WHEN value < 60 THEN '30-60' ELSE '60+' END, y, p FROM scored
-      UNION ALL SELECT 'author', author_id::VARCHAR, y, p FROM scored),
+      UNION ALL SELECT 'author_size', len(list_filter(es, lambda x: x < size))::VARCHAR, y, p FROM scored JOIN sz USING (item_id), se),
     a AS ({auc_sql('s', by='dimension, segment')}),
     e AS (SELECT dimension, segment, sum(n * abs(rate - mp)) / sum(n) AS ece FROM (SELECT dimension, segment, least(floor(p * 10), 9) AS bin,
           avg(p) AS mp, avg(y) AS rate, count(*) AS n FROM s GROUP BY ALL) GROUP BY ALL),
@@ -127,11 +129,12 @@ def ece(spark, d):
 )
 def segment_metrics(spark, d):
     s = fx.scored(spark, d)
-    top = s.groupBy("topic").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "topic").limit(3)
-    s = s.join(F.broadcast(top.select("topic", F.lit(1).alias("_top"))), "topic", "left")  # three rows
+    top = s.groupBy("topic").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "topic").limit(8)
+    s = s.join(F.broadcast(top.select("topic", F.lit(1).alias("_top"))), "topic", "left")  # eight rows
+    s = M.qcut(s.join(s.groupBy("author_id").agg(F.count("*").alias("size")), "author_id"), "size", 4, "quartile")
     v = F.col("value")
     band = F.when(v < 7, "<7").when(v < 15, "7-15").when(v < 30, "15-30").when(v < 60, "30-60").otherwise("60+")
-    dims = {"topic": F.when(F.col("_top") == 1, F.col("topic")), "duration": band, "author": F.col("author_id")}
+    dims = {"topic": F.when(F.col("_top") == 1, F.col("topic")), "duration": band, "author_size": F.col("quartile")}
     return M.segment_metrics(s, "y", "p", dims).select("dimension", "segment", "n", *[F.round(c, 12).alias(c) for c in ("brier", "roc_auc", "ece")], *rounded("base_rate"))
 
 
@@ -172,10 +175,9 @@ def spearman_size(spark, d):
     return M.spearman(s.join(sizes, "author_id"), "p", "size").select(*rounded("spearman"))
 
 
-@query(
-    "rank_quality",
+RANK_SQL = (
     WITH_SCORED + """, g AS (SELECT author_id, count(*) AS n, min(value) AS lo, max(value) AS hi FROM scored GROUP BY author_id HAVING count(*) >= 3 AND min(value) < max(value)),
-    r AS (SELECT s.author_id, floor(p * 10) / 10 AS sc, value - lo AS gain, value FROM scored s JOIN g USING (author_id)),
+    r AS (SELECT s.author_id, p AS sc, value - lo AS gain, value FROM scored s JOIN g USING (author_id)),
     t AS (SELECT author_id, sc, count(*) AS n, avg(gain) AS g FROM r GROUP BY ALL),
     e AS (SELECT *, sum(n) OVER (PARTITION BY author_id ORDER BY sc DESC) AS fin FROM t),
     dc AS (SELECT author_id, sum(g * ((CASE WHEN fin >= 1 THEN 1 ELSE 0 END + CASE WHEN fin >= 2 THEN 1 / log2(3) ELSE 0 END + CASE WHEN fin >= 3 THEN 0.5 ELSE 0 END)
@@ -184,12 +186,20 @@ def spearman_size(spark, d):
     ic AS (SELECT author_id, sum(gain / log2(i + 1)) AS idcg FROM ir WHERE i <= 3 GROUP BY author_id),
     rk AS (SELECT author_id, rank() OVER (PARTITION BY author_id ORDER BY sc) + (count(*) OVER (PARTITION BY author_id, sc) - 1) / 2.0::DOUBLE AS a,
            rank() OVER (PARTITION BY author_id ORDER BY value) + (count(*) OVER (PARTITION BY author_id, value) - 1) / 2.0::DOUBLE AS b FROM r),
-    sp AS (SELECT author_id, corr(a, b) AS rho FROM rk GROUP BY author_id)
-    SELECT author_id, g.n, round(rho, 9) AS spearman, round(dcg / idcg, 9) AS ndcg_3 FROM g JOIN dc USING (author_id) JOIN ic USING (author_id) JOIN sp USING (author_id)""",
+    sp AS (SELECT author_id, corr(a, b) AS rho FROM rk GROUP BY author_id),
+    q AS (SELECT author_id, g.n, rho AS spearman, dcg / idcg AS ndcg_3 FROM g JOIN dc USING (author_id) JOIN ic USING (author_id) JOIN sp USING (author_id))"""
 )
+
+
+@query("rank_quality", RANK_SQL + " SELECT author_id, n, round(spearman, 9) AS spearman, round(ndcg_3, 9) AS ndcg_3 FROM q")
 def rank_quality(spark, d):
-    s = fx.scored(spark, d).withColumn("p", F.floor(F.col("p") * 10) / 10)
-    return M.rank_quality(s, "author_id", "p", "value").select("author_id", "n", *rounded("spearman", "ndcg_3"))
+    return M.rank_quality(fx.scored(spark, d), "author_id", "p", "value").select("author_id", "n", *rounded("spearman", "ndcg_3"))
+
+
+@query("rank_quality_summary", RANK_SQL + " SELECT round(avg(spearman), 9) AS spearman, round(avg(ndcg_3), 9) AS ndcg_3, count(spearman) AS keys FROM q")
+def rank_quality_summary(spark, d):
+    per = M.rank_quality(fx.scored(spark, d), "author_id", "p", "value")
+    return M.rank_quality_summary(per).select(*rounded("spearman", "ndcg_3"), "keys")
 
 
 @query(
@@ -216,21 +226,24 @@ def fame_leak(spark, d):
     return M.fame_leak(s.join(fame, "author_id"), ["own_norm", "absolute"], "fame").select("label", *rounded("leak"))
 
 
+EARLY_DAYS = tuple(range(HORIZON_DAYS + 1))
+
+
 @query(
     "early_window",
-    WITH_PANEL + f""", w AS (SELECT item_id, coalesce(arg_max(play_count, days_since_post) FILTER (WHERE days_since_post <= 0), 0) AS d0,
-      coalesce(arg_max(play_count, days_since_post) FILTER (WHERE days_since_post <= 3), 0) AS d3, coalesce(arg_max(play_count, days_since_post) FILTER (WHERE days_since_post <= 7), 0) AS d7,
-      coalesce(arg_max(play_count, days_since_post) FILTER (WHERE days_since_post <= 14), 0) AS d14 FROM panel GROUP BY item_id),
-    m AS (SELECT quantile_cont(d14, 0.5) AS med FROM w), l AS (SELECT (d14 > med)::INT AS y, d0, d3, d7, d14 FROM w, m),
-    tall AS (SELECT 0 AS day, y, d0 AS v FROM l UNION ALL SELECT 3, y, d3 FROM l UNION ALL SELECT 7, y, d7 FROM l UNION ALL SELECT 14, y, d14 FROM l),
+    WITH_PANEL + ", w AS (SELECT item_id, " + ", ".join(
+        f"coalesce(arg_max(play_count, days_since_post) FILTER (WHERE days_since_post <= {h}), 0) AS d{h}" for h in EARLY_DAYS
+    ) + f""" FROM panel GROUP BY item_id),
+    m AS (SELECT quantile_cont(d14, 0.5) AS med FROM w),
+    tall AS ({" UNION ALL ".join(f"SELECT {h} AS day, (d14 > med)::INT AS y, d{h} AS v FROM w, m" for h in EARLY_DAYS)}),
     a AS ({auc_sql('tall', p='v', by='day')}), f AS (SELECT roc_auc AS fin FROM a WHERE day = 14)
     SELECT day, round(roc_auc, 9) AS roc_auc, round((roc_auc - 0.5) / (fin - 0.5), 9) AS share_of_final FROM a, f""",
 )
 def early_window(spark, d):
-    wide = latest_at_many(fx.panel(spark, d), "item_id", "days_since_post", "play_count", [0, 3, 7, 14]).fillna(0.0)
+    wide = latest_at_many(fx.panel(spark, d), "item_id", "days_since_post", "play_count", EARLY_DAYS).fillna(0.0)
     median = exact_quantiles(wide, [], "play_count_14", {"_median": 0.5})
     labelled = with_one_row(wide, median).withColumn("y", (F.col("play_count_14") > F.col("_median")).cast("int"))
-    return M.early_window(labelled, "y", {h: f"play_count_{h}" for h in (0, 3, 7, 14)}, 14).select("day", *rounded("roc_auc", "share_of_final"))
+    return M.early_window(labelled, "y", {h: f"play_count_{h}" for h in EARLY_DAYS}, HORIZON_DAYS).select("day", *rounded("roc_auc", "share_of_final"))
 
 
 @query(
@@ -247,6 +260,17 @@ def paired_cosine(spark, d):
     return exact_quantiles(pairs, ["lang"], "cosine", {"median_cosine": 0.5}, n_out="n").select("lang", "n", *rounded("median_cosine"))
 
 
+@query(
+    "paired_fidelity",
+    WITH_SCORED + """, d AS (SELECT split, abs(p - least(p * 0.5 + k / 250.0::DOUBLE, 1.0::DOUBLE)) AS dp FROM scored)
+    SELECT split, count(*) AS n, round(quantile_cont(dp, 0.5), 9) AS abs_dp_median, round(quantile_cont(dp, 0.9), 9) AS abs_dp_p90 FROM d GROUP BY split""",
+)
+def paired_fidelity(spark, d):
+    """How far two scores of the same rows are apart."""
+    s = fx.scored(spark, d).withColumn("p2", F.least(F.col("p") * 0.5 + F.col("k") / 250.0, F.lit(1.0)))
+    return M.paired_difference(s, "p", "p2", ["split"]).select("split", "n", *rounded("abs_dp_median", "abs_dp_p90"))
+
+
 @query(
     "label_agreement",
     """SELECT round(avg(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN (a = b)::INT::DOUBLE END), 9) AS agree, sum((a IS NOT NULL AND b IS NOT NULL)::INT)::BIGINT AS both,
@@ -300,17 +324,36 @@ def bootstrap_delta(spark, d):
     return R.bootstrap_delta(s, "y", "p", "p2", "item_id").select("metric", *rounded("lo", "mid", "hi"))
 
 
+MEDIAN_SQL = "WITH " + fx.ITEMS_SQL + """, b AS (SELECT author_id, count(value) AS n FROM items GROUP BY author_id HAVING count(value) > 0),
+    ms AS (SELECT DISTINCT n, unnest([(n + 1) // 2, n // 2 + 1]) AS m FROM b),
+    rs AS (SELECT n, m, unnest(range(1, n + 1)) AS r FROM ms),
+    ks AS (SELECT n, m, r, unnest(range(m, n + 1)) AS k FROM rs WHERE r < n),
+    tails AS (SELECT n, m, r, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(r / n::DOUBLE) + (n - k) * ln(1 - r / n::DOUBLE))) AS p FROM ks GROUP BY ALL
+      UNION ALL SELECT n, m, r, 1 FROM rs WHERE r = n),
+    pl AS (SELECT n, m, min(CASE WHEN p >= 0.025 THEN r END) AS l, min(CASE WHEN p >= 0.975 THEN r END) AS u FROM tails GROUP BY ALL),
+    o AS (SELECT author_id, value, row_number() OVER (PARTITION BY author_id ORDER BY value) AS i FROM items WHERE value IS NOT NULL),
+    ends AS (SELECT b.author_id, b.n, avg(x.value) AS median, avg(y.value) AS lo, avg(z.value) AS hi FROM b JOIN pl ON pl.n = b.n
+      JOIN o x ON x.author_id = b.author_id AND x.i = pl.m JOIN o y ON y.author_id = b.author_id AND y.i = pl.l
+      JOIN o z ON z.author_id = b.author_id AND z.i = pl.u GROUP BY ALL),
+    ci AS (SELECT *, CASE WHEN median > 0 THEN (hi - lo) / median END AS rel_width FROM ends)"""
+
+
+@query("group_median_ci", MEDIAN_SQL + " SELECT author_id, n, round(median, 9) AS median, round(lo, 9) AS lo, round(hi, 9) AS hi, round(rel_width, 9) AS rel_width FROM ci")
+def group_median_ci(spark, d):
+    return R.group_median_ci(fx.items(spark, d), "author_id", "value").select("author_id", "n", *rounded("median", "lo", "hi", "rel_width"))
+
+
+SIZES = ((1, 49), (50, 59), (60, 69), (70, 79), (80, 1_000_000_000))
+
+
 @query(
-    "group_median_ci",
-    "WITH " + fx.ITEMS_SQL + f""", wts AS (SELECT item_id, author_id, rep, value, {POISSON_SQL} AS w FROM (SELECT item_id, author_id, rep, value,
-        ('0x' || substr(md5(item_id || ':' || ((rep - 1) // 4) || ':0'), 8 * ((rep - 1) % 4) + 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM items, (SELECT unnest(range(1, 151)) AS rep))),
-    m AS (SELECT author_id, rep, quantile_cont(value, 0.5) AS m FROM wts, range(1, w + 1) GROUP BY ALL),
-    wd AS (SELECT author_id, quantile_cont(m, 0.975) - quantile_cont(m, 0.025) AS w FROM m GROUP BY author_id),
-    b AS (SELECT author_id, quantile_cont(value, 0.5) AS med, count(*) AS n FROM items GROUP BY author_id)
-    SELECT author_id, n, round(med, 9) AS median, round(w / med, 9) AS rel_width FROM b JOIN wd USING (author_id)""",
+    "minimum_group_size",
+    MEDIAN_SQL + ", s AS (SELECT *, CASE " + " ".join(f"WHEN n BETWEEN {a} AND {b} THEN '{a}-{b}'" for a, b in SIZES)
+    + " END AS bucket FROM ci) SELECT bucket, count(*) AS keys, round(quantile_cont(rel_width, 0.5), 9) AS rel_width FROM s WHERE rel_width IS NOT NULL GROUP BY bucket",
 )
-def group_median_ci(spark, d):
-    return R.group_median_ci(fx.items(spark, d), "author_id", "value", "item_id").select("author_id", "n", *rounded("median", "rel_width"))
+def minimum_group_size(spark, d):
+    per = R.group_median_ci(fx.items(spark, d), "author_id", "value")
+    return R.minimum_group_size(per, SIZES).select("bucket", "keys", *rounded("rel_width"))
 
 
 # ---- decisions
@@ -343,17 +386,17 @@ def band_report(spark, d):
 
 @query(
     "threshold_sweep",
-    WITH_SCORED + """, r AS (SELECT floor(p * 100) / 100 AS p, y FROM scored), c AS (SELECT DISTINCT p AS t FROM r)
+    WITH_SCORED + """, r AS (SELECT p, y FROM scored), c AS (SELECT DISTINCT p AS t FROM r)
     SELECT t, sum((p >= t)::INT)::DOUBLE AS n_ge, round(sum((p >= t)::INT * y) / nullif(sum((p >= t)::INT), 0)::DOUBLE, 9) AS precision FROM c, r GROUP BY t""",
 )
 def threshold_sweep(spark, d):
-    s = D.sweep(fx.scored(spark, d).withColumn("p", F.floor(F.col("p") * 100) / 100), "y", "p")
+    s = D.sweep(fx.scored(spark, d), "y", "p")
     return s.select("t", "n_ge", F.round(F.col("pos_ge") / F.col("n_ge"), 9).alias("precision"))
 
 
 @query(
     "supported_thresholds",
-    WITH_SCORED + """, r AS (SELECT floor(p * 100) / 100 AS p, y FROM scored), c AS (SELECT DISTINCT p AS t FROM r), tot AS (SELECT sum(y) AS allp, sum(1 - y) AS alln FROM r),
+    WITH_SCORED + """, r AS (SELECT p, y FROM scored), c AS (SELECT DISTINCT p AS t FROM r), tot AS (SELECT sum(y) AS allp, sum(1 - y) AS alln FROM r),
     hi AS (SELECT t, sum(y) AS tp, count(*) AS n FROM c JOIN r ON p >= t GROUP BY t), lo AS (SELECT t, sum(1 - y) AS tn, count(*) AS n FROM c JOIN r ON p <= t GROUP BY t),
     h AS (SELECT min(t) AS h FROM hi, tot WHERE tp / n::DOUBLE >= 0.65 AND tp / allp::DOUBLE >= 0.05 AND n >= 20),
     l AS (SELECT max(t) AS l FROM lo, tot WHERE tn / n::DOUBLE >= 0.65 AND tn / alln::DOUBLE >= 0.05 AND n >= 20),
@@ -364,7 +407,7 @@ def threshold_sweep(spark, d):
       AND avg(CASE WHEN p <= t_low THEN 1 - y END) >= 0.65)::INT AS reached FROM r, f GROUP BY t_low, t_high""",
 )
 def supported_thresholds(spark, d):
-    return D.supported_thresholds(fx.scored(spark, d).withColumn("p", F.floor(F.col("p") * 100) / 100), "y", "p")
+    return D.supported_thresholds(fx.scored(spark, d), "y", "p")
 
 
 @query(

@@ -7,19 +7,23 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.calendar import DURATION_BANDS
+from tidemark.functions.text import CAPTION_FEATURES, EMOTIONS
 from tidemark.operators import decide as D
 from tidemark.operators import learn as L
 from tidemark.operators import panel as P
 from tidemark.operators import splits as Z
+from tidemark.operators.guards import LeakageError
 from tidemark.operators.history import author_history
 from tidemark.operators.joins import left_with_default
 from tidemark.operators.metrics import metrics, rank_metrics
 from tidemark.operators.scan import exact_quantiles, quantile_table
 from tidemark.operators.similar import knn_features, knn_join
 from tidemark.plans import experiment as X
+from tidemark.plans.decisions import day1_columns
 from tidemark.plans.metric_queries import auc_sql
 from tidemark.plans.registry import query
-from tidemark.session import cut
+from tidemark.session import cut, fresh_path
 from tidemark.sources import fixtures as fx
 
 WITH_SCORED = "WITH " + fx.SCORED_SQL
@@ -109,7 +113,7 @@ def gbt_temporal(spark, d):
 def model_families(spark, d):
     return _temporal(
         spark, d, ["mlp", "forest", "gaussian_nb", "linear_svc", "balanced_logit"],
-        mlp={"maxIter": 120}, forest={"numTrees": 300},
+        forest={"numTrees": 300},
     )
 
 
@@ -212,6 +216,7 @@ def stacking(spark, d):
     oof = {
         "logit": cut(L.out_of_fold(items, "logit", feats, "y", "item_id")),
         "nb": cut(L.out_of_fold(items, "gaussian_nb", feats, "y", "item_id")),
+        "forest": cut(L.out_of_fold(items, "forest", feats, "y", "item_id")),
     }
     stacked = L.stack_oof(oof, "item_id", "y")
     return metrics(stacked, "y", "p_stack").select("n", F.round("roc_auc", 6).alias("roc_auc"), F.round("brier", 6).alias("brier"))
@@ -243,9 +248,9 @@ def early_fusion(spark, d):
 @query("search")
 def search(spark, d):
     items, feats = numeric_items(spark, d)
-    space = {"regParam": [0.0001, 0.01, 0.1], "elasticNetParam": [0.0, 0.5]}
-    s = L.search(items, "logit", feats, "y", "item_id", space, trials=3, folds=2)
-    return s.select("trial", "params", F.round("mean_auc", 6).alias("mean_auc"), "chosen")
+    space = {"regParam": [1e-5, 1e-4, 1e-3, 0.01, 0.03, 0.1], "elasticNetParam": [0.0, 0.5, 1.0], "maxIter": [30, 100]}
+    s = L.halving_search(items, "logit", feats, "y", "item_id", space)
+    return s.select("trial", "rung", F.round("share", 6).alias("share"), "params", F.round("mean_auc", 6).alias("mean_auc"), "chosen")
 
 
 @query(
@@ -263,9 +268,7 @@ def select_by_brier(spark, d):
 def permutation_importance(spark, d):
     items, feats = numeric_items(spark, d)
     model = L.fit(items.filter("split = 'train'"), "logit", feats, "y")
-    some = ["char_len", "digit_ratio", "duration_s"]
-    held_out = cut(items.filter("split = 'valid'"))
-    model_table = L.permutation_importance(model, held_out, some, "y", "item_id", repeats=2)
+    model_table = L.permutation_importance(model, items.filter("split = 'valid'"), feats, "y", "item_id")
     return model_table.select("feature", F.round("importance", 6).alias("importance"), F.round("spread", 6).alias("spread"))
 
 
@@ -323,7 +326,7 @@ def linear_contributions_fitted(spark, d):
     items, feats = numeric_items(spark, d)
     model = L.fit(items.filter("split = 'train'"), "logit", feats, "y")
     table = L.linear_table(model, feats, spark)
-    return L.linear_contributions(items.filter("split = 'test'"), "item_id", feats, table).groupBy("feature").agg(
+    return L.linear_contributions(items, "item_id", feats, table).groupBy("feature").agg(
         F.round(F.avg(F.abs("contribution")), 6).alias("mean_size")
     )
 
@@ -333,9 +336,8 @@ def median_sensitivity(spark, d):
     items, feats = numeric_items(spark, d)
     train = items.filter("split = 'train'")
     model = L.fit(train, "logit", feats, "y")
-    some = ["char_len", "duration_s", "has_cta"]
-    one = quantile_table(train, [], {c: (c, 0.5) for c in some}).first()
-    s = L.median_sensitivity(model, items.filter("split = 'test'"), "item_id", some, one.asDict())
+    one = quantile_table(train, [], {c: (c, 0.5) for c in feats}).first()
+    s = L.median_sensitivity(model, items, "item_id", feats, one.asDict())
     return s.select("item_id", "feature", F.round("delta", 6).alias("delta"))
 
 
@@ -367,6 +369,54 @@ def baselines(spark, d):
     return b.select("baseline", "n", F.round("roc_auc", 9).alias("roc_auc"), F.round("brier", 9).alias("brier"))
 
 
+@query("caption_baseline")
+def caption_baseline(spark, d):
+    b = X.baselines(model_items(spark, d), caption="desc")
+    return b.select("baseline", "n", F.round("roc_auc", 6).alias("roc_auc"), F.round("brier", 6).alias("brier"))
+
+
+RUNS = {
+    ("content", "pre"): (["caption", "meta", "missing", "emotion", "vector:vec,64", "scores"], len(CAPTION_FEATURES) + 4 + 2 + len(EMOTIONS) + 2 + 64 + 1),
+    ("first day", "day1"): (["caption", "day1", "retrieval:10"], len(CAPTION_FEATURES) + 4 + 2),
+    ("first day, basic", "day1"): (["duration", "timing", "day1_basic"], 1 + len(DURATION_BANDS) + 7 + 3),
+}
+
+
+@query(
+    "experiment_log",
+    WITH_SCORED + ", r AS (" + " UNION ALL ".join(
+        f"SELECT '{name}' AS label, '{stage}' AS stage, {n} AS n_features" for (name, stage), (_, n) in RUNS.items()
+    ) + """) SELECT label, stage, protocol, n_features, CASE protocol WHEN 'temporal' THEN (SELECT count(*) FROM scored WHERE split = 'test') ELSE (SELECT count(*) FROM scored) END AS n,
+      1 AS scored FROM r, (VALUES ('cross_author'), ('temporal')) p(protocol) UNION ALL SELECT 'leak', 'pre', 'refused', 0, 0, 0""",
+)
+def experiment_log(spark, d):
+    """The log of a run per stage and set of blocks; a run with a leaking feature is refused and leaves no row."""
+    e = fx.table(spark, d, "embeddings")
+    size, path = e.count(), fresh_path(spark, "runs")
+    items = model_items(spark, d)
+    items = items.withColumn("_vec", F.col("item_id") % size).join(e.select(F.col("vec_id").alias("_vec"), F.col("embedding").alias("vec")), "_vec")
+    items = items.withColumn("likes", F.col("value") / 10).withColumns(day1_columns("value", ["likes"])).withColumns(
+        {c: F.when(F.col("item_id") % 4 != 0, (F.col("item_id") % (7 + i)) / 10.0) for i, c in enumerate([*EMOTIONS, "speaking_rate"])}
+        | {"is_english": F.col("item_id") % 2 == 0, "created_by_ai": F.lit(None).cast("boolean"), "is_ads": F.col("item_id") % 5 == 0, "ratio": F.lit("0.5625")}
+    )
+    items = cut(items)
+    X.median_filled_block("scores", items.filter(F.col("value") > 20).select("item_id", (F.col("item_id") % 13).cast("double").alias("mood")), ["mood"])
+    for (name, stage), (specs, _) in RUNS.items():
+        X.run_experiment(items, specs, "logit", stage=stage, name=name, log=path)
+    refused = 0
+    try:
+        X.run_experiment(items, ["caption", "day1"], "logit", stage="pre", name="leak", log=path)
+    except LeakageError:
+        refused = 1
+    log = spark.read.parquet(path)
+    rows = log.select("label", "stage", "protocol", F.col("n_features").cast("int").alias("n_features"), "n", F.col("roc_auc").isNotNull().cast("int").alias("scored"))
+    leak = spark.range(refused).select(
+        F.lit("leak").alias("label"), F.lit("pre").alias("stage"), F.lit("refused").alias("protocol"), F.lit(0).alias("n_features"),
+        F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("scored"),
+    )
+    return rows.unionByName(leak)
+
+
 @query(
     "cold_author",
     WITH_SCORED + f""", h AS (SELECT *, count(*) OVER (PARTITION BY author_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1209600000000 PRECEDING) AS prior FROM scored),

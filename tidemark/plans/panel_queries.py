@@ -106,6 +106,17 @@ def latest_at_horizon(spark, d):
     )
 
 
+@query(
+    "ordered_panel",
+    WITH_PANEL + """ SELECT item_id, arg_max(play_count, days_since_post) AS play_count, arg_max(like_count, days_since_post) AS like_count
+    FROM panel WHERE days_since_post <= 14 GROUP BY item_id""",
+)
+def ordered_panel(spark, d):
+    """The values at the horizon, read without a shuffle from a panel that is bucketed and sorted by item."""
+    panel = P.ordered_panel(fx.panel(spark, d), "item_id", "days_since_post")
+    return P.latest_at(panel, "item_id", "days_since_post", HORIZON_DAYS).select("item_id", "play_count", "like_count")
+
+
 DAYS = (0, 1, 2, 3, 5, 7, 14)
 
 
@@ -181,12 +192,22 @@ def coverage_floor_fair(spark, d):
 
 @query(
     "row_cleaning",
-    """SELECT o_orderkey AS item_id, o_custkey AS author_id, o_orderstatus FROM orders
-    WHERE o_totalprice > 0 AND o_custkey IS NOT NULL AND o_orderstatus <> 'P'""",
+    "SELECT o_orderkey AS item_id, o_custkey AS author_id, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice > 0 AND o_custkey IS NOT NULL",
 )
 def row_cleaning(spark, d):
-    o = fx.table(spark, d, "orders").filter("o_totalprice > 0 AND o_custkey IS NOT NULL AND o_orderstatus <> 'P'")
-    return o.select(F.col("o_orderkey").alias("item_id"), F.col("o_custkey").alias("author_id"), "o_orderstatus")
+    o = fx.table(spark, d, "orders").drop("o_orderdate").withColumnsRenamed({"o_orderkey": "item_id", "o_custkey": "author_id"})
+    return P.clean_rows(o.withColumn("source", F.lit("one")), "o_totalprice", "author_id", ["o_orderpriority", "source"])
+
+
+@query(
+    "dead_columns",
+    """SELECT name FROM (VALUES ('constant', 1), ('empty', 1), ('o_custkey', 0), ('o_orderkey', 0), ('o_orderstatus', 0), ('o_totalprice', 0)) v(name, dead)
+    WHERE dead = 1 AND EXISTS (FROM orders)""",
+)
+def dead_columns(spark, d):
+    """Columns found dead: what a table of orders carries besides its own columns."""
+    o = fx.table(spark, d, "orders").drop("o_orderdate", "o_orderpriority").withColumns({"constant": F.lit(7), "empty": F.lit(None).cast("string")})
+    return spark.createDataFrame([(c,) for c in P.dead_columns(o)], "name string")
 
 
 @query(
