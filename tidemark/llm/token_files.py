@@ -26,6 +26,7 @@ ROW = pa.schema([
     ("doc_id", pa.int64()), ("part", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())),
 ])
 _RUN = re.compile(r"\s (?:\s|$)")
+_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ž]+")  # letters in every Unicode version, so one word of the tokenizer's pattern
 _SINGLE = re.compile(r"(?<!\s)(?= \S)")
 _state: dict = {}
 
@@ -35,22 +36,27 @@ class Known(dict):
 
     def __init__(self, name: str):
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
         self.own = Tokenizer.from_file(public_tokenizers.path(name))
-        self.own.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
+        # Strings of special tokens are tokens of their own, as the tokenizer takes them by default.
+        self.special = {t.content: _packed([i]) for i, t in self.own.get_added_tokens_decoder().items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else re.compile(r"(?!)")
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x20, 0x17F)) if _WORD.fullmatch(c) or c == " "})
 
     def __missing__(self, piece: str) -> bytes:
         bare = piece.rstrip(SIGNS)
         left, line, right = piece.partition("\n")
-        if bare != piece and bare[-1:].isalpha():  # a word never runs on into signs
+        if _WORD.fullmatch(piece):
+            ids = _packed([t.id for t in self.own.model.tokenize(piece.translate(self.bytes))])
+        elif bare != piece and bare[-1:].isalpha():  # a word never runs on into signs
             ids = self[bare] + self[piece[len(bare) :]]
         elif line and right[:1].isalpha() and left and not left[-1].isspace():  # nor over a line end
             ids = self[left] + self[line] + self[right]
         else:
-            ids = array("I", self.own.encode(piece, add_special_tokens=False).ids)
-            ids = (ids.byteswap() or ids if sys.byteorder == "big" else ids).tobytes()
+            ids = _packed(self.own.encode(piece, add_special_tokens=False).ids)
         if len(piece) <= LONG:
             if len(self) >= CACHE:
                 self.clear()
@@ -58,6 +64,11 @@ class Known(dict):
         return ids
 
 
+def _packed(ids: list[int]) -> bytes:
+    held = array("I", ids)
+    return (held.byteswap() or held if sys.byteorder == "big" else held).tobytes()
+
+
 def known(name: str = TOKENIZER) -> Known:
     """The ids known to this worker; they outlive a task."""
     if name not in _state:
@@ -78,7 +89,11 @@ def pieces(text: str) -> list[str]:
 
 def encode(text: str, name: str = TOKENIZER) -> bytes:
     """Ids of a text as little-endian unsigned 32-bit integers."""
-    return b"".join(map(known(name).__getitem__, pieces(text)))
+    own = known(name)
+    if own.cut.search(text):
+        parts = own.cut.split(text)  # texts and special strings in turn
+        return b"".join(own.special[x] if i % 2 else b"".join(map(own.__getitem__, pieces(x))) for i, x in enumerate(parts) if x)
+    return b"".join(map(own.__getitem__, pieces(text)))
 
 
 def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
