@@ -1,7 +1,9 @@
 """Corpus operators against brute force on small, awkward tables: nulls, empty and long texts, repeats, clashing columns, empty input."""
 
+import gzip
 import hashlib
 import io
+import json
 import random
 import re
 import sys
@@ -390,3 +392,84 @@ def test_toxicity_limit_parts_the_classes_and_chance_terms_stay_out(spark):
     seen = [(1, 20, 0), (2, 5, 3), (3, 0, 9)]  # a sure term, one by chance, a clean one
     df = spark.createDataFrame(seen, "term int, bad long, good long").withColumn("e", toxicity._evidence(0.115))
     assert [r.e >= toxicity.LEAST_EVIDENCE for r in df.orderBy("term").collect()][:2] == [True, False]
+
+
+def test_ids_are_those_of_a_freshly_loaded_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path(token_files.TOKENIZER))
+    rnd = random.Random(9)
+    signs = ["a", "Éß", "'s", "'ll", " ", "  ", "\n", "\t", "42", ".", "!?", "<|endoftext|>", "<|endof", "text|>", "日本", "é", "🙂", " word", "İ", "\x00", "x" * 70]
+    texts = ["a  <|endoftext|>", "<|endoftext|>", " <|endoftext|> <|endoftext|>b", "end <|endoftext|>.", "", "it's l'été, don't-won't"]
+    texts += ["".join(rnd.choice(signs) for _ in range(rnd.randint(1, 25))) for _ in range(2000)]
+    for t in texts:
+        assert np.frombuffer(token_files.encode(t), "<u4").tolist() == own.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def foreign_record(kind, page, body):
+    raw = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{page}>\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    return gzip.compress(raw)
+
+
+@pytest.mark.parametrize("kind", [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED])
+def test_archives_of_other_writers_are_read_by_their_index(spark, tmp_path, kind):
+    """Two stored WARC files and CDXJ indexes, as other tools package them."""
+    files, lines = {"one.warc.gz": b"", "two.warc.gz": b""}, []
+    for i in range(7):
+        name, made = list(files)[i % 2], foreign_record("warcinfo" if i == 0 else "response", f"page-{i}", f"body {i}".encode() * (i + 1))
+        told = {"url": f"http://x/{i}", "filename": name, "offset": str(len(files[name])), "length": str(len(made))}
+        lines.append(f"com,x)/{i} 2024010100000{i} {json.dumps(told)}")
+        files[name] += made
+    path = tmp_path / "foreign.wacz"
+    with zipfile.ZipFile(path, "w") as z:
+        for name, raw in files.items():
+            z.writestr(f"archive/{name}", raw)
+        z.writestr("indexes/index.cdxj", "!meta 0 {}\n" + "\n".join(lines[:4]) + "\n", kind)
+        z.writestr("indexes/more.cdx.gz", gzip.compress(("\n".join(lines[4:]) + "\n").encode()))
+        z.writestr("pages/pages.jsonl", "{}", kind)
+    archive = spark.createDataFrame([(f"file://{path}",)], "archive string")
+    got = archives.read_records(archives.locate(archive)).collect()
+    assert sorted(r.record_type for r in got) == ["response"] * 6 + ["warcinfo"] and all(r.page_id is None for r in got)
+    assert sorted(bytes(r.payload) for r in got if r.payload is not None) == [f"body {i}".encode() * (i + 1) for i in range(1, 7)]
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("archive/one.warc.gz", files["one.warc.gz"], zipfile.ZIP_DEFLATED)
+        z.writestr("indexes/index.cdxj", lines[0])
+    with pytest.raises(Exception, match="not stored"):
+        archives.locate(archive).collect()
+
+
+def test_archives_are_read_by_as_many_tasks_as_their_bytes_ask_for(spark, monkeypatch):
+    rnd = random.Random(1)
+    pages = spark.createDataFrame([(i, f"u{i}", "".join(rnd.choice("abcdefgh ") for _ in range(4000))) for i in range(60)], "page_id long, url string, html string")
+    folder = "file://" + archives.fresh_path(spark, "read").removeprefix("file:")
+    places = archives.locate(archives.write_archives(pages, folder))
+    monkeypatch.setattr(archives, "READ_BYTES", 10_000)
+    got = archives.read_records(places)
+    size = places.agg(F.sum("length")).first()[0]
+    assert got.rdd.getNumPartitions() == -(-size // 10_000) > 5 and got.count() == 60
+
+
+def test_proximity(spark):
+    docs = [(1, "alpha x x beta"), (2, "alpha x x x x x x beta"), (3, "Beta, ALPHA! alpha"), (4, None), (5, ""), (3, "Beta, ALPHA! alpha"), (None, "beta alpha"), (6, "gamma")]
+    items = [(10, "alpha beta"), (11, "beta gamma"), (12, None), (13, " ,"), (14, "gamma gamma")]
+    df = spark.createDataFrame([(*r, "b") for r in docs], "doc_id long, text string, block string").repartition(3)
+    bench = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, chunk int")
+    near = lambda t, terms, slop: [i for i, w in enumerate(t) if w == terms[0] and all(any(abs(i - j) <= slop for j, x in enumerate(t) if x == o) for o in terms)]
+    words = lambda t: re.findall(r"[a-z]+", (t or "").lower())
+    total = Counter(w for _, t in docs for w in words(t))
+    want = []
+    for d, t in docs:
+        found = {i: near(words(t), sorted(set(words(q)), key=lambda w: (total[w], w)), 4) for i, q in items if words(q)}
+        if any(found.values()):
+            want.append((d, len({p for ps in found.values() for p in ps}), sum(bool(ps) for ps in found.values())))
+    assert by_row(decontam.proximity_table(df, bench, 4), "doc_id", "n_near", "n_items") == sorted(want, key=repr) and len(want) == 5
+    assert decontam.proximity_table(df, bench.limit(0)).count() == decontam.proximity_table(df.limit(0), bench).count() == 0
+
+
+def test_the_benchmark_stays_a_table(docs, benchmark):
+    index = decontam.build_index(docs, ["doc_id"], block_words=50)
+    whole = by_row(decontam.matches(index, benchmark), "block", "item", "first", "last")
+    assert by_row(decontam.matches(index, benchmark, item_bytes=1), "block", "item", "first", "last") == whole and whole
+    plan = decontam.matches(index, benchmark, item_bytes=1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") <= 1 and "LocalRelation" not in plan  # one branch, however many chunks

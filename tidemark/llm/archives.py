@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -20,7 +22,8 @@ from tidemark.session import cut, fresh_path
 LEAST_REVISIT = 1000  # bytes of a payload that another record may refer to
 ARCHIVE_BYTES = 32 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx.gz"
-STORED = 0
+READ_BYTES = 4 << 20  # of stored records that one task reads
+STORED, DEFLATED = 0, 8
 DATE = "2024-01-01T00:00:00Z"
 
 _LOCAL = struct.Struct("<4s5H3I2H")
@@ -126,8 +129,9 @@ def parse_record(member: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _number(urn: str) -> int | None:
+    """The page of an id as the writer here makes it; ids of other writers are no numbers."""
     text = urn.removeprefix("<urn:page:").removesuffix(">")
-    return int(text) if text else None
+    return int(text) if re.fullmatch(r"-?[0-9]+", text) else None
 
 
 def _writer(folder: str, limit: int):
@@ -187,6 +191,23 @@ def write_archives(pages: DataFrame, folder: str, limit: int = ARCHIVE_BYTES) ->
     return cut(roles(pages).mapInArrow(_writer(folder, limit), "archive string, records long"))
 
 
+def _index_lines(raw: bytes) -> Iterator[tuple[str, int, int]]:
+    """(file name, offset, length) of every record that an index tells of.
+
+    A line is CDXJ (key, time and JSON with these three fields) or, as the writer here makes it, "offset length".
+    """
+    for line in raw.decode("utf-8").splitlines():
+        start = line.find("{")
+        if line.startswith("!"):  # a remark
+            continue
+        if start >= 0:
+            told = json.loads(line[start:])
+            yield str(told["filename"]), int(told["offset"]), int(told["length"])
+        elif line.strip():
+            offset, length = line.split()
+            yield DATA, int(offset), int(length)
+
+
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for archive in batch.column("archive").to_pylist():
@@ -196,15 +217,22 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     return source.read_at(n, at)
 
                 found = members(read, source.size())
-                start, size, method = found[DATA]
-                if method != STORED:
-                    raise ValueError(f"{archive}: {DATA} is not stored, so its records cannot be read by range")
-                at, n, _ = found[INDEX]
-                rows = [tuple(map(int, x.split())) for x in gzip.decompress(read(at, n)).decode().splitlines()]
-            if any(o + k > size for o, k in rows):
-                raise ValueError(f"{archive}: index points outside {DATA}")
+                rows = []
+                for index in sorted(x for x in found if re.fullmatch(r"indexes/.*\.cdxj?(\.gz)?", x)):
+                    at, n, method = found[index]
+                    raw = read(at, n)
+                    raw = zlib.decompress(raw, -15) if method == DEFLATED else raw
+                    rows += _index_lines(gzip.decompress(raw) if index.endswith(".gz") else raw)
+                places = []
+                for name, offset, length in rows:
+                    start, size, method = found.get(name) or found.get(f"archive/{name}") or (0, -1, STORED)
+                    if method != STORED:
+                        raise ValueError(f"{archive}: {name} is not stored, so its records cannot be read by range")
+                    if offset + length > size:
+                        raise ValueError(f"{archive}: index points outside {name}")
+                    places.append((start + offset, length))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([archive] * len(rows), pa.string()), pa.array([start + o for o, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.int64())],
+                [pa.array([archive] * len(places), pa.string()), pa.array([x for x, _ in places], pa.int64()), pa.array([k for _, k in places], pa.int64())],
                 names=["archive", "at", "length"],
             )
 
@@ -230,9 +258,9 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 whole = kind == "response"
                 out.append((
                     _number(headers["WARC-Record-ID"]), headers.get("WARC-Target-URI"), kind,
-                    len(body) if whole else int(headers["X-Payload-Length"]),
-                    hashlib.sha1(body).hexdigest() if whole else headers["WARC-Payload-Digest"].removeprefix("sha1:"),
-                    None if whole else _number(headers["WARC-Refers-To"]), body if whole else None,
+                    len(body) if whole else int(headers.get("X-Payload-Length", 0)),
+                    hashlib.sha1(body).hexdigest() if whole else headers.get("WARC-Payload-Digest", "").removeprefix("sha1:"),
+                    None if whole else _number(headers.get("WARC-Refers-To", "")), body if whole else None,
                 ))
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
@@ -251,8 +279,11 @@ def read_records(places: DataFrame) -> DataFrame:
     """Records at (archive, at, length), each by one range read; a revisit has no payload of its own.
 
     Places are spread by range, so that an archive's neighbours are read together and large archives by many tasks.
+    There are as many tasks as the records' bytes ask for, since the places themselves are few bytes.
     """
-    ordered = places.repartitionByRange("archive", "at").sortWithinPartitions("archive", "at")
+    places = cut(places)
+    size = places.agg(F.sum("length")).first()[0] or 0
+    ordered = places.repartitionByRange(max(1, -(-size // READ_BYTES)), "archive", "at").sortWithinPartitions("archive", "at")
     return ordered.mapInArrow(_reader, RECORD)
 
 

@@ -10,19 +10,19 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_batches, text_key
+from tidemark.llm.common import running, text_batches, text_key
 from tidemark.session import cut, fresh_path
 
 WINDOW = 13
 SHARE = 20  # a document is contaminated if SHARE * hit words >= words
 BLOCK_WORDS = 4_000_000
-ITEM_BYTES = 8 << 20  # benchmark text that one round of the search gives to every task
+ITEM_BYTES = 2 << 20  # benchmark text that one group of the search holds
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of folded text
 
 #: ASCII other than letters and digits separates words; A-Z become lower case; all else is part of a word.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -140,98 +140,121 @@ def phrase_starts(lists: dict[bytes, np.ndarray], phrase: list[bytes], frequency
     return starts
 
 
-def near_starts(lists: dict[bytes, np.ndarray], terms: list[bytes], slop: int, frequency: dict[bytes, int]) -> np.ndarray:
-    """Positions of the rarest term that have every other term at most `slop` words away."""
+def near_starts(lists: dict[bytes, np.ndarray], terms: list[bytes], slop: int, frequency: dict[bytes, int], bases: np.ndarray) -> np.ndarray:
+    """Positions of the rarest term that have every other term at most `slop` words away in the same document.
+
+    `bases` are the positions at which the block's documents start.
+    """
     order = sorted(set(terms), key=lambda t: (frequency.get(t, 0), t))
     if not order or any(t not in lists for t in order):
         return np.empty(0, np.int64)
     at = lists[order[0]]
     for t in order[1:]:
-        other = lists[t]
-        at = at[np.searchsorted(other, at + slop, "right") > np.searchsorted(other, at - slop, "left")]
+        other, doc = lists[t], np.searchsorted(bases, at, "right")
+        ends = np.append(bases[1:], np.iinfo(np.int64).max)
+        low, high = np.maximum(at - slop, bases[doc - 1]), np.minimum(at + slop, ends[doc - 1] - 1)
+        at = at[np.searchsorted(other, high, "right") > np.searchsorted(other, low, "left")]
     return at
 
 
-def _item_chunks(items: DataFrame, limit: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Benchmark items in chunks of at most `limit` bytes (or one item), read one partition at a time."""
-    chunk, held = [], 0
-    for r in items.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).toLocalIterator():
-        got = words(r["t"])
-        if got:
-            chunk.append((r["i"], got))
-            held += sum(map(len, got)) + 16 * len(got)
-        if held >= limit:
-            yield chunk
-            chunk, held = [], 0
-    if chunk:
-        yield chunk
-
-
 def windows_of(item: list[bytes], window: int) -> list[tuple[bytes, ...]]:
     return [tuple(item[i : i + window]) for i in range(max(1, len(item) - window + 1))]
 
 
-def _search(pdf: pd.DataFrame, items: list, frequency: dict[bytes, int], window: int) -> pd.DataFrame:
-    """All occurrences of all item windows in one block, as runs of word positions per item."""
-    lists = {bytes(t): np.cumsum(np.asarray(s, np.int64)) for t, s in zip(pdf["term"], pdf["steps"], strict=True)}
-    found: dict[tuple, np.ndarray] = {}
-    rows = []
-    for item, got in items:
-        hits = []
-        for phrase in windows_of(got, window):
-            if phrase not in found:
-                found[phrase] = phrase_starts(lists, list(phrase), frequency)
-            if len(found[phrase]):
-                hits.append((found[phrase], len(phrase)))
-        if hits:
-            size = hits[0][1]
-            first, last = _runs(np.unique(np.concatenate([h for h, _ in hits])))
-            rows += [(item, a, z + size - 1) for a, z in zip(first.tolist(), last.tolist(), strict=True)]
-    block = pdf["block"].iloc[0]
-    return pd.DataFrame([(block, *r) for r in rows], columns=["block", "item", "first", "last"])
-
-
-def _searcher(items: list, frequency: dict[bytes, int], window: int):
-    return lambda pdf: _search(pdf, items, frequency, window)
+def _lists(postings: pa.Table) -> tuple[dict[bytes | None, np.ndarray], dict[bytes, int]]:
+    """Positions of each term in the block (of the starts of documents under None), and its frequency in the whole index."""
+    terms = postings["term"].to_pylist()
+    steps = [np.cumsum(np.asarray(x.values, np.int64)) for x in postings["steps"]]
+    return dict(zip(terms, steps, strict=True)), dict(zip(terms, postings["n"].to_pylist(), strict=True))
+
+
+def _found(block: int | None, rows: list[tuple]) -> pa.Table:
+    cells = list(zip(*rows, strict=True)) or [[], [], []]
+    kinds = [pa.string(), pa.int64(), pa.int64()]
+    return pa.table([pa.array([block] * len(rows), pa.int64()), *[pa.array(c, k) for c, k in zip(cells, kinds, strict=True)]], names=["block", "item", "first", "last"])
+
+
+def _phrases(window: int):
+    def search(postings: pa.Table, items: pa.Table) -> pa.Table:
+        """All occurrences of all item windows in one block, as runs of word positions per item."""
+        if not len(postings) or not len(items):
+            return _found(None, [])
+        lists, frequency = _lists(postings)
+        found: dict[tuple, np.ndarray] = {}
+        rows = []
+        for item, got in zip(items["item"].to_pylist(), items["words"].to_pylist(), strict=True):
+            hits = []
+            for phrase in windows_of(got, window):
+                if phrase not in found:
+                    found[phrase] = phrase_starts(lists, list(phrase), frequency)
+                if len(found[phrase]):
+                    hits.append((found[phrase], len(phrase)))
+            if hits:
+                size = hits[0][1]
+                first, last = _runs(np.unique(np.concatenate([h for h, _ in hits])))
+                rows += [(item, a, z + size - 1) for a, z in zip(first.tolist(), last.tolist(), strict=True)]
+        return _found(postings["block"][0].as_py(), rows)
+
+    return search
+
+
+def _proximity(slop: int):
+    def search(postings: pa.Table, items: pa.Table) -> pa.Table:
+        """Places of the rarest term of each item that have all its other terms near."""
+        if not len(postings) or not len(items):
+            return _found(None, [])
+        lists, frequency = _lists(postings)
+        names, wanted = items["item"].to_pylist(), items["words"].to_pylist()
+        rows = [(item, p, p) for item, terms in zip(names, wanted, strict=True) for p in near_starts(lists, terms, slop, frequency, lists[None]).tolist()]
+        return _found(postings["block"][0].as_py(), rows)
+
+    return search
+
+
+def _everywhere(index: DataFrame, items: DataFrame, search, chunk_bytes: int) -> DataFrame:
+    """`search` on every (block, chunk of items): the block's postings of the chunk's terms beside the chunk's items.
+
+    `items` has item and text. A chunk is at most `chunk_bytes` of item text, or one item, so a group is bounded by
+    a block and a chunk. Frequencies that order the terms are those of the whole index. Items stay a table.
+    """
+    typed = "block long, item string, first long, last long"
+    spoken = items.select(F.col("item").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    spoken = spoken.withColumns({"size": F.octet_length("text").cast("long"), "h": F.xxhash64("text")}).filter(F.regexp_count("text", F.lit(_WORD)) > 0)
+    placed = cut(running(spoken, ["item", "h"], value="size").select("item", "text", F.expr(f"_before div {chunk_bytes}").alias("chunk")))
+    last = placed.agg(F.max("chunk")).first()[0]
+    if last is None:
+        return items.sparkSession.createDataFrame([], typed)
+    upper = "".join(map(chr, range(65, 91)))
+    worded = placed.select("chunk", "item", F.regexp_extract_all(F.translate("text", upper, upper.lower()), F.lit(_WORD), 0).cast("array<binary>").alias("words"))
+    asked = worded.select("chunk", F.explode("words").alias("term")).distinct()
+    terms = index_terms(index)
+    counts = terms.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum(F.size("steps")).alias("n"))
+    known = cut(asked.join(counts, "term"))
+    chosen = terms.join(known, "term").select("block", "chunk", "term", "steps", "n")
+    # The starts of a block's documents, as many as it has, go with its postings in the same form.
+    starts = index_documents(index).groupBy("block").agg(F.sort_array(F.collect_list("base")).alias("b"))
+    starts = starts.withColumn("steps", F.transform("b", lambda x, i: (x - F.when(i > 0, F.get("b", i - 1)).otherwise(0)).cast("int")))
+    starts = starts.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
+    chosen = chosen.unionByName(starts.select("block", "chunk", F.lit(None).cast("binary").alias("term"), "steps", F.lit(0).cast("long").alias("n")))
+    blocks = index_documents(index).select(F.col("block").alias("of")).distinct()
+    chunks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
+    given = chunks.join(worded, F.col("part") == F.col("chunk")).select("of", "part", "item", "words")
+    return chosen.groupBy("block", "chunk").cogroup(given.groupBy("of", "part")).applyInArrow(search, typed)
 
 
 def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """Occurrences of item windows: (block, item, first, last), word positions in the block, both included.
-
-    Items are taken in chunks of bounded size, each a query set that is searched in all blocks. A block's
-    postings of the chunk's terms are one group, bounded by the block. Frequencies that order the terms are
-    those of the whole index.
-    """
-    out, spark = None, index.sparkSession
-    for chunk in _item_chunks(items, item_bytes):
-        terms = sorted({w for _, got in chunk for w in got})
-        wanted = F.broadcast(spark.createDataFrame([(bytearray(t),) for t in terms], "term binary"))  # item_bytes at most
-        chosen = index_terms(index).join(wanted, "term", "left_semi")
-        counts = chosen.groupBy("term").agg(F.sum(F.size("steps")).alias("n")).collect()  # as many rows as terms
-        frequency = {bytes(r["term"]): r["n"] for r in counts}
+    """Occurrences of item windows: (block, item, first, last), word positions in the block, both included."""
+    return _everywhere(index, items.select(F.col("item_id").alias("item"), "text"), _phrases(window), item_bytes)
 
-        got = chosen.groupBy("block").applyInPandas(_searcher(chunk, frequency, window), "block long, item string, first long, last long")
-        out = got if out is None else out.unionByName(got)
-    return spark.createDataFrame([], "block long, item string, first long, last long") if out is None else out
 
-
-def near_matches(index: DataFrame, queries: Iterable[tuple[str, list[str]]], slop: int) -> DataFrame:
+def near_matches(index: DataFrame, queries: DataFrame | Iterable[tuple[str, list[str]]], slop: int, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """(block, item, first, last) where all terms of a query lie within `slop` words of its rarest term, at `first`.
 
-    `queries` is a list of (name, words) that the caller holds; it goes to every task.
+    `queries` is a table of (item, text), or a short list of (name, words).
     """
-    held = [(name, [w for t in terms for w in words(t)]) for name, terms in queries]
-    terms = [(bytearray(w),) for w in sorted({w for _, t in held for w in t})]
-    wanted = F.broadcast(index.sparkSession.createDataFrame(terms, "term binary"))
-    chosen = index_terms(index).join(wanted, "term", "left_semi")
-    frequency = {bytes(r["term"]): r["n"] for r in chosen.groupBy("term").agg(F.sum(F.size("steps")).alias("n")).collect()}
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        lists = {bytes(t): np.cumsum(np.asarray(s, np.int64)) for t, s in zip(pdf["term"], pdf["steps"], strict=True)}
-        rows = [(pdf["block"].iloc[0], name, p, p) for name, terms in held for p in near_starts(lists, terms, slop, frequency).tolist()]
-        return pd.DataFrame(rows, columns=["block", "item", "first", "last"])
-
-    return chosen.groupBy("block").applyInPandas(search, "block long, item string, first long, last long")
+    if not isinstance(queries, DataFrame):
+        queries = index.sparkSession.createDataFrame([(name, " ".join(terms)) for name, terms in queries], "item string, text string")
+    return _everywhere(index, queries, _proximity(slop), item_bytes)
 
 
 def _covered(spans: np.ndarray) -> int:
@@ -285,6 +308,19 @@ def contamination_table(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def proximity_table(docs: DataFrame, benchmark: DataFrame, slop: int = WINDOW) -> DataFrame:
+    """doc_id, n_near and n_items of the documents that hold all terms of an item within `slop` words of its rarest one.
+
+    `n_near` counts the places of the rarest term, `n_items` the items. Null and empty texts are near nothing;
+    repeated documents are rows of their own.
+    """
+    index = build_index(docs.select("doc_id", "text"), ["doc_id"])
+    found = cut(near_matches(index, benchmark.select(F.col("item_id").alias("item"), "text"), slop))
+    return in_documents(found, index_documents(index), ["doc_id"]).filter("n_hit > 0").select(
+        "doc_id", F.col("n_hit").alias("n_near"), F.size("items").cast("long").alias("n_items")
+    )
+
+
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the contaminated ones; all columns and repeated rows stay as they are.
 

@@ -127,20 +127,25 @@ def line_table(docs: DataFrame, both_ways: bool = False) -> DataFrame:
     )
 
 
-#: The same in SQL: windows are compared as text, first places by a window function.
+#: The same in SQL, both ways: windows are compared as text, first places by a window function.
 SQL = rf"""
 WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
 counted AS (SELECT *, len(regexp_extract_all(line, '{WORD}')) w FROM raw),
 solid AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) k, lead(i, 1) OVER d i1, lead(i, 2) OVER d i2, lead(line, 1) OVER d l1, lead(line, 2) OVER d l2,
-    lead(w, 1) OVER d w1
+  SELECT *, lead(i, 1) OVER d i1, lead(i, 2) OVER d i2, lead(line, 1) OVER d l1, lead(line, 2) OVER d l2, lead(w, 1) OVER d w1,
+    lag(i, 1) OVER d j1, lag(i, 2) OVER d j2, lag(line, 1) OVER d m1, lag(line, 2) OVER d m2, lag(w, 1) OVER d v1
   FROM counted WHERE w > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
 win AS (
   SELECT doc_id, i, CASE WHEN w >= {RUN_WORDS} THEN i WHEN w + w1 >= {RUN_WORDS} THEN i1 ELSE i2 END AS last,
     CASE WHEN w >= {RUN_WORDS} THEN line WHEN w + w1 >= {RUN_WORDS} THEN line || chr(10) || l1 ELSE line || chr(10) || l1 || chr(10) || l2 END AS body
   FROM solid),
+back AS (
+  SELECT doc_id, CASE WHEN w >= {RUN_WORDS} THEN i WHEN w + v1 >= {RUN_WORDS} THEN j1 ELSE j2 END AS i, i AS last,
+    CASE WHEN w >= {RUN_WORDS} THEN line WHEN w + v1 >= {RUN_WORDS} THEN m1 || chr(10) || line ELSE m2 || chr(10) || m1 || chr(10) || line END AS body
+  FROM solid),
+both_ways AS (SELECT doc_id, i, last, body FROM win WHERE last IS NOT NULL UNION SELECT doc_id, i, last, body FROM back WHERE i IS NOT NULL),
 later AS (
-  SELECT doc_id, i, last FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) n FROM win WHERE last IS NOT NULL) WHERE n > 1),
+  SELECT doc_id, i, last FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) n FROM both_ways) WHERE n > 1),
 gone AS (SELECT DISTINCT s.doc_id, s.i FROM solid s JOIN later l ON s.doc_id = l.doc_id AND s.i BETWEEN l.i AND l.last),
 kept AS (
   SELECT r.doc_id, string_agg(r.line, chr(10) ORDER BY r.i) FILTER (WHERE g.i IS NULL) AS t, count(g.i) AS n_deleted,

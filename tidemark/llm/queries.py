@@ -16,11 +16,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": lambda s, d: sharding.shard_table(table(s, d, "documents")),
     "op4_token_files": lambda s, d: token_files.token_table(table(s, d, "documents")),
     "op5_decontamination": lambda s, d: decontam.contamination_table(table(s, d, "documents"), table(s, d, "benchmark")),
+    "op5_proximity": lambda s, d: decontam.proximity_table(table(s, d, "documents"), table(s, d, "benchmark")),
     "op6_archives": lambda s, d: archives.archive_table(table(s, d, "pages")),
     "op7_chat": lambda s, d: chat.chat_table(table(s, d, "conversations")),
     "op8_mixing": lambda s, d: mix_table(table(s, d, "documents")),
-    "op9_line_dedup": lambda s, d: lines.line_table(table(s, d, "documents")),
-    "op9_line_runs": lambda s, d: lines.line_table(table(s, d, "documents"), both_ways=True),
+    "op9_line_dedup": lambda s, d: lines.line_table(table(s, d, "documents"), both_ways=True),
     "op10_ngram_join": lambda s, d: near.near_table(table(s, d, "documents")),
     "op11_periodic_runs": lambda s, d: periodic.run_table(table(s, d, "documents")),
     "op12_token_counts": lambda s, d: token_counts.count_table(table(s, d, "documents")),
