@@ -131,7 +131,9 @@ def author_fit(
     ``gap=1`` gives the strictly-earlier variant, which looks ahead of the label and is for audits only.
     """
     unit_v = df.withColumn("_u", unit(F.transform(vec, lambda x: x.cast("double"))))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.get("_u", i), F.lit(0.0)))
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    padded = F.slice(F.concat(F.coalesce("_u", F.array().cast("array<double>")), zeros), 1, dim)
+    filled = F.transform(padded, lambda x: F.coalesce(x, F.lit(0.0)))
     known = unit_v.filter(F.col(by).isNotNull() & F.col(ts).isNotNull())
     wins = known.filter(F.col(label) == 1).select(
         by, (F.col(ts) + F.lit(gap)).alias("_t"), F.lit(0).alias("_side"), F.concat(filled, F.array(F.lit(1.0))).alias("_s")

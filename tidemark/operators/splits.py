@@ -79,15 +79,20 @@ def balanced_fold_table(df: DataFrame, by: str, label: str, k: int = 5, seed: in
         size[f], won[f] = size[f] + r["n"], won[f] + r["hits"]
         placed.append((r[by], r["n"], f))
     table = spark.createDataFrame(placed, f"`{by}` {kind}, n bigint, fold bigint")
-    # The tail, in order of label rate and size, is dealt so that any stretch of it falls to the folds in proportion to the room left.
+    # The tail, in order of label rate and size, is dealt so that any stretch of it falls to the folds in proportion to
+    # the room left: a group of rate r asks r parts for the room of label 1 and 1 - r parts for that of the others.
     tail = sizes.filter(F.col("n") <= edge).withColumn("_rate", F.round(F.col("hits") / F.col("n"), 1))
     ordered = prefix_scan(tail, [], ["_rate", "n", "_h"], sums={"_rank": F.lit(1)})
-    room = [max(rows / k - s, 0.0) for s in size]
-    room = [x / sum(room) if sum(room) else 1 / k for x in room]
-    turn = F.pmod(F.col("_rank") * F.lit(GOLDEN), F.lit(1.0))
+
+    def parts(total: float, held: list[int]) -> list[float]:
+        room = [max(total / k - x, 0.0) for x in held]
+        return [x / sum(room) if sum(room) else 1 / k for x in room]
+
+    ones, others = parts(hits, won), parts(rows - hits, [s - w for s, w in zip(size, won, strict=True)])
+    rate, turn = F.col("_rate"), F.pmod(F.col("_rank") * F.lit(GOLDEN), F.lit(1.0))
     fold = F.lit(k - 1)
     for f in reversed(range(k - 1)):
-        fold = F.when(turn < sum(room[: f + 1]), f).otherwise(fold)
+        fold = F.when(turn < rate * sum(ones[: f + 1]) + (1 - rate) * sum(others[: f + 1]), f).otherwise(fold)
     return table.unionByName(ordered.select(by, "n", fold.cast("bigint").alias("fold")))
 
 
