@@ -207,3 +207,66 @@ def test_dead_columns(spark):
     assert P.dead_columns(df) == ["e", "c"] and P.dead_columns(df.limit(0)) == []
     kept = P.clean_rows(df.withColumn("a", F.col("id")), "v", "a")
     assert kept.columns == ["id", "v", "a"] and kept.count() == 2  # of the rows with views, s is the same too
+
+
+def test_a_metric_of_the_caller_over_the_same_resamples(spark, hot):
+    _, df = hot
+    loss = F.abs(F.col("p") - F.col("y"))
+    got = R.bootstrap_metric(df, {"n": F.lit(1.0), "loss": loss}, lambda s: s["loss"] / s["n"], "id", n=60).first()
+    drawn = R.replicate(df.select("id", loss.alias("x")), "id", 60).groupBy("rep").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("m")).toPandas()["m"]
+    assert (got.lo, got.mid, got.hi) == pytest.approx((drawn.quantile(0.025), drawn.median(), drawn.quantile(0.975))) and got.replicates == 60
+    none = R.bootstrap_metric(df.withColumn("p", F.lit(None).cast("double")), {"p": F.col("p")}, lambda s: F.nullif(s["p"], F.lit(0.0)), "id", n=4).first()
+    assert none.lo is None and none.replicates == 0
+
+
+def test_an_encoder_of_the_caller(spark):
+    from tidemark.plans import experiment as X
+
+    df = spark.createDataFrame([(i, t, int(i > 3)) for i, t in enumerate(["aa", None, "", "abab", "b" * 50, "ba"])], "item_id int, text string, y int")
+    vec = lambda texts: np.array([[t.count("a"), len(t)] for t in texts], float)
+    got = {r.item_id: r.v for r in L.encode_text(df, "text", vec, 2, "v", batch=2).collect()}
+    assert got == {0: [2, 2], 1: [0, 0], 2: [0, 0], 3: [2, 4], 4: [0, 50], 5: [1, 2]}
+    with pytest.raises(Exception, match="the encoder returned"):
+        L.encode_text(df, "text", vec, 3, "v").collect()
+    fitted = []
+    X.encoder("letters", lambda train, text: fitted.append(train.count()) or vec, 2)
+    ready, names = X.build_blocks(df, ["letters:text"], F.col("item_id") < 4, "y")
+    assert fitted == [4] and len(names) == 2 and ready.filter("item_id = 3").select(*names).first()[:] == (2.0, 4.0)
+
+
+def test_decisions_of_odd_candidates(spark):
+    from tidemark.plans import decisions as B
+
+    rows = [(1, 0.5, False, None, "cap", [1.0, 0.0]), (2, None, True, "9", "", None), (3, 2.0, None, "bad", None, [0.0, 1.0]), (4, -2.0, True, "-1", "x", [0.9, 0.1])]
+    c = spark.createDataFrame(rows, "id int, x double, has_day1 boolean, ratio string, desc string, vec array<double>")
+    c = c.withColumns({"duration": F.lit(3.0), "transcript": F.lit("t")})
+    bank = spark.createDataFrame([(1, [1.0, 0.0], 1), (10, [1.0, 0.1], 1), (11, [0.0, 1.0], 0)], "id int, vec array<double>, hit int")
+    table = spark.createDataFrame([("x", 0.0, 0.0, 1.0, 1.0, 0.0)], "feature string, median double, mean double, std double, coef double, intercept double")
+    one = lambda **kw: spark.createDataFrame([tuple(kw.values())], ", ".join(f"{k} double" for k in kw))
+    scorer = B.Scorer(["x"], table, one(t_low=0.4, t_high=0.7), one(q0=0.5, q1=0.5))
+    got = {r.id: r for r in B.decide_batch(c, "id", scorer, scorer, "ratio", bank, "vec", "hit", n_examples=2).collect()}
+    assert sorted(got) == [1, 2, 3, 4] and [got[i].model for i in (1, 2, 3, 4)] == ["pre", "day1", "pre", "day1"]
+    assert [got[i].decision for i in (1, 2, 3, 4)] == ["Unsure", "Unsure", "Post", "Do not post"]  # cost ratio 9 asks for 0.9
+    assert got[2].t_high == 0.9 and got[2].p == 0.5 and got[2].examples is None and got[2].warnings == ["no caption"]
+    assert [(e.id, e.outcome) for e in got[1].examples] == [(10, "hit"), (11, "flop")]  # never itself
+    assert got[4].certain and got[4].pred_set == "{0}" and got[3].factors[0].factor == "x"
+    day1 = spark.createDataFrame([(7.0, -3.0, None), (None, 2.0, "x")], "v double, l double, m string")
+    cols = day1.select(*[e.alias(n) for n, e in B.day1_columns("v", ["l"], "m").items()]).collect()
+    assert cols[0].log_like_d1 == 0 and cols[0].log_play_d1_vs_author == 0 and cols[1].log_play_d1 == 0 and cols[1].er_d1 == 2
+
+
+def test_a_refused_run_leaves_no_log_row(spark, labelled, tmp_path):
+    from tidemark.operators.guards import LeakageError, guard_report
+    from tidemark.plans import experiment as X
+
+    df = labelled.withColumns({"author_id": F.col("item_id") % 9, "split": F.when(F.col("item_id") < 300, "train").otherwise("test"), "log_play_d1": F.col("x1")})
+    X.block("plain")(lambda df, train, label, arg: (df, ["x0"]))
+    X.block("leaky")(lambda df, train, label, arg: (df, ["x0", "log_play_d1"]))
+    log = str(tmp_path / "log")
+    assert X.run_experiment(df, ["plain"], "logit", log=log, name="a").count() == 2
+    with pytest.raises(LeakageError):
+        X.run_experiment(df, ["leaky"], "logit", log=log, name="b")
+    X.run_experiment(df, ["leaky"], "logit", stage="day1", log=log, name="c")
+    assert sorted((r.label, r.protocol) for r in spark.read.parquet(log).collect()) == [(n, p) for n in "ac" for p in ("cross_author", "temporal")]
+    report = {r.feature: (r.known, r.refused_pre, r.refused_day1) for r in guard_report(df, ["x0", "log_play_d1"]).collect()}
+    assert report == {"x0": (400, 0, 0), "log_play_d1": (400, 1, 0)}

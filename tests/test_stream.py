@@ -110,7 +110,7 @@ def test_a_labelled_item_that_returns_after_retention_is_not_labelled_again(spar
     assert kept.labelled and kept.day1 and T.training_rows(T.tracked_log(spark, out), spark.createDataFrame([], "item_id string")).count() == 1
 
 
-@pytest.mark.parametrize("views,when,label", [(900, 24 * 200, 1), (None, 24 * 201, 0)])
+@pytest.mark.parametrize("views,when,label", [(900.0, 24 * 200, 1), (None, 24 * 201, 0)])
 def test_an_open_item_that_returns_goes_on_where_it_ended(spark, views, when, label):
     """Age still counts from the first snapshot ever, so the first known value after the return is the label."""
     clock = [[snap("clock", 24 * d, 1, "b")] for d in (60, 61, 62)]
@@ -138,7 +138,7 @@ def test_retention_below_maturity_is_refused(spark):
 
 
 def test_running_counters_equal_the_batch_status(spark):
-    rows = [snap(f"i{k}", h, 400 + 30 * k) for k in range(12) for h in (0, 30, 24 * 15)] + [snap("open", 0, 1)]
+    rows = [snap(f"i{k}", h, 400 + 30 * k) for h in (0, 30, 24 * 15) for k in range(12)] + [snap("open", 24 * 15, 1)]
     _, out = log_of(spark, [rows[:20], rows[20:], [snap("late", 24 * 16, 5)]])
     want = T.pool_status(T.tracked_table(T.tracked_log(spark, out))).first()
     assert T.pool_status_stream(T.tracked_log(spark, out, stream=True)).first() == want and want.labeled == 12 and want.tracking == 2

@@ -80,12 +80,3 @@ def coverage(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     marked = left.select(key).join(right.select(key).distinct().withColumn("_hit", F.lit(1)), key, "left")
     n, hit = F.count(F.lit(1)), F.count("_hit")
     return marked.agg(n.alias("n"), hit.alias("matched"), (hit / n).alias("share"))
-
-
-def map_with_default(df: DataFrame, table: DataFrame, key: str, value: str, default: Column) -> DataFrame:
-    """Look up a per-key statistic; unseen keys take ``default``."""
-    return df.join(table.select(key, value), key, "left").withColumn(value, F.coalesce(F.col(value), default))
-
-
-def _lit(value: object) -> Column:
-    return F.array(*[F.lit(v) for v in value]) if isinstance(value, (list, tuple)) else F.lit(value)

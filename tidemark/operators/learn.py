@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 import threading
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier,
@@ -25,6 +26,7 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.constants import SEED
 from tidemark.functions.numeric import sigmoid
@@ -190,6 +192,29 @@ def spread_vector(df: DataFrame, vec: str, prefix: str, dim: int) -> tuple[DataF
     return df.withColumns({n: F.col(vec)[i] for i, n in enumerate(names)}), names
 
 
+def encode_text(
+    df: DataFrame, text: str, encode: Callable[[list[str]], np.ndarray], dim: int, out: str, batch: int = 256
+) -> DataFrame:
+    """A vector per text from an encoder of the caller: ``encode`` takes up to ``batch`` texts and returns texts x ``dim``.
+
+    The function travels to the workers, so it loads what it needs there. Null is the empty text.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            for at in range(0, given.num_rows, batch):
+                part = given.slice(at, batch)
+                got = np.asarray(encode([t or "" for t in part.column(text).to_pylist()]), np.float64)
+                if got.shape != (part.num_rows, dim):
+                    raise ValueError(f"the encoder returned {got.shape} for {part.num_rows} texts of {dim} dimensions")
+                flat = pa.array(got.ravel())
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, dim), pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([*part.columns, vectors], names=[*part.schema.names, out])
+
+    return df.mapInArrow(run, schema)
+
+
 def pca(df: DataFrame, vec: str, train: Column, out: str, k: int = 64) -> DataFrame:
     """Principal components fitted on train rows."""
     v = df.withColumn("_v", array_to_vector(F.col(vec).cast("array<double>")))

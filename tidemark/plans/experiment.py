@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 from functools import partial, reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,13 +156,29 @@ def _trend(df, train, label, arg):
 
 @block("retrieval", fitted=True)
 def _retrieval(df, train, label, arg):
-    """Mean label and similarity of the nearest train rows; a row never finds itself."""
-    k = int(arg or 50)
-    near = knn_join(df, df.filter(train).withColumn("_y", F.col(label)), "item_id", "item_id", "vec", "vec", k, payload=["_y"])
+    """Mean label and similarity of the nearest train rows; a row never finds itself.
+
+    The argument is ``k`` or ``k,dims``: with ``dims`` vectors are reduced to that many principal components of the train rows first.
+    """
+    k, _, dims = (arg or "50").partition(",")
+    near_in = L.pca(df, "vec", train, "_pc", int(dims)) if dims else df.withColumn("_pc", F.col("vec"))
+    near_in = cut(near_in.select("item_id", "_pc", F.col(label).alias("_y"), train.alias("_train")))
+    near = knn_join(near_in, near_in.filter("_train"), "item_id", "item_id", "_pc", "_pc", int(k), payload=["_y"])
     feats = knn_features(near, "item_id", "_y")
     return left_with_default(df, feats, "item_id", {"knn_success": 0.0, "knn_sim": 0.0}), ["knn_success", "knn_sim"]
 
 
+def encoder(name: str, fit: Callable[[DataFrame, str], Callable[[list[str]], np.ndarray]], dim: int, text: str = "text") -> None:
+    """Register a text encoder of the caller as the block ``name``.
+
+    ``fit`` sees the train rows and the text column, and returns a function from texts to an array of texts x ``dim``.
+    """
+    @block(name, fitted=True)
+    def _encoded(df, train, label, arg):
+        column = arg or text
+        return L.spread_vector(L.encode_text(df, column, fit(df.filter(train), column), dim, f"_{name}"), f"_{name}", name, dim)
+
+
 @block("day1")
 def _day1(df, train, label, arg):
     return df, ["log_play_d1", "log_like_d1", "er_d1", "log_play_d1_vs_author"]

@@ -324,6 +324,20 @@ def bootstrap_delta(spark, d):
     return R.bootstrap_delta(s, "y", "p", "p2", "item_id").select("metric", *rounded("lo", "mid", "hi"))
 
 
+@query(
+    "bootstrap_metric",
+    WITH_SCORED + f""", wts AS (SELECT rep, pow(p - y, 2) AS sq, {POISSON_SQL} AS w FROM (SELECT y, p, rep,
+        ('0x' || substr(md5(item_id || ':' || ((rep - 1) // 4) || ':0'), 8 * ((rep - 1) % 4) + 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM scored, (SELECT unnest(range(1, 1001)) AS rep))),
+    m AS (SELECT rep, sum(w * sq) / sum(w) AS brier FROM wts GROUP BY rep)
+    SELECT round(quantile_cont(brier, 0.025), 9) AS lo, round(quantile_cont(brier, 0.5), 9) AS mid, round(quantile_cont(brier, 0.975), 9) AS hi, count(*) AS replicates FROM m""",
+)
+def bootstrap_metric(spark, d):
+    """A metric of the caller's own, here the Brier score, over the same resamples."""
+    parts = {"n": F.lit(1.0), "sq": F.pow(F.col("p") - F.col("y"), 2)}
+    got = R.bootstrap_metric(fx.scored(spark, d), parts, lambda s: s["sq"] / s["n"], "item_id")
+    return got.select(*rounded("lo", "mid", "hi"), "replicates")
+
+
 MEDIAN_SQL = "WITH " + fx.ITEMS_SQL + """, b AS (SELECT author_id, count(value) AS n FROM items GROUP BY author_id HAVING count(value) > 0),
     ms AS (SELECT DISTINCT n, unnest([(n + 1) // 2, n // 2 + 1]) AS m FROM b),
     rs AS (SELECT n, m, unnest(range(1, n + 1)) AS r FROM ms),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -377,7 +378,7 @@ def caption_baseline(spark, d):
 
 RUNS = {
     ("content", "pre"): (["caption", "meta", "missing", "emotion", "vector:vec,64", "scores"], len(CAPTION_FEATURES) + 4 + 2 + len(EMOTIONS) + 2 + 64 + 1),
-    ("first day", "day1"): (["caption", "day1", "retrieval:10"], len(CAPTION_FEATURES) + 4 + 2),
+    ("first day", "day1"): (["caption", "day1", "retrieval:50,32"], len(CAPTION_FEATURES) + 4 + 2),
     ("first day, basic", "day1"): (["duration", "timing", "day1_basic"], 1 + len(DURATION_BANDS) + 7 + 3),
 }
 
@@ -463,15 +464,36 @@ def assessment_table(spark, d):
     return a.select("item_id", "topic", "decision", "y", F.col("correct").cast("double").alias("correct"))
 
 
+SIGNS = "abcdefghijklmnopqrstuvwxyz .,!?0123456789"
+
+
+def sign_shares(texts: list[str]) -> np.ndarray:
+    """A small encoder: the share of each sign in a text."""
+    counts = np.array([[t.count(c) for c in SIGNS] for t in texts], np.float64).reshape(len(texts), len(SIGNS))
+    return counts / np.maximum(np.array([[len(t)] for t in texts], np.float64).reshape(len(texts), 1), 1)
+
+
+@query(
+    "encoder_plugin",
+    f"""WITH s AS (SELECT doc_id, greatest(length(coalesce(text, '')), 1) AS n, coalesce(text, '') AS t FROM documents)
+    SELECT doc_id, {len(SIGNS)} AS dim, round((length(t) - length(replace(t, 'e', ''))) / n::DOUBLE, 6) AS share_e,
+      round((length(t) - length(replace(t, ' ', ''))) / n::DOUBLE, 6) AS share_blank FROM s""",
+)
+def encoder_plugin(spark, d):
+    """Vectors of an encoder that the caller supplies."""
+    docs = L.encode_text(fx.table(spark, d, "documents").select("doc_id", "text"), "text", sign_shares, len(SIGNS), "vec")
+    at = lambda c: F.round(F.col("vec")[SIGNS.index(c)], 6)
+    return docs.select("doc_id", F.size("vec").alias("dim"), at("e").alias("share_e"), at(" ").alias("share_blank"))
+
+
 @query("transfer_head")
 def transfer_head(spark, d):
-    """A head fitted on labelled vectors predicts for documents; documents without a vector get the default."""
-    e = fx.table(spark, d, "embeddings")
-    source = e.withColumn("watched", F.col("label") / 10.0)
-    target = e.select(F.col("vec_id").alias("doc_id"), "embedding")
-    head = L.transfer_head(source, target, "embedding", "watched", "pred_watched")
-    docs = fx.table(spark, d, "documents").select("doc_id")
-    return left_with_default(docs, head, "doc_id", {"pred_watched": 0.0}).select("doc_id", F.round("pred_watched", 6).alias("pred_watched"))
+    """A head fitted on the vectors of labelled documents predicts for web pages: two tables, one encoder."""
+    docs = labelled_docs(spark, d).select("doc_id", "text", "y")
+    source = L.encode_text(docs, "text", sign_shares, len(SIGNS), "vec")
+    pages = fx.table(spark, d, "pages").select("page_id", F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
+    target = L.encode_text(pages, "text", sign_shares, len(SIGNS), "vec")
+    return L.transfer_head(source, target, "vec", "y", "pred_quality").select("page_id", F.round("pred_quality", 6).alias("pred_quality"))
 
 
 @query("text_quality_model")

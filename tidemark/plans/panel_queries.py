@@ -162,18 +162,30 @@ def asof_author_state(spark, d):
     FROM orders o LEFT JOIN h ON o.o_orderkey = h.item_id""",
 )
 def ratio_metrics_eligibility(spark, d):
+    return _rated(spark, d).select("item_id", "views_at_h", *[F.round(c, 6).alias(c) for c in ("breakout", "er")], "elig")
+
+
+def _rated(spark, d):
     h = P.latest_at(fx.panel(spark, d), "item_id", "days_since_post", HORIZON_DAYS)
     h = h.withColumn("eng", P.null_skipping_sum(ENGAGEMENT)).withColumnRenamed("play_count", "views_at_h")
     o = fx.table(spark, d, "orders").select(
         F.col("o_orderkey").alias("item_id"), (F.col("o_totalprice") / 100000).alias("followers")
     )
     return o.join(h, "item_id", "left").select(
-        "item_id", "views_at_h", F.round(P.breakout("views_at_h", "followers"), 6).alias("breakout"),
-        F.round(P.engagement_rate("eng", "views_at_h"), 6).alias("er"),
-        P.eligible_flag("views_at_h", "followers").alias("elig"),
+        "item_id", "views_at_h", P.breakout("views_at_h", "followers").alias("breakout"),
+        P.engagement_rate("eng", "views_at_h").alias("er"), P.eligible_flag("views_at_h", "followers").alias("elig"),
     )
 
 
+@query(
+    "eligible_load",
+    WITH_PANEL + """, h AS (SELECT item_id, arg_max(struct_pack(p := play_count), days_since_post) AS s FROM panel WHERE days_since_post <= 14 GROUP BY item_id)
+    SELECT o_orderkey AS item_id, s.p AS views_at_h FROM orders JOIN h ON o_orderkey = h.item_id WHERE s.p >= 50 AND o_totalprice IS NOT NULL""",
+)
+def eligible_load(spark, d):
+    return P.eligible(_rated(spark, d)).select("item_id", "views_at_h")
+
+
 @query(
     "coverage_floor_fair",
     WITH_PANEL + f""", h AS (SELECT item_id, arg_max(struct_pack(p := play_count, e := {ENG_SQL}), days_since_post) AS s
