@@ -259,7 +259,7 @@ def test_a_refused_run_leaves_no_log_row(spark, labelled, tmp_path):
     from tidemark.operators.guards import LeakageError, guard_report
     from tidemark.plans import experiment as X
 
-    df = labelled.withColumns({"author_id": F.col("item_id") % 9, "split": F.when(F.col("item_id") < 300, "train").otherwise("test"), "log_play_d1": F.col("x1")})
+    df = labelled.drop("fold").withColumns({"author_id": F.col("item_id") % 9, "split": F.when(F.col("item_id") < 300, "train").otherwise("test"), "log_play_d1": F.col("x1")})
     X.block("plain")(lambda df, train, label, arg: (df, ["x0"]))
     X.block("leaky")(lambda df, train, label, arg: (df, ["x0", "log_play_d1"]))
     log = str(tmp_path / "log")
