@@ -34,8 +34,9 @@ from tidemark.operators.encode import target_encode, train_popularity
 from tidemark.operators.joins import with_one_row
 from tidemark.operators.metrics import metrics
 from tidemark.operators.scan import hash_rank, hash_unit, id_hash
-from tidemark.session import cut, in_parallel
+from tidemark.session import cut, in_parallel, plan_bytes
 
+SEARCH_BYTES = 16 << 20  # of the table that one task of a searched fit holds
 FAMILIES = ("logit", "gbt", "mlp", "forest", "gaussian_nb", "linear_svc", "balanced_logit")
 
 
@@ -348,9 +349,11 @@ def halving_search(
     def prepared(k: int) -> DataFrame:
         train = F.col(fold) != k
         steps = Pipeline(stages=make_estimator(name, features, label).getStages()[:-1]).fit(df.filter(train))
-        return cut(steps.transform(df).select(label, F.lit(k).alias("_fold"), train.alias("_train"), unit.alias("_u"), "_scaled"))
+        ready = steps.transform(df).select(label, F.lit(k).alias("_fold"), train.alias("_train"), unit.alias("_u"), "_scaled")
+        return cut(ready.coalesce(parts))
 
     spark = df.sparkSession
+    parts = max(1, math.ceil(plan_bytes(df) / SEARCH_BYTES))  # every iteration of a fit is a job over them
     ready = in_parallel(spark, [partial(prepared, k) for k in range(folds)])
 
     def mean_auc(params: dict, share: float) -> float:
