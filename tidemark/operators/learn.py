@@ -353,7 +353,7 @@ def halving_search(
         return cut(ready.coalesce(parts))
 
     spark = df.sparkSession
-    parts = max(1, math.ceil(plan_bytes(df) / SEARCH_BYTES))  # every iteration of a fit is a job over them
+    parts = max(1, min(-(-plan_bytes(df) // SEARCH_BYTES), 2**31 - 1))  # every iteration of a fit is a job over them; an unknown size is no limit
     ready = in_parallel(spark, [partial(prepared, k) for k in range(folds)])
 
     def mean_auc(params: dict, share: float) -> float:
