@@ -36,6 +36,16 @@ def test_label_at_maturity_and_frozen_day1(spark):
     assert log.filter("event = 'registered'").count() == 3
 
 
+def test_an_item_costs_little_beside_its_rows(spark):
+    """A call of the stateful function sees one item, so whole-frame work such as sorting or casting is not in it; nulls stay null."""
+    for inner in T.raw_events.__code__.co_consts:
+        assert not {"sort_values", "astype", "reindex", "iloc"} & set(getattr(inner, "co_names", ()))
+    rows = [snap("x", 0, 10), (("x", None, T0 + dt.timedelta(hours=30), None, None, None, None)), snap("x", 24 * 15, 900)]
+    log, got = run(spark, [rows])
+    frozen = log.filter("event = 'day1'").first()
+    assert (frozen.views, frozen.likes, frozen.author, frozen.age_days) == (None, None, None, 1.25) and got["x"].label == 1
+
+
 def test_split_into_batches_gives_the_same_table(spark):
     rows = [snap("x", h, 100.0 + h) for h in range(0, 24 * 16, 5)]
     _, one = run(spark, [rows])

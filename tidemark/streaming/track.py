@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -79,10 +80,12 @@ def raw_events(
     gap, mature, keep_ms = int(gap_hours * HOUR_US), int(maturity_days * DAY_US), int(retention_days * 86_400_000)
     names = [c.split()[0] for c in RAW.split(", ")]
 
+    # A call sees one item and often one row, so columns are read as arrays and nothing is cast: Spark does that once per batch.
     def frame(log: list[dict]) -> pd.DataFrame:
-        out = pd.DataFrame(log).reindex(columns=names)
-        kinds = {"t": "Int64", "began": "Int64", "views": "float64", "likes": "float64", "age_days": "float64", "median_views": "float64", "label": "Int32"}
-        return out.astype(kinds | dict.fromkeys(("known", "day1", "labelled", "noted"), "boolean"))
+        return pd.DataFrame([[e.get(n) for n in names] for e in log], columns=names, dtype=object)
+
+    def value(v):
+        return None if pd.isna(v) else v
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         began, last, day1, labelled, noted, valued = state.get if state.exists else (None, None, False, False, False, False)
@@ -91,16 +94,18 @@ def raw_events(
             yield frame([{"item_id": key[0], "event": "retired", "t": last, "began": began, "day1": day1, "labelled": labelled, "noted": noted}])
             return
         log = []
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("t", kind="stable", ignore_index=True)
-        times = rows["t"].to_numpy()
+        parts = list(batches)
+        rows = {c: np.concatenate([p[c].to_numpy() for p in parts]) for c in ("t", "author", "start", "views", "likes", "median_views")}
+        order = rows["t"].argsort(kind="stable")
+        times = rows["t"][order]
         i = 0 if last is None else int(times.searchsorted(max(last + gap, last + 1)))
         while i < len(times) and not labelled:  # jumps from one accepted snapshot to the next
-            r, t = rows.iloc[i], int(times[i])
+            r, t = {c: value(v[order[i]]) for c, v in rows.items()}, int(times[i])
             new = began is None
             if new:
-                began = int(r["start"]) if pd.notna(r["start"]) else t
+                began = int(r["start"]) if r["start"] is not None else t
             age = t - began
-            known = bool(pd.notna(r["median_views"]) and pd.notna(r["views"]))
+            known = r["median_views"] is not None and r["views"] is not None
             event = {"item_id": key[0], "author": r["author"], "t": t, "views": r["views"], "likes": r["likes"], "age_days": age / DAY_US}
             event |= {"began": began, "known": known, "median_views": r["median_views"]}
             if new:
