@@ -270,3 +270,19 @@ def test_a_refused_run_leaves_no_log_row(spark, labelled, tmp_path):
     assert sorted((r.label, r.protocol) for r in spark.read.parquet(log).collect()) == [(n, p) for n in "ac" for p in ("cross_author", "temporal")]
     report = {r.feature: (r.known, r.refused_pre, r.refused_day1) for r in guard_report(df, ["x0", "log_play_d1"]).collect()}
     assert report == {"x0": (400, 0, 0), "log_play_d1": (400, 1, 0)}
+
+
+def test_importance_is_the_same_in_blocks(spark, labelled):
+    feats = ["x0", "x1", "x2"]
+    model = L.fit(labelled, "logit", feats, "y")
+
+    def importance():
+        table = L.permutation_importance(model, labelled, feats, "y", "item_id")
+        return {r.feature: (round(r.importance, 9), round(r.spread, 9)) for r in table.collect()}
+
+    plain = importance()
+    spark.conf.set("tidemark.blocks", "3")
+    try:
+        assert importance() == plain and set(plain) == set(feats)
+    finally:
+        spark.conf.unset("tidemark.blocks")
