@@ -286,3 +286,20 @@ def test_importance_is_the_same_in_blocks(spark, labelled):
         assert importance() == plain and set(plain) == set(feats)
     finally:
         spark.conf.unset("tidemark.blocks")
+
+
+def test_small_vocabularies_need_no_iterative_solver(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    names = [a + b + "o" for a in "bcdfghkl" for b in "aeiu"]
+    texts = [(i, " ".join(rng.choice(names, 12, p=np.arange(1, 33) / 528))) for i in range(400)]
+    docs = spark.createDataFrame(texts, "id int, text string").repartition(3)
+    monkeypatch.setattr(L, "GRAM_TERMS", 0)
+    slow = L.TextEncoder(min_df=1, k=5).fit(docs, "text").basis
+    monkeypatch.undo()
+
+    def refuse(*args):
+        raise AssertionError("passes over the rows many times")
+
+    monkeypatch.setattr(L.RowMatrix, "computeSVD", refuse)
+    basis = L.TextEncoder(min_df=1, k=5).fit(docs, "text").basis
+    assert basis.shape == slow.shape == (32, 5) and np.abs(basis - slow).max() < 1e-7
