@@ -1,10 +1,31 @@
 """Fits, experiments and resamples do shared work once: dealt rows, folds, blocks, joins and draws."""
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from tidemark.operators import resample as R
 from tidemark.session import cut_evenly
 
 
+def one_by_one(ids, n, seed):
+    tails = [f"{b}:{seed}" for b in range((n + 3) // 4)]
+    hexes = [hashlib.md5((("" if i is None else f"{i}:") + t).encode()).hexdigest() for i in ids for t in tails]
+    u = np.array([[int(h[8 * j : 8 * j + 8], 16) / 2**32 for j in range(4)] for h in hexes]).reshape(len(ids), -1)[:, :n]
+    return sum((u >= e).astype(int) for e in R.poisson_edges())
+
+
+def test_weights_are_those_of_single_hashes_and_hash_rows_together(monkeypatch):
+    ids = [None, "", "0", "7", "-12", "ключ", *["x" * k for k in range(40, 70)], *[str(i) for i in range(90, 400, 3)]]
+    for n, seed in ((1, 0), (7, "42"), (50, "a-long-seed"), (401, 0)):
+        assert (R.drawn_weights(ids, n, seed) == one_by_one(ids, n, seed)).all(), (n, seed)
+    calls, real = [], hashlib.md5
+    monkeypatch.setattr(R.hashlib, "md5", lambda text: calls.append(1) or real(text))
+    R.drawn_weights([str(i) for i in range(100)], 1000, 0)
+    assert not calls
+
+
 def test_few_large_files_become_a_file_per_core(spark):
     df = spark.range(200_000).coalesce(1)
     got = cut_evenly(df, 200_000)
