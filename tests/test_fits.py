@@ -3,9 +3,12 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import resample as R
+from tidemark.plans import experiment as X
 from tidemark.session import cut_evenly
 
 
@@ -32,3 +35,44 @@ def test_few_large_files_become_a_file_per_core(spark):
     tasks = got.groupBy(F.spark_partition_id()).count().collect()
     assert len(tasks) == spark.sparkContext.defaultParallelism and sum(r["count"] for r in tasks) == 200_000
     assert len(cut_evenly(df.limit(500), 500).inputFiles()) == 1
+
+
+def featured(spark, n=400):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=n), rng.normal(size=n)
+    a[::17], b[::13] = np.nan, np.nan
+    pdf = pd.DataFrame({
+        "item_id": np.arange(n), "author_id": np.arange(n) % 23, "fold": np.arange(n) % 4, "a": a, "b": b,
+        "y": (np.nan_to_num(a) + rng.normal(size=n) > 0).astype(int), "z": rng.integers(0, 2, n),
+        "split": np.where(np.arange(n) % 5 == 0, "test", "train"), "wide": "x" * 50,
+    })
+    df = spark.createDataFrame(pdf)
+    return df.withColumn("b", F.when(~F.isnan("b"), F.col("b")))  # gaps: NaN in a, null in b
+
+
+def test_contrast_and_ablation_share_blocks_and_folds(spark, monkeypatch):
+    df, built, dealt = featured(spark).drop("fold"), [], []
+
+    @X.block("probe")
+    def _probe(df, train, label, arg):
+        built.append(label)
+        return df, ["a", "b"]
+
+    real = X.fold_table
+    monkeypatch.setattr(X, "fold_table", lambda *a, **k: dealt.append(1) or real(*a, **k))
+    try:
+        alone = {t: X.run_experiment(df, ["probe"], "logit", label=t).collect() for t in ("y", "z")}
+        built.clear()
+        both = X.target_contrast(df, {"set": ["probe"]}, ["y", "z"], "logit").collect()
+        assert len(built) == 1 and len(dealt) == 1
+        kept, _ = X._frozen(df, ["probe"], ["y"], "pre", "item_id", "author_id", 4, True)
+        assert set(kept.columns) == {"item_id", "y", "fold", "split", "a", "b"}
+        stages = X.ablation(df, [("first", ["probe"]), ("again", ["probe"])], "logit").collect()
+        assert len(dealt) == 2
+    finally:
+        del X.BLOCKS["probe"]
+    for t, rows in alone.items():
+        want = {r.protocol: (r.n, r.roc_auc, r.brier) for r in rows}
+        assert {r.protocol: (r.n, r.roc_auc, r.brier) for r in both if r.target == t} == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
+    want = {r.protocol: r.roc_auc for r in alone["y"]}
+    assert len(stages) == 4 and all(r.roc_auc == pytest.approx(want[r.protocol], abs=1e-9) for r in stages)
