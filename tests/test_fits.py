@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import learn as L
 from tidemark.operators import resample as R
 from tidemark.plans import experiment as X
 from tidemark.session import cut_evenly
@@ -50,6 +51,24 @@ def featured(spark, n=400):
     return df.withColumn("b", F.when(~F.isnan("b"), F.col("b")))  # gaps: NaN in a, null in b
 
 
+@pytest.mark.parametrize("name", ["logit", "linear_svc", "gaussian_nb"])
+def test_sensitivity_scores_arrays_as_the_model_scores_columns(spark, name):
+    df = featured(spark)
+    model = L.fit(df, name, ["a", "b"], "y")
+    def by_columns(rows):
+        return {r.item_id: r.p for r in L.predict(model, rows).collect()}
+
+    own = by_columns(df)
+    cells = L.predict_cells(model, df.select("item_id", F.array("a", "b").alias("c")), "c")
+    assert {r.item_id: r.p for r in cells.collect()} == pytest.approx(own, abs=1e-12)
+    medians = {"a": 0.25, "b": -0.5}
+    table = L.median_sensitivity(model, df, "item_id", ["a", "b"], medians)
+    assert "_f0" not in table._jdf.queryExecution().analyzed().toString()  # no column per feature
+    got = {(r.item_id, r.feature): r.delta for r in table.collect()}
+    want = {(i, f): own[i] - p for f, m in medians.items() for i, p in by_columns(df.withColumn(f, F.lit(m))).items()}
+    assert got == pytest.approx(want, abs=1e-12)
+
+
 def test_contrast_and_ablation_share_blocks_and_folds(spark, monkeypatch):
     df, built, dealt = featured(spark).drop("fold"), [], []
 
