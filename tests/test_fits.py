@@ -1,6 +1,7 @@
 """Fits, experiments and resamples do shared work once: dealt rows, folds, blocks, joins and draws."""
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -69,6 +70,21 @@ def test_sensitivity_scores_arrays_as_the_model_scores_columns(spark, name):
     assert got == pytest.approx(want, abs=1e-12)
 
 
+def test_stacking_joins_the_scores_once(spark):
+    df, read = featured(spark), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    scores = {n: df.select("item_id", "y", "fold", F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)).alias("p")) for n, c in (("one", "a"), ("two", "b"))}
+    scores["one"] = scores["one"].mapInPandas(count, scores["one"].schema)
+    stacked = L.stack_oof(scores, "item_id", "y").collect()
+    assert len(stacked) == 400 and read.value == 400
+    assert all(0 < r.p_stack < 1 and not math.isnan(r.p_stack) for r in stacked)
+
+
 def test_contrast_and_ablation_share_blocks_and_folds(spark, monkeypatch):
     df, built, dealt = featured(spark).drop("fold"), [], []
 
