@@ -111,3 +111,19 @@ def test_contrast_and_ablation_share_blocks_and_folds(spark, monkeypatch):
         assert {r.protocol: (r.n, r.roc_auc, r.brier) for r in both if r.target == t} == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
     want = {r.protocol: r.roc_auc for r in alone["y"]}
     assert len(stages) == 4 and all(r.roc_auc == pytest.approx(want[r.protocol], abs=1e-9) for r in stages)
+
+
+def test_a_block_that_repeats_rows_gets_folds_of_its_own_sizes(spark):
+    df = featured(spark).drop("fold")
+
+    @X.block("repeat")
+    def _repeat(df, train, label, arg):
+        times = F.when(F.col("author_id") % 3 == 0, 4).otherwise(1)
+        return df.withColumn("_n", F.explode(F.sequence(F.lit(1), times))).drop("_n"), ["a", "b"]
+
+    try:
+        want = {r.protocol: (r.n, r.roc_auc) for r in X.run_experiment(df, ["repeat"], "logit").collect()}
+        got = X.ablation(df, [("one", ["repeat"])], "logit").collect()
+    finally:
+        del X.BLOCKS["repeat"]
+    assert {r.protocol: (r.n, r.roc_auc) for r in got} == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
