@@ -127,3 +127,43 @@ def test_a_block_that_repeats_rows_gets_folds_of_its_own_sizes(spark):
     finally:
         del X.BLOCKS["repeat"]
     assert {r.protocol: (r.n, r.roc_auc) for r in got} == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
+
+
+def test_only_features_with_gaps_are_imputed_and_scores_are_the_same(spark):
+    df = featured(spark).withColumns({"full": F.col("item_id") % 7 / 3.0, "flag": F.col("item_id") % 2 == 0})
+    names = ["full", "a", "flag", "b"]
+    gaps = L.with_gaps(df, names)
+    assert gaps == ["a", "b"] and L.with_gaps(df, ["full"]) == []
+    assert L.with_gaps(df.withColumn("text", F.lit("1.5")), ["text", "full"]) == ["text"]  # no number, so it is cast
+    assert L.with_gaps(df.limit(0), names) == names
+    for some in (gaps, ["b", "a"]):
+        plain, short = L.fit(df, "logit", names, "y"), L.fit(df, "logit", names, "y", gaps=some)
+        assert len(plain.stages[1].getInputCols()) == 4 and len(short.stages[1].getInputCols()) == 2
+        want, got = ({r.item_id: r.p for r in L.predict(m, df).collect()} for m in (plain, short))
+        assert got == pytest.approx(want)
+    whole = L.fit(df, "logit", ["full", "flag"], "y", gaps=[])
+    assert len(whole.stages) == 3
+    want = {r.item_id: r.p for r in L.predict(L.fit(df, "logit", ["full", "flag"], "y"), df).collect()}
+    assert {r.item_id: r.p for r in L.predict(whole, df).collect()} == pytest.approx(want)
+
+
+def no_imputer(monkeypatch):
+    def refuse(**kw):
+        raise AssertionError(f"imputed {kw['inputCols']}")
+
+    monkeypatch.setattr(L, "Imputer", refuse)
+
+
+def test_search_fills_nothing_that_is_full_and_a_rung_reads_its_share(spark, monkeypatch):
+    df = featured(spark).withColumns({"u": F.col("item_id") % 7 / 3.0, "v": F.col("item_id") % 2 + F.col("y")})
+    no_imputer(monkeypatch)
+    read, real = [], L.metrics
+
+    def metrics(rows, *args, **kw):
+        read.append(spark.read.parquet(*rows.inputFiles()).count())
+        return real(rows, *args, **kw)
+
+    monkeypatch.setattr(L, "metrics", metrics)
+    table = L.halving_search(df, "logit", ["u", "v"], "y", "item_id", {"regParam": [1e-4, 1.0]}, trials=2, folds=2).toPandas()
+    assert table.groupby("rung").size().tolist() == [2, 1, 1] and table["mean_auc"].notna().all()
+    assert len(read) == 4 and 0 < read[0] == read[1] < 200 < read[2] < 500 and read[3] == 800  # two folds of 400 rows
