@@ -167,3 +167,13 @@ def test_search_fills_nothing_that_is_full_and_a_rung_reads_its_share(spark, mon
     table = L.halving_search(df, "logit", ["u", "v"], "y", "item_id", {"regParam": [1e-4, 1.0]}, trials=2, folds=2).toPandas()
     assert table.groupby("rung").size().tolist() == [2, 1, 1] and table["mean_auc"].notna().all()
     assert len(read) == 4 and 0 < read[0] == read[1] < 200 < read[2] < 500 and read[3] == 800  # two folds of 400 rows
+
+
+def test_a_folds_encoded_rows_are_written_once_and_not_imputed(spark, monkeypatch):
+    df = featured(spark).withColumn("u", F.col("item_id") % 7 / 3.0).drop("a", "b")
+    no_imputer(monkeypatch)
+    written, real = [], L.cut
+    monkeypatch.setattr(L, "cut", lambda rows: written.append(rows.columns) or real(rows))
+    oof = L.out_of_fold(df, "logit", ["e"], "y", "item_id", encode=lambda rows, train: rows.withColumn("e", F.col("u") + F.col("y")))
+    assert written == [["item_id", "y", "fold", "e"]] * 4
+    assert oof.count() == 400 and oof.select("item_id").distinct().count() == 400
