@@ -177,3 +177,10 @@ def test_a_folds_encoded_rows_are_written_once_and_not_imputed(spark, monkeypatc
     oof = L.out_of_fold(df, "logit", ["e"], "y", "item_id", encode=lambda rows, train: rows.withColumn("e", F.col("u") + F.col("y")))
     assert written == [["item_id", "y", "fold", "e"]] * 4
     assert oof.count() == 400 and oof.select("item_id").distinct().count() == 400
+
+
+def test_experiments_impute_only_what_is_missing(spark, monkeypatch):
+    df = featured(spark).drop("fold").withColumn("vec", F.array(F.col("item_id") % 7 / 3.0, F.col("y") + F.col("item_id") % 3 / 2.0))
+    no_imputer(monkeypatch)
+    got = {r.protocol: r for r in X.run_experiment(df, ["vector:vec,2"], "logit").collect()}
+    assert set(got) == {"cross_author", "temporal"} and got["cross_author"].n == 400 and got["temporal"].n == 80
