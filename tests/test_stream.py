@@ -46,6 +46,22 @@ def test_an_item_costs_little_beside_its_rows(spark):
     assert (frozen.views, frozen.likes, frozen.author, frozen.age_days) == (None, None, None, 1.25) and got["x"].label == 1
 
 
+def test_a_call_sees_the_items_of_a_bucket(spark):
+    """Calls have a fixed cost, so their number is bounded by the buckets; every item of a bucket is decided and retired by its own clock."""
+    rows = [snap(f"i{k}", h, 400 + 30 * k + h / 100) for h in (0, 30, 31, 24 * 15) for k in range(8)]
+    parts = [rows[:24] + [snap("new", 40, 1)], rows[24:] + [snap("clock", 24 * 60, 1)], [snap("i3", 24 * 61, 1), snap("new", 24 * 61, 900)]]
+    apart, _ = log_of(spark, parts)
+    buckets, T.STATE_BUCKETS = T.STATE_BUCKETS, 2
+    try:
+        together, out = log_of(spark, parts)
+        groups = T.raw_events(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([("a", 1.0)], "author string, median_views double"), 6, 14, "1 day", 15)
+    finally:
+        T.STATE_BUCKETS = buckets
+    assert together == apart and len(together) == 8 * 3 + 4
+    assert {r.item_id for r in T.retired_items(spark, out).read().collect()} >= {f"i{k}" for k in range(8)}
+    assert "pmod(xxhash64(item_id" in groups._jdf.queryExecution().logical().toString()
+
+
 def test_split_into_batches_gives_the_same_table(spark):
     rows = [snap("x", h, 100.0 + h) for h in range(0, 24 * 16, 5)]
     _, one = run(spark, [rows])

@@ -1,7 +1,7 @@
 """Delayed-label tracking as a stream: register, thin, freeze the first day, label at maturity.
 
-Snapshots of an item arrive over weeks. Per item the stream keeps a few numbers and emits an
-append-only log of what became final: ``registered``, ``day1`` and ``label`` (or ``no_baseline``).
+Snapshots of an item arrive over weeks. Per item the stream keeps a few numbers, the items of a bucket
+together, and emits an append-only log of what became final: ``registered``, ``day1`` and ``label`` (or ``no_baseline``).
 The clock is the snapshot's own time, so a replay gives the same log as the live run. A snapshot
 that is not newer than the last accepted one is late and changes nothing.
 
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -29,7 +30,9 @@ from tidemark.streaming.ledger import Ledger
 HOUR_US = 3_600_000_000
 LOG = "item_id string, author string, event string, t bigint, views double, likes double, age_days double, label int"
 RAW = LOG + ", began bigint, known boolean, median_views double, day1 boolean, labelled boolean, noted boolean"
-STATE = "start bigint, last bigint, day1 boolean, labelled boolean, noted boolean, valued boolean"
+STATE = "items binary"
+STATE_BUCKETS = 512  # items are dealt to so many states; a call sees one of them, which holds about 40 bytes and the id of each item
+ITEM = {"began": np.int64, "last": np.int64, "due": np.int64, "day1": np.bool_, "labelled": np.bool_, "noted": np.bool_, "valued": np.bool_}
 RETIRED = "item_id string, began bigint, day1 boolean, labelled boolean, noted boolean"
 RETENTION_DAYS = 120
 
@@ -66,71 +69,136 @@ def raw_events(
 ) -> DataFrame:
     """Events of :func:`track_stream`, and two more that each appear once per life of a state: ``valued``, the first
     accepted snapshot that could be labelled whatever its age, and ``retired``, what was decided when the state goes."""
-    start = F.coalesce(F.try_to_timestamp("upload_date", F.lit("yyyyMMdd")), F.col("added_at"))
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    start = F.coalesce(F.unix_micros(F.coalesce(F.try_to_timestamp("upload_date", F.lit("yyyyMMdd")), F.col("added_at"))), t)
     rows = (
         snapshots.join(baselines.select("author", "median_views"), "author", "left")
         .select(
-            "item_id", "author", F.col("ts").cast("timestamp").alias("ts"),
-            F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.unix_micros(start).alias("start"),
+            "item_id", "author", F.col("ts").cast("timestamp").alias("ts"), t.alias("t"), start.alias("start"),
             F.col("views").cast("double").alias("views"), F.col("likes").cast("double").alias("likes"), "median_views",
+            F.pmod(F.xxhash64("item_id"), F.lit(STATE_BUCKETS)).cast("int").alias("_bucket"),
         )
         .filter("item_id IS NOT NULL AND ts IS NOT NULL")
         .withWatermark("ts", late)
     )
     gap, mature, keep_ms = int(gap_hours * HOUR_US), int(maturity_days * DAY_US), int(retention_days * 86_400_000)
-    names = [c.split()[0] for c in RAW.split(", ")]
-
-    # A call sees one item and often one row, so columns are read as arrays and nothing is cast: Spark does that once per batch.
-    def frame(log: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame([[e.get(n) for n in names] for e in log], columns=names, dtype=object)
-
-    def value(v):
-        return None if pd.isna(v) else v
 
+    # A call costs about a millisecond whatever it holds, so it sees the items of a bucket, not one item.
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        began, last, day1, labelled, noted, valued = state.get if state.exists else (None, None, False, False, False, False)
-        if state.hasTimedOut:
+        ids, held = _unpacked(state.get[0]) if state.exists else _no_items()
+        now, log, seen = state.getCurrentWatermarkMs(), [], np.empty(0, np.int64)
+        if not state.hasTimedOut:
+            parts = list(batches)
+            rows = {c: np.concatenate([p[c].to_numpy() for p in parts]) for c in ("item_id", "t", "author", "start", "views", "likes", "median_views")}
+            code, names = pd.factorize(rows["item_id"])
+            seen = pd.Index(ids).get_indexer(names)
+            items = {c: np.where(seen < 0, v.dtype.type(0), v[seen] if len(ids) else v.dtype.type(0)) for c, v in held.items()}
+            log = [_advanced(rows, code, items, seen < 0, gap, mature)]
+            items["due"] = np.maximum(items["last"] // 1000, now) + keep_ms
+        gone = held["due"] < now
+        gone[seen[seen >= 0]] = False
+        if gone.any():
+            log.append(_retired(ids[gone], {c: v[gone] for c, v in held.items()}))
+        stay = ~gone
+        stay[seen[seen >= 0]] = False
+        ids, held = ids[stay], {c: v[stay] for c, v in held.items()}
+        if len(seen):
+            ids, held = np.concatenate([ids, names]), {c: np.concatenate([v, items[c]]) for c, v in held.items()}
+        if len(ids):
+            state.update((_packed(ids, held),))
+            state.setTimeoutTimestamp(int(held["due"].min()))
+        elif state.exists:
             state.remove()
-            yield frame([{"item_id": key[0], "event": "retired", "t": last, "began": began, "day1": day1, "labelled": labelled, "noted": noted}])
-            return
-        log = []
-        parts = list(batches)
-        rows = {c: np.concatenate([p[c].to_numpy() for p in parts]) for c in ("t", "author", "start", "views", "likes", "median_views")}
-        order = rows["t"].argsort(kind="stable")
-        times = rows["t"][order]
-        i = 0 if last is None else int(times.searchsorted(max(last + gap, last + 1)))
-        while i < len(times) and not labelled:  # jumps from one accepted snapshot to the next
-            r, t = {c: value(v[order[i]]) for c, v in rows.items()}, int(times[i])
-            new = began is None
-            if new:
-                began = int(r["start"]) if r["start"] is not None else t
-            age = t - began
-            known = r["median_views"] is not None and r["views"] is not None
-            event = {"item_id": key[0], "author": r["author"], "t": t, "views": r["views"], "likes": r["likes"], "age_days": age / DAY_US}
-            event |= {"began": began, "known": known, "median_views": r["median_views"]}
-            if new:
-                log.append(event | {"event": "registered"})
-            if known and not valued:
-                valued = True
-                log.append(event | {"event": "valued"})
-            if not new:
-                if not day1 and age >= DAY_US:
-                    day1 = True
-                    log.append(event | {"event": "day1"})
-                if age >= mature and known:
-                    labelled = True
-                    log.append(event | {"event": "label", "label": int(r["views"] > r["median_views"])})
-                elif age >= mature and not noted:
-                    noted = True
-                    log.append(event | {"event": "no_baseline"})
-            last = t
-            i = int(times.searchsorted(max(t + gap, t + 1)))
-        state.update((began, last, day1, labelled, noted, valued))
-        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + keep_ms)
-        if log:
-            yield frame(log)
-
-    return rows.groupBy("item_id").applyInPandasWithState(advance, RAW, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        yield from (e for e in log if len(e))
+
+    return rows.groupBy("_bucket").applyInPandasWithState(advance, RAW, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _no_items() -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    return np.empty(0, object), {c: np.empty(0, kind) for c, kind in ITEM.items()}
+
+
+def _packed(ids: np.ndarray, items: dict[str, np.ndarray]) -> bytes:
+    """The ids and the numbers of some items as one value."""
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), *[pa.array(items[c]) for c in ITEM]], names=["item_id", *ITEM])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(value: bytes) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    with pa.ipc.open_stream(pa.py_buffer(bytes(value))) as given:
+        batch = given.read_next_batch()
+    return np.array(batch.column(0).to_pylist(), object), {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ITEM}
+
+
+def _first_from(times: np.ndarray, low: np.ndarray, high: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The first place of each range ``low`` to ``high`` whose time is no less than ``least``, else ``high``; times ascend in a range."""
+    low, high = low.copy(), high.copy()
+    while (wide := np.flatnonzero(low < high)).size:
+        middle = (low[wide] + high[wide]) // 2
+        before = times[middle] < least[wide]
+        low[wide[before]] = middle[before] + 1
+        high[wide[~before]] = middle[~before]
+    return low
+
+
+def _advanced(rows: dict, code: np.ndarray, items: dict, new: np.ndarray, gap: int, mature: int) -> pd.DataFrame:
+    """Take the snapshots of many items in the order of their times and change ``items``; the events this makes.
+
+    ``code`` says whose snapshot a row is, ``new`` which items have no state yet. All items go from one accepted snapshot to
+    their next one together, so a round costs a few array operations.
+    """
+    order = np.lexsort((rows["t"], code))
+    times, whose = rows["t"][order], code[order]
+    low, high = (np.searchsorted(whose, np.arange(len(new)), side) for side in ("left", "right"))
+    then = lambda t: np.maximum(t + gap, t + 1)
+    at = np.where(new, low, _first_from(times, low, high, then(items["last"])))
+    known_rows = ~(np.isnan(rows["views"]) | np.isnan(rows["median_views"]))
+    new, log = new.copy(), []
+    while (live := np.flatnonzero((at < high) & ~items["labelled"])).size:
+        row = order[at[live]]
+        t, known, first = rows["t"][row], known_rows[row], new[live]
+        items["began"][live] = np.where(first, rows["start"][row], items["began"][live])
+        age = t - items["began"][live]
+        due = ~first & (age >= mature)
+        made = {
+            "registered": first, "valued": known & ~items["valued"][live], "day1": ~first & (age >= DAY_US) & ~items["day1"][live],
+            "label": due & known, "no_baseline": due & ~known & ~items["noted"][live],
+        }
+        for flag, event in (("valued", "valued"), ("day1", "day1"), ("labelled", "label"), ("noted", "no_baseline")):
+            items[flag][live[made[event]]] = True
+        new[live], items["last"][live] = False, t
+        at[live] = _first_from(times, at[live] + 1, high[live], then(t))
+        log.extend((np.full(int(m.sum()), event, object), row[m], age[m], known[m]) for event, m in made.items() if m.any())
+    return _events(rows, *(np.concatenate(x) for x in zip(*log, strict=True))) if log else _frame(0, {}, {}, {})
+
+
+def _frame(n: int, texts: dict, numbers: dict, whole: dict) -> pd.DataFrame:
+    """Rows of RAW from the columns that are given; the others are null."""
+    columns = {}
+    for name, kind in (c.split() for c in RAW.split(", ")):
+        if kind == "string":
+            columns[name] = texts.get(name, np.full(n, None, object))
+        elif kind == "double":
+            columns[name] = numbers.get(name, np.full(n, np.nan))
+        else:
+            columns[name] = pd.array(whole.get(name, [None] * n), dtype={"bigint": "Int64", "int": "Int32", "boolean": "boolean"}[kind])
+    return pd.DataFrame(columns)
+
+
+def _events(rows: dict, event: np.ndarray, row: np.ndarray, age: np.ndarray, known: np.ndarray) -> pd.DataFrame:
+    texts = {"item_id": rows["item_id"][row], "author": rows["author"][row], "event": event}
+    numbers = {c: rows[c][row] for c in ("views", "likes", "median_views")} | {"age_days": age / DAY_US}
+    above = (numbers["views"] > numbers["median_views"]).astype(np.int32)
+    label = pd.arrays.IntegerArray(above, event != "label")
+    return _frame(len(row), texts, numbers, {"t": rows["t"][row], "began": rows["t"][row] - age, "known": known, "label": label})
+
+
+def _retired(ids: np.ndarray, items: dict) -> pd.DataFrame:
+    whole = {"t": items["last"]} | {c: items[c] for c in ("began", "day1", "labelled", "noted")}
+    return _frame(len(ids), {"item_id": ids, "event": np.full(len(ids), "retired", object)}, {}, whole)
 
 
 def retired_items(spark: SparkSession, out: str) -> Ledger:
