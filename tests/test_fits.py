@@ -184,3 +184,19 @@ def test_experiments_impute_only_what_is_missing(spark, monkeypatch):
     no_imputer(monkeypatch)
     got = {r.protocol: r for r in X.run_experiment(df, ["vector:vec,2"], "logit").collect()}
     assert set(got) == {"cross_author", "temporal"} and got["cross_author"].n == 400 and got["temporal"].n == 80
+
+
+def test_model_families_impute_only_what_is_missing(spark, monkeypatch):
+    """A feature that lacks values only in test rows is filled too; the score is that of imputing all."""
+    from tidemark.plans import model_queries as Q
+
+    df = featured(spark).withColumn("a", F.when(F.col("split") == "test", F.col("a")).otherwise(F.nanvl("a", F.lit(0.0))))
+    df = df.withColumn("b", F.coalesce("b", F.lit(0.0))).withColumn("c", F.col("z") + F.col("a") * 0 + F.col("author_id") / 23)
+    df = df.withColumn("c", F.coalesce(F.nanvl("c", F.lit(0.5)), F.lit(0.5)))
+    monkeypatch.setattr(Q, "numeric_items", lambda spark, d: (df, ["a", "b", "c"]))
+    seen, real = [], L.fit
+    monkeypatch.setattr(Q.L, "fit", lambda *a, **kw: seen.append(kw.get("gaps")) or real(*a, **kw))
+    few = Q._temporal(spark, "", ["logit", "gaussian_nb"]).collect()
+    assert seen == [["a"], ["a"]]
+    monkeypatch.setattr(Q.L, "fit", lambda *a, gaps=None, **kw: real(*a, **kw))
+    assert few == Q._temporal(spark, "", ["logit", "gaussian_nb"]).collect()
